@@ -767,3 +767,285 @@ def q_mean_abs_topk(spark, d):
     long = long_contributions(t, ATTR_FEATURES, "TS_N")
     top = mean_abs_topk(long, weight_col="weight", k=30)
     return top.select("feature", F.round("mean_abs", 4).alias("mean_abs"), "rnk")
+
+
+# --------------------------------------------------------------------------- R1-R3
+
+PLAN_MISSING_COLS = ["SG_SIGN", "PRODUCT_UNIT_NO", "ELM_C", "ELM_MN", "ELM_N", "QTY", "SPARSE_A", "SPARSE_B",
+                     "EMPTY_COL", "TS_N"]
+
+
+@query("plan_missing", with_fact("""
+m AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS \"column\", {i} AS pos, count({x}) AS nn, count(*) AS n FROM fact"
+    for i, x in enumerate(PLAN_MISSING_COLS) if x != "TS_N") + """),
+p AS (SELECT "column", pos, nn, round((n - nn) * 100.0 / n, 2) AS mp FROM m)
+SELECT "column", 1 AS seq, CASE WHEN nn = 0 OR mp > 40 THEN 'delete_column' ELSE 'impute_auto' END AS operation
+FROM p WHERE mp > 0"""))
+def q_plan_missing(spark, d):
+    from quarry.plans.rules import missing_plan
+    prof = profile.profile(fact(spark, d).select(*PLAN_MISSING_COLS), target="TS_N")
+    return missing_plan(prof).select("column", "seq", "operation")
+
+
+PLAN_REFINE_NUM = ["QTY", "SIZE_MM", "RETAIL", "ELM_N"]
+PLAN_REFINE_CAT = ["SG_SIGN", "ST_NO", "PROD_NAME", "LINE_FLAG", "SIGN_CODE"]
+
+
+def _plan_refine_sql() -> str:
+    vals = ", ".join(f"CAST({x} AS double) AS {x}" for x in PLAN_REFINE_NUM)
+    cats = "\nUNION ALL\n".join(f"SELECT '{x}' AS k, count(DISTINCT {x}) AS card FROM fact" for x in PLAN_REFINE_CAT)
+    return with_fact(f"""
+long AS (UNPIVOT (SELECT {vals} FROM fact) ON {", ".join(PLAN_REFINE_NUM)} INTO NAME k VALUE v),
+st AS (SELECT k, skewness(v) AS sk, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM long GROUP BY k),
+o AS (SELECT long.k, count_if(q3 > q1 AND (v < q1 - 1.5*(q3-q1) OR v > q3 + 1.5*(q3-q1))) AS n_out
+      FROM long JOIN st USING (k) GROUP BY long.k),
+num AS (SELECT st.k, CASE WHEN abs(round(sk, 3)) > 1.5 THEN 'winsor' WHEN n_out > 0 THEN 'robust' ELSE 'standard' END AS kind
+        FROM st JOIN o USING (k)),
+cat AS ({cats}),
+steps AS (
+  SELECT k, 1 AS seq, 'winsorize_by_quantile' AS operation, '{{"lower_q":"0.01","upper_q":"0.99"}}' AS params FROM num WHERE kind = 'winsor'
+  UNION ALL SELECT k, 2, 'standard_scale_column', '{{}}' FROM num WHERE kind = 'winsor'
+  UNION ALL SELECT k, 1, 'robust_scale_column', '{{}}' FROM num WHERE kind = 'robust'
+  UNION ALL SELECT k, 1, 'standard_scale_column', '{{}}' FROM num WHERE kind = 'standard'
+  UNION ALL SELECT k, 1, CASE WHEN card = 2 THEN 'label_encode_column' WHEN card > 30 THEN 'rare_label_collapse'
+                              ELSE 'label_encode_column' END,
+                         CASE WHEN card > 30 AND card <> 2 THEN '{{"min_freq":"0.01"}}' ELSE '{{}}' END FROM cat
+  UNION ALL SELECT k, 2, 'target_encode_column', '{{}}' FROM cat WHERE card > 30 AND card <> 2
+  UNION ALL SELECT 'REC_REVISE_TIME', 1, 'delete_column', '{{}}')
+SELECT k AS "column", seq, operation, params FROM steps""")
+
+
+@query("plan_refine", _plan_refine_sql())
+def q_plan_refine(spark, d):
+    from quarry.plans.rules import refine_plan
+    prof = profile.profile(fact(spark, d).select(*PLAN_REFINE_NUM, *PLAN_REFINE_CAT, TIME_COLUMN))
+    plan = refine_plan(prof)
+    return plan.select("column", "seq", "operation", F.to_json("params").alias("params"))
+
+
+def _row_threshold_sql() -> str:
+    cols = [x for x in FACT_ALL if x != "TS_N"]
+    s = " + ".join(f"({x} IS NULL)::int" for x in cols)
+    return with_fact(f"""
+r AS (SELECT ({s}) / {float(len(cols))} AS r FROM fact),
+q AS (SELECT round(quantile_cont(r, 0.9), 4) AS p90, round(quantile_cont(r, 0.95), 4) AS p95 FROM r)
+SELECT p90, p95, least(0.9, greatest(0.3, CASE WHEN p95 >= 0.7 THEN 0.7 WHEN p90 >= 0.6 THEN 0.6 ELSE 0.5 END))::double
+  AS threshold FROM q""")
+
+
+@query("row_threshold", _row_threshold_sql())
+def q_row_threshold(spark, d):
+    from quarry.plans.rules import row_threshold
+    p = profile.row_missing_profile(fact(spark, d), target="TS_N")
+    return spark.createDataFrame([(p["p90"], p["p95"], float(row_threshold(p["p90"], p["p95"])))],
+                                 "p90 double, p95 double, threshold double")
+
+
+# --------------------------------------------------------------------------- F14, X2, X5
+
+# Listed out of canonical order on purpose: the executor must reorder.
+EXECUTOR_PLAN = {
+    "QTY": [{"operation": "standard_scale_column"},
+            {"operation": "winsorize_by_quantile", "params": {"lower_q": 0.05, "upper_q": 0.95}}],
+    "RETAIL": [{"operation": "min_max_scale_column"}],
+    "ST_NO": [{"operation": "label_encode_column"}],
+    "ELM_C": [{"operation": "impute_median"}],
+    "SPARSE_B": [{"operation": "delete_column"}],
+    "ELM_MN": [{"operation": "impute_mean"}, {"operation": "add_missing_indicator"}],
+}
+
+
+@query("plan_executor", with_fact(f"""
+s1 AS (SELECT {KEY_SQL}, QTY, RETAIL, ST_NO, ELM_C, ELM_MN FROM fact),
+s2 AS (SELECT *, (ELM_MN IS NULL)::int AS ELM_MN_ismissing FROM s1),
+s3 AS (SELECT * REPLACE (coalesce(ELM_MN, (SELECT avg(ELM_MN) FROM s2)) AS ELM_MN) FROM s2),
+s4 AS (SELECT * REPLACE (coalesce(ELM_C, (SELECT quantile_cont(ELM_C, 0.5) FROM s3)) AS ELM_C) FROM s3),
+w AS (SELECT quantile_cont(QTY, 0.05) AS lo, quantile_cont(QTY, 0.95) AS hi FROM s4),
+s5 AS (SELECT s4.* REPLACE (greatest(lo, least(hi, QTY)) AS QTY) FROM s4, w),
+s6 AS (SELECT * REPLACE (CAST(dense_rank() OVER (ORDER BY ST_NO) - 1 AS int) AS ST_NO) FROM s5),
+s7 AS (SELECT * REPLACE ((QTY - avg(QTY) OVER ()) / coalesce(nullif(stddev_pop(QTY) OVER (), 0), 1) AS QTY) FROM s6),
+s8 AS (SELECT * REPLACE ((RETAIL - min(RETAIL) OVER ()) / coalesce(nullif(max(RETAIL) OVER () - min(RETAIL) OVER (), 0), 1)
+                         AS RETAIL) FROM s7)
+SELECT {KEY_SQL}, round(QTY, 6) AS QTY, round(RETAIL, 6) AS RETAIL, ST_NO, round(ELM_C, 6) AS ELM_C,
+       round(ELM_MN, 6) AS ELM_MN, ELM_MN_ismissing FROM s8"""))
+def q_plan_executor(spark, d):
+    from quarry.plans.executor import execute_plan
+    f = fact(spark, d).select(*keys(), "QTY", "RETAIL", "ST_NO", "ELM_C", "ELM_MN", "SPARSE_B")
+    out, logs, _ = execute_plan(f, EXECUTOR_PLAN, target="TS_N")
+    failed = [lg for lg in logs if lg.status == "failed"]
+    if failed:
+        raise RuntimeError(f"plan steps failed: {failed}")
+    return out.select(*keys(), *[rnd(col(x)).alias(x) for x in ("QTY", "RETAIL", "ELM_C", "ELM_MN")],
+                      "ST_NO", "ELM_MN_ismissing")
+
+
+FEATURE_PLAN = [
+    {"operation": "create_polynomial_features",
+     "params": {"columns": ["QTY", "ELM_N"], "degree": 2, "interaction_only": True}},
+    {"operation": "create_ratio_features",
+     "params": {"numerator_col": "QTY", "denominator_col": "RETAIL", "new_col_name": "QTY_RETAIL_RATIO"}},
+    {"operation": "no_action"},
+]
+
+
+@query("feature_plan", with_fact(f"""
+SELECT {KEY_SQL}, round(coalesce(QTY,0) * coalesce(ELM_N,0), 6) AS "QTY ELM_N",
+       round(QTY / (RETAIL + 1e-6), 6) AS QTY_RETAIL_RATIO FROM fact"""))
+def q_feature_plan(spark, d):
+    from quarry.plans.executor import execute_feature_plan
+    f = fact(spark, d).select(*keys(), "QTY", "ELM_N", "RETAIL")
+    out, logs, new = execute_feature_plan(f, FEATURE_PLAN)
+    return out.select(*keys(), *[rnd(col(n)).alias(n) for n in new])
+
+
+@query("formula_mapping", with_fact(f"""
+SELECT {KEY_SQL}, round(coalesce(ELM_C, 0) + coalesce(ELM_MN, 0) / 6, 6) AS CEQ_C_MN FROM fact"""))
+def q_formula_mapping(spark, d):
+    from quarry.plans.formulas import STOCK_FORMULAS, resolve_mappings
+    f = fact(spark, d)
+    # the fact table lacks Cr/Mo/V/Ni/Cu/Ti/Al: every stock formula is dropped; a reduced
+    # carbon-equivalent over the mapped elements is kept
+    formulas = STOCK_FORMULAS + [
+        {"new_feature_name": "CEQ_C_MN", "formula_template": "{C} + {Mn}/6",
+         "mapping_hints": {"C": ["C", "ELM_C"], "Mn": ["Mn", "ELM_MN"]}}]
+    resolved = resolve_mappings(spark, formulas, f.columns)
+    out = f
+    for r in resolved:
+        out, _ = features.apply_formula(out, r["formula_template"], r["new_feature_name"], r["mapping"])
+    new = [r["new_feature_name"] for r in resolved]
+    return out.select(*keys(), *[rnd(col(n)).alias(n) for n in new])
+
+
+# --------------------------------------------------------------------------- K1-K2
+
+KNN_SQL_CTES = """
+ex AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cen AS (SELECT label AS query_id, i, avg(x::double) AS m FROM ex GROUP BY label, i),
+dist AS (SELECT c.query_id, e.vec_id, sum((e.x::double - c.m) * (e.x::double - c.m)) AS d
+         FROM ex e JOIN cen c ON e.i = c.i GROUP BY c.query_id, e.vec_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM dist QUALIFY rank <= 3)"""
+
+
+@query("knn_l2", "WITH " + KNN_SQL_CTES.strip() + """
+SELECT CAST(query_id AS bigint) AS query_id, vec_id, CAST(rank AS int) AS rank, round(d, 6) AS distance,
+       round(1 / (1 + d), 6) AS score FROM top""")
+def q_knn_l2(spark, d):
+    from quarry.operators.retrieve import knn_l2, label_centroids
+    emb = read_table(spark, d, "embeddings")
+    hits = knn_l2(emb, label_centroids(emb), k=3)
+    return hits.select("query_id", "vec_id", "rank", rnd(F.col("distance")).alias("distance"),
+                       rnd(F.col("score")).alias("score"))
+
+
+@query("knn_with_metadata", "WITH " + KNN_SQL_CTES.strip() + """
+SELECT CAST(top.query_id AS bigint) AS query_id, top.vec_id, CAST(rank AS int) AS rank, e.label AS hit_label,
+       round(1 / (1 + d), 6) AS similarity_score
+FROM top JOIN embeddings e ON e.vec_id = top.vec_id""")
+def q_knn_with_metadata(spark, d):
+    from quarry.operators.retrieve import knn_l2, label_centroids, with_metadata
+    emb = read_table(spark, d, "embeddings")
+    hits = knn_l2(emb, label_centroids(emb), k=3)
+    meta = emb.select("vec_id", F.col("label").alias("hit_label"))
+    return with_metadata(hits, meta).select("query_id", "vec_id", "rank", "hit_label",
+                                            rnd(F.col("score")).alias("similarity_score"))
+
+
+# --------------------------------------------------------------------------- R4-R5
+
+def _alias_values_sql() -> str:
+    from quarry.plans.rules import METRIC_ALIASES
+    return ", ".join(f"('{c}', '{a}')" for c, a in METRIC_ALIASES)
+
+
+def _tolerance_defaults_sql() -> str:
+    from quarry.plans.rules import TOLERANCE_DEFAULTS
+    return ", ".join(f"('{c}', '{t}', {v})" for _, c, t, v in TOLERANCE_DEFAULTS)
+
+
+MAP_METRIC_SQL = f"""
+al AS (SELECT * FROM (VALUES {{aliases}}) t(code, alias)),
+dt AS (SELECT doc_id, lower(trim(text)) AS t FROM documents),
+cand AS (SELECT doc_id, code, alias, (t = lower(alias))::int AS ex FROM dt JOIN al
+         ON length(t) > 0 AND (contains(t, lower(alias)) OR contains(lower(alias), t))),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ex DESC, length(alias) DESC, code) = 1),
+mapped AS (SELECT d.doc_id, b.code AS metric_code, b.alias AS matched_alias, b.ex = 1 AS exact_match
+           FROM documents d LEFT JOIN best b USING (doc_id))"""
+
+
+@query("metric_alias_map", "WITH " + MAP_METRIC_SQL.strip().replace("{aliases}", "ALIASES") + """
+SELECT doc_id, metric_code, matched_alias, exact_match FROM mapped""")
+def q_metric_alias_map(spark, d):
+    from quarry.plans.rules import map_metric
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return map_metric(docs, "doc_id", "text")
+
+
+TOL_PATTERN_SQL = r"(?:±|正负|\+/-|\+-)\s*(\d+(?:\.\d+)?)\s*(%|％)?|(\d+(?:\.\d+)?)\s*(%|％)"
+
+
+@query("tolerance_resolve", "WITH " + MAP_METRIC_SQL.strip().replace("{aliases}", "ALIASES") + f""",
+df AS (SELECT * FROM (VALUES TOLDEFAULTS) t(code, dtype, dval)),
+ex AS (SELECT m.doc_id, coalesce(m.metric_code, 'TS_N') AS metric_code,
+              regexp_extract(d.text, '{TOL_PATTERN_SQL}', 1) AS pm, regexp_extract(d.text, '{TOL_PATTERN_SQL}', 2) AS pmp,
+              regexp_extract(d.text, '{TOL_PATTERN_SQL}', 3) AS pc
+       FROM mapped m JOIN documents d USING (doc_id)),
+ty AS (SELECT *, CASE WHEN pm <> '' THEN pm WHEN pc <> '' THEN pc END AS num FROM ex)
+SELECT doc_id, metric_code,
+       coalesce(CASE WHEN pm <> '' AND pmp = '' THEN 'value' WHEN num IS NOT NULL THEN 'percentage' END, dtype, 'percentage')
+         AS tolerance_type,
+       coalesce(CAST(num AS double), dval, 5.0)::double AS tolerance_value,
+       CASE WHEN num IS NOT NULL THEN 'user_request' WHEN df.code IS NOT NULL THEN 'config_default'
+            ELSE 'generic_default' END AS tolerance_source
+FROM ty LEFT JOIN df ON ty.metric_code = df.code""")
+def q_tolerance_resolve(spark, d):
+    from quarry.plans.rules import map_metric, resolve_tolerance
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    mapped = map_metric(docs, "doc_id", "text").select(
+        "doc_id", F.coalesce("metric_code", F.lit("TS_N")).alias("metric_code"))
+    req = mapped.join(docs, "doc_id")
+    return resolve_tolerance(req, "text", "metric_code").select(
+        "doc_id", "metric_code", "tolerance_type", "tolerance_value", "tolerance_source")
+
+
+def _fill_sql_constants():
+    for k in ("metric_alias_map", "tolerance_resolve"):
+        ORACLE[k] = ORACLE[k].replace("ALIASES", _alias_values_sql()).replace("TOLDEFAULTS", _tolerance_defaults_sql())
+
+
+_fill_sql_constants()
+
+
+# --------------------------------------------------------------------------- L3
+
+@query("run_id", with_fact("""
+SELECT SG_SIGN, PRODUCT_UNIT_NO,
+  replace(replace(concat_ws('_', 'TS_N',
+      strftime(min(REC_REVISE_TIME), '%Y%m%d') || '-' || strftime(max(REC_REVISE_TIME), '%Y%m%d'),
+      SG_SIGN, PRODUCT_UNIT_NO, string_agg(DISTINCT ST_NO, '-' ORDER BY ST_NO), '20240101120000', 'random_forest'),
+    ' ', ''), '/', '-') AS run_id
+FROM fact GROUP BY SG_SIGN, PRODUCT_UNIT_NO"""))
+def q_run_id(spark, d):
+    from quarry.plans.runlog import list_part, run_id_column
+    g = fact(spark, d).groupBy("SG_SIGN", "PRODUCT_UNIT_NO").agg(
+        F.min(TIME_COLUMN).alias("t0"), F.max(TIME_COLUMN).alias("t1"),
+        F.array_sort(F.collect_set("ST_NO")).alias("st"))   # bounded by distinct ST_NO values
+    tr = F.concat(F.date_format("t0", "yyyyMMdd"), F.lit("-"), F.date_format("t1", "yyyyMMdd"))
+    rid = run_id_column("TS_N", tr, F.col("SG_SIGN"), F.col("PRODUCT_UNIT_NO"), list_part(F.col("st")), None,
+                        "20240101120000", "random_forest")
+    return g.select("SG_SIGN", "PRODUCT_UNIT_NO", rid.alias("run_id"))
+
+
+# --------------------------------------------------------------------------- G3 oracle
+
+ORACLE["value_histogram"] = with_fact(MODEL_FRAME_SQL + """,
+long AS (SELECT 'actual' AS series, TS_N AS x FROM pr WHERE split = 'test'
+         UNION ALL SELECT 'predicted', prediction FROM pr WHERE split = 'test'),
+st AS (SELECT count(x) AS n, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3
+       FROM long),
+bw AS (SELECT *, CASE WHEN 2 * (q3 - q1) * pow(n, -1.0 / 3) > 0
+                      THEN least(2 * (q3 - q1) * pow(n, -1.0 / 3), (hi - lo) / (log2(n) + 1))
+                      ELSE (hi - lo) / (log2(n) + 1) END AS w FROM st),
+nb AS (SELECT lo, hi, greatest(1, CAST(ceil((hi - lo) / w) AS int)) AS bins FROM bw)
+SELECT series, CAST(least(bins, floor((x - lo) / (hi - lo) * bins) + 1) AS int) AS bin, count(*) AS n
+FROM long, nb GROUP BY ALL""")
