@@ -1049,3 +1049,134 @@ bw AS (SELECT *, CASE WHEN 2 * (q3 - q1) * pow(n, -1.0 / 3) > 0
 nb AS (SELECT lo, hi, greatest(1, CAST(ceil((hi - lo) / w) AS int)) AS bins FROM bw)
 SELECT series, CAST(least(bins, floor((x - lo) / (hi - lo) * bins) + 1) AS int) AS bin, count(*) AS n
 FROM long, nb GROUP BY ALL""")
+
+
+# --------------------------------------------------------------------------- M1-M5, H1-H4, A1
+
+MODEL_FEATURES = ["QTY", "ELM_N", "ELM_C", "ELM_MN", "SIZE_MM", "RETAIL"]
+
+
+def _learning_frame(spark, d) -> DataFrame:
+    """Target-cleaned fact with imputed features, time index and sequential split (persisted)."""
+    from quarry.operators.split import add_time_index, split_sequential
+    f = clean.target_filter(fact(spark, d).select(*keys(), TIME_COLUMN, *MODEL_FEATURES, "TS_SIG", "TS_N"), "TS_N")
+    f, _, _ = impute.impute_auto(f, ["ELM_C", "ELM_MN"])
+    ix = add_time_index(f, TIME_COLUMN, KEY_COLUMNS)
+    return split_sequential(ix, ix.count(), 0.2)
+
+
+def _fit_predict(learner: str, params: dict):
+    def run(spark, d):
+        from quarry.operators import learners
+        frame = _learning_frame(spark, d)
+        m = learners.fit(learner, frame.filter("split = 'train'"), MODEL_FEATURES, "TS_SIG", params)
+        pred = m.predict(frame.filter("split = 'test'"))
+        return pred.select(*keys(), "TS_SIG", F.round("prediction", 4).alias("prediction"))
+    return run
+
+
+QUERIES["rf_fit_predict"] = _fit_predict("random_forest", {"n_estimators": 10, "max_depth": 5})
+QUERIES["gbt_fit_predict"] = _fit_predict("xgboost", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3})
+QUERIES["leaf_gbt_fit_predict"] = _fit_predict("lightgbm", {"n_estimators": 10, "num_leaves": 15,
+                                                             "learning_rate": 0.3})
+
+
+@query("tree_importance")
+def q_tree_importance(spark, d):
+    from quarry.operators import learners
+    frame = _learning_frame(spark, d)
+    m = learners.fit("random_forest", frame.filter("split = 'train'"), MODEL_FEATURES, "TS_SIG",
+                     {"n_estimators": 10, "max_depth": 5})
+    return m.importances(spark)
+
+
+def _search_query(learner: str, method: str, space: dict, n_iter: int):
+    def run(spark, d):
+        from quarry.operators.search import rank_trials, run_search, trials_frame
+        from quarry.operators.split import time_series_folds
+        from quarry.session import materialize
+        frame = _learning_frame(spark, d)
+        train = materialize(frame.filter("split = 'train'"))
+        n = train.count()
+        # training indices are 1..n (the sequential split keeps the first rows)
+        folds = time_series_folds(n, 3)
+        trials, _ = run_search(learner, train, MODEL_FEATURES, "TS_SIG", space, method=method, n_iter=n_iter,
+                               folds=folds, scoring="neg_mean_squared_error")
+        return rank_trials(trials_frame(spark, trials))
+    return run
+
+
+QUERIES["grid_search"] = _search_query("random_forest", "grid", {"n_estimators": [5, 10], "max_depth": [3, 5]}, 0)
+QUERIES["random_search"] = _search_query("xgboost", "random", {"n_estimators": [5, 15], "max_depth": [2, 5],
+                                                               "learning_rate": [0.05, 0.5, "log"]}, 3)
+QUERIES["adaptive_search"] = _search_query("random_forest", "adaptive", {"n_estimators": [5, 15],
+                                                                         "max_depth": [2, 6]}, 5)
+
+
+TRIAL_GROUPS = ["SG_SIGN", "ST_NO", "PRODUCT_UNIT_NO"]
+
+
+def _trial_ranking_sql() -> str:
+    trials = "\nUNION ALL\n".join(
+        f"""SELECT {i} AS trial, f.fold, avg((coalesce(g.gm, om.om) - v.TS_N)^2) AS mse
+FROM folds f JOIN ix v ON v.idx > f.start AND v.idx <= f.start + f.b
+LEFT JOIN (SELECT f2.fold, t.{x} AS k, avg(t.TS_N) AS gm FROM folds f2 JOIN ix t ON t.idx <= f2.start
+           GROUP BY f2.fold, t.{x}) g ON g.fold = f.fold AND g.k IS NOT DISTINCT FROM v.{x}
+JOIN (SELECT f3.fold, avg(t.TS_N) AS om FROM folds f3 JOIN ix t ON t.idx <= f3.start GROUP BY f3.fold) om
+  ON om.fold = f.fold
+GROUP BY f.fold""" for i, x in enumerate(TRIAL_GROUPS))
+    return with_fact(f"""
+t AS (SELECT * FROM fact WHERE TS_N IS NOT NULL AND TS_N <> 0),
+ix AS (SELECT *, row_number() OVER (ORDER BY {KEY_ORDER_SQL}) AS idx FROM t),
+n AS (SELECT count(*) AS n, count(*) // 4 AS b FROM t),
+folds AS (SELECT i AS fold, n - (3 - i + 1) * b AS start, b FROM n, range(1, 4) tt(i)),
+sc AS ({trials})
+SELECT trial, round(avg(-mse), 2) AS mean_score, count(*) AS folds,
+       row_number() OVER (ORDER BY avg(-mse) DESC, trial) AS rank FROM sc GROUP BY trial""")
+
+
+@query("trial_ranking", _trial_ranking_sql())
+def q_trial_ranking(spark, d):
+    """H4 over a search whose trials are group-mean predictors (one grouping column each),
+    scored by time-series cross-validation — deterministic, so SQL can check it."""
+    from quarry.operators.baseline import fit_group_mean, predict_group_mean
+    from quarry.operators.evaluate import metric_exprs
+    from quarry.operators.search import rank_trials
+    from quarry.operators.split import add_time_index, time_series_folds
+    t = clean.target_filter(fact(spark, d).select(*keys(), TIME_COLUMN, "TS_N", *TRIAL_GROUPS), "TS_N")
+    ix = add_time_index(t, TIME_COLUMN, KEY_COLUMNS)
+    folds = time_series_folds(ix.count(), 3)
+    rows = []
+    for trial, g in enumerate(TRIAL_GROUPS):
+        for f in folds:
+            tr = ix.filter(F.col("idx") <= f["train_hi"])
+            va = ix.filter(F.col("idx").between(f["val_lo"], f["val_hi"]))
+            pred = predict_group_mean(va, fit_group_mean(tr, g, "TS_N"), g)
+            mse = pred.agg(*metric_exprs("TS_N", "prediction")).collect()[0]["mse"]
+            rows.append((trial, f["fold"], -float(mse)))
+    scores = spark.createDataFrame(rows, "trial int, fold int, score double")
+    r = rank_trials(scores)
+    return r.select("trial", F.round("mean_score", 2).alias("mean_score"), "folds", "rank")
+
+
+@query("shap_values")
+def q_shap_values(spark, d):
+    from quarry.operators import learners
+    from quarry.operators.explain import shap_values
+    frame = _learning_frame(spark, d)
+    train = frame.filter("split = 'train'")
+    m = learners.fit("random_forest", train, MODEL_FEATURES, "TS_SIG", {"n_estimators": 5, "max_depth": 4})
+    sv = shap_values(m.model, train, MODEL_FEATURES, KEY_COLUMNS)
+    return sv.select(*keys(), "shap", F.round("expected", 6).alias("expected"))
+
+
+@query("shap_importance")
+def q_shap_importance(spark, d):
+    """A1 + A2: mean |SHAP| per feature over the training rows, top 30."""
+    from quarry.operators import learners
+    from quarry.operators.explain import mean_abs_topk, shap_long, shap_values
+    frame = _learning_frame(spark, d)
+    train = frame.filter("split = 'train'")
+    m = learners.fit("random_forest", train, MODEL_FEATURES, "TS_SIG", {"n_estimators": 5, "max_depth": 4})
+    long = shap_long(shap_values(m.model, train, MODEL_FEATURES, KEY_COLUMNS), MODEL_FEATURES, KEY_COLUMNS)
+    return mean_abs_topk(long, k=30)
