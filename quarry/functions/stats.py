@@ -1,14 +1,16 @@
 """Column statistics as distributed Spark jobs.
 
-* ``moments`` — one ungrouped aggregate for any number of columns (partial
+* ``moments`` — one grouped aggregate over the unpivoted columns (partial
   aggregation per task, a single tiny shuffle).
-* ``exact_quantiles`` — exact order statistics without gathering a column
-  into one task: values are first compressed to ``(column, value, count)``
-  (map-side combined, so a value held by a third of all rows becomes one row),
-  then range-partitioned by ``(column, value)``, prefix-summed inside each
-  partition and located through per-partition totals. Only the bounded
-  partition totals (partitions x columns) and the few rows that hold the
-  requested ranks reach the driver.
+* ``exact_quantiles`` — exact order statistics. Values are first compressed to
+  ``(column, value, count)`` (map-side combined, so a value held by a third of
+  all rows becomes one row per task). A column whose number of distinct values
+  is within a checked bound is finished by ``percentile`` with frequencies;
+  beyond the bound the pairs are range-partitioned by ``(column, value)``,
+  prefix-summed inside each partition and located through per-partition
+  totals, so no task ever holds a whole column. Only the bounded partition
+  totals (partitions x columns) and the few rows holding the requested ranks
+  reach the driver.
 * ``approx_quantiles`` — ``percentile_approx`` for very large tables when the
   caller accepts rank error.
 """
@@ -27,49 +29,48 @@ from pyspark.sql import types as T
 from quarry.functions.columns import safe_div
 
 
-def adjusted_skewness(c: str) -> Column:
-    """Bias-corrected sample skewness G1 (the pandas/DuckDB definition)."""
-    n = F.count(c).cast("double")
-    g1 = F.skewness(c)
-    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+MOMENT_STATS = ("count", "nulls", "mean", "std", "std_pop", "min", "max", "skew", "kurt")
 
 
-def adjusted_kurtosis(c: str) -> Column:
-    """Bias-corrected excess kurtosis G2 (the pandas/DuckDB definition)."""
-    n = F.count(c).cast("double")
-    g2 = F.kurtosis(c)
-    return F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
-
-
-MOMENT_FUNCS = {
-    "count": lambda c: F.count(c),
-    "nulls": lambda c: F.count_if(F.col(c).isNull()),
-    "mean": lambda c: F.avg(c),
-    "std": lambda c: F.stddev_samp(c),
-    "std_pop": lambda c: F.stddev_pop(c),
-    "min": lambda c: F.min(c),
-    "max": lambda c: F.max(c),
-    "skew": adjusted_skewness,
-    "kurt": adjusted_kurtosis,
-}
-
-
-def moments(df: DataFrame, cols: list[str], stats: list[str]) -> dict[str, dict[str, object]]:
-    """Compute ``stats`` for every column in one aggregate; returns {col: {stat: value}}."""
+def moments(df: DataFrame, cols: list[str], stats: list[str] = MOMENT_STATS) -> dict[str, dict[str, object]]:
+    """Count, nulls, mean, sample/population std, min, max and the bias-corrected
+    skewness/kurtosis of every column in ONE job: the columns are unpivoted to
+    (k, v) and grouped by k, so each task partially aggregates C groups and a
+    single tiny shuffle combines them. (One wide aggregate with a set of
+    central-moment buffers per column is several times slower to execute.)
+    Returns {col: {stat: value}}.
+    """
     if not cols:
         return {}
-    exprs = []
+    casted = df.select(*[F.col(quote_name(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    long = casted.unpivot([], [f"c{i}" for i in range(len(cols))], "k", "v")
+    v = F.col("v")
+    n = F.count(v).cast("double")
+    aggs = [F.count(v).alias("count"), F.count_if(v.isNull()).alias("nulls"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop"), F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.when(n > 2, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+            F.when(n > 3, ((n + 1) * F.kurtosis(v) + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt")]
+    wanted = [a for a, name in zip(aggs, MOMENT_STATS) if name in stats]
+    rows = long.groupBy("k").agg(*wanted).collect()
+    by_k = {r["k"]: r.asDict() for r in rows}
+    out = {}
     for i, c in enumerate(cols):
-        for s in stats:
-            exprs.append(MOMENT_FUNCS[s](c).alias(f"{s}__{i}"))
-    row = df.agg(*exprs).collect()[0].asDict()
-    return {c: {s: row[f"{s}__{i}"] for s in stats} for i, c in enumerate(cols)}
+        r = by_k.get(f"c{i}", {})
+        out[c] = {s_: r.get(s_) for s_ in stats}
+    return out
+
+
+def quote_name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
 
 
 def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(k, v) pairs of the non-null values of ``cols`` (cast to double)."""
-    casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return (casted.unpivot([], cols, "k", "v").filter(F.col("v").isNotNull()))
+    casted = df.select(*[F.col(quote_name(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(f"c{i}"), F.lit(c))])
+    long = casted.unpivot([], [f"c{i}" for i in range(len(cols))], "k", "v").filter(F.col("v").isNotNull())
+    return long.select(names[F.col("k")].alias("k"), "v")
 
 
 _CUM_SCHEMA = T.StructType([
@@ -107,19 +108,49 @@ def rank_positions(n: int, p: float) -> tuple[int, int, float]:
     return lo, hi, h - lo
 
 
+# Columns with at most this many distinct values are finished by Spark's exact
+# ``percentile`` over the (value, count) pairs: its per-column state is a map of
+# the distinct values, bounded by this check. Columns above it take the
+# distributed-sort path, whose per-task state does not depend on the data size.
+PERCENTILE_MAP_MAX_DISTINCT = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     num_partitions: int | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / DuckDB
-    ``quantile_cont`` / Spark ``percentile``) of each column, as a distributed sort."""
+    ``quantile_cont`` / Spark ``percentile``) of each column."""
     if not cols:
         return {}
-    spark = df.sparkSession
+    compressed = (_long_values(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        sizes = {r["k"]: int(r["d"]) for r in compressed.groupBy("k").agg(F.count(F.lit(1)).alias("d")).collect()}
+        small = [k for k in cols if 0 < sizes.get(k, 0) <= PERCENTILE_MAP_MAX_DISTINCT]
+        big = [k for k in cols if sizes.get(k, 0) > PERCENTILE_MAP_MAX_DISTINCT]
+        out: dict[str, list[float | None]] = {k: [None] * len(probs) for k in cols}
+        if small:
+            rows = (compressed.filter(F.col("k").isin(*small)).groupBy("k")
+                    .agg(F.percentile("v", [float(p) for p in probs], F.col("cnt")).alias("q")).collect())
+            for r in rows:
+                out[r["k"]] = [float(x) for x in r["q"]]
+        if big:
+            out.update(_sorted_quantiles(compressed.filter(F.col("k").isin(*big)), big, probs, num_partitions))
+    finally:
+        compressed.unpersist()
+    return out
+
+
+def _sorted_quantiles(compressed: DataFrame, cols: list[str], probs: list[float],
+                      num_partitions: int | None = None) -> dict[str, list[float | None]]:
+    """Quantiles by a global sort of the distinct (column, value) pairs (no per-column task)."""
+    spark = compressed.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compressed = _long_values(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
     ordered = compressed.repartitionByRange(parts, "k", "v").sortWithinPartitions("k", "v")
     # (k, v) is unique here, so a recomputed partition has exactly the same rows
     # in the same order: persisting (rather than checkpointing) is safe.
     cum = ordered.mapInPandas(_prefix_counts, _CUM_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    plan: dict[str, list[tuple[int, int, float]]] = {}
+    values: dict[tuple[str, int], float] = {}
     try:
         totals = cum.groupBy("k", "pid").agg(F.sum("cnt").alias("tot")).collect()
         per_col: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -134,9 +165,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 spans.append((pid, acc, acc + tot))
                 acc += tot
             offsets[k], n_of[k] = spans, acc
-
         wanted: list[tuple[str, int, int, int]] = []  # (k, pid, local_rank, global_rank)
-        plan: dict[str, list[tuple[int, int, float]]] = {}
         for k in cols:
             n = n_of.get(k, 0)
             if n == 0:
@@ -148,7 +177,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                         if start <= r < end:
                             wanted.append((k, pid, r - start, r))
                             break
-        values: dict[tuple[str, int], float] = {}
         if wanted:
             tgt = spark.createDataFrame(sorted(set(wanted)), "k string, pid int, lr long, gr long")
             hits = (cum.join(F.broadcast(tgt), ["k", "pid"])

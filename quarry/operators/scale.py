@@ -87,37 +87,43 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).when(x < 0, neg)
 
 
-def _loglik_exprs(c: str, lams: list[float]) -> list[Column]:
-    # llf(lam) = -n/2 * log(var_pop(yj(x, lam))) + (lam - 1) * sum(sign(x) * log1p(|x|))
-    x = col(c).cast("double")
-    exprs = [F.var_pop(yeo_johnson(x, lam)).alias(f"v{i}") for i, lam in enumerate(lams)]
-    exprs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"))
-    exprs.append(F.count(x).alias("n"))
-    return exprs
+def yeo_johnson_lambda_col(x: Column, lam: Column) -> Column:
+    """Yeo-Johnson with lambda given as a column (for evaluating a grid in one job)."""
+    x = x.cast("double")
+    pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    neg = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(-x + 1, 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, pos).when(x < 0, neg)
 
 
 def fit_yeo_johnson_lambda(df: DataFrame, c: str, lo: float = -2.0, hi: float = 2.0,
                            step: float = 0.1, refinements: int = 2) -> float | None:
-    """Maximum-likelihood lambda: a grid on [lo, hi] evaluated in ONE aggregate,
-    then ``refinements`` finer grids (step / 10 each) around the best point.
+    """Maximum-likelihood lambda:
+    llf(lam) = -n/2 * log(var_pop(yj(x, lam))) + (lam - 1) * sum(sign(x) * log1p(|x|)).
 
-    Each pass is a single scan computing all grid points' variances together, so
-    the cost is (1 + refinements) scans regardless of the grid size.
+    A grid on [lo, hi] is evaluated in ONE job (each row is paired with every
+    grid point and the variances are aggregated per point, map-side), then
+    ``refinements`` finer grids (step / 10 each) around the best point: the
+    cost is (1 + refinements) scans regardless of the grid size.
     """
+    x = col(c).cast("double")
+    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    stat = base.agg(F.count("x").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s")).collect()[0]
+    n, ssum = stat["n"], stat["s"]
+    if not n:
+        return None
     best = None
-    for level in range(refinements + 1):
+    for _ in range(refinements + 1):
         n_pts = int(round((hi - lo) / step)) + 1
         lams = [round(lo + i * step, 10) for i in range(n_pts)]
-        row = df.agg(*_loglik_exprs(c, lams)).collect()[0]
-        n = row["n"]
-        if not n:
-            return None
-        best_ll, best = -math.inf, best
-        for i, lam in enumerate(lams):
-            v = row[f"v{i}"]
+        grid = base.select("x", F.explode(F.array(*[F.lit(v) for v in lams])).alias("lam"))
+        rows = grid.groupBy("lam").agg(F.var_pop(yeo_johnson_lambda_col(F.col("x"), F.col("lam"))).alias("v")).collect()
+        var = {round(r["lam"], 10): r["v"] for r in rows}
+        best_ll, best = -math.inf, None
+        for lam in lams:
+            v = var.get(lam)
             if v is None or v <= 0 or not np.isfinite(v):
                 continue
-            ll = -n / 2.0 * math.log(v) + (lam - 1) * row["s"]
+            ll = -n / 2.0 * math.log(v) + (lam - 1) * ssum
             if ll > best_ll + 1e-12:
                 best_ll, best = ll, lam
         if best is None:

@@ -10,6 +10,7 @@ from quarry.operators.baseline import fit_group_mean, predict_group_mean
 from quarry.operators.clean import target_filter
 from quarry.operators.split import add_time_index, split_sequential
 from quarry.sources.fact import KEY_COLUMNS, TIME_COLUMN, fact
+from quarry.session import materialize
 from quarry.sources.scan import Request, scan_filtered
 
 FLAGSHIP_REQUEST = dict(target_metric="TS_N", time_range="19970101-19981231")
@@ -21,7 +22,10 @@ def modelling_frame(spark: SparkSession, sf_dir: str, request: dict | None = Non
     req = Request(**(request or {"target_metric": "TS_N", "time_range": "19950101-20011231"}))
     target = req.target_metric
     rows = scan_filtered(fact(spark, sf_dir), req)
-    rows = target_filter(rows, target)
+    keep = list(dict.fromkeys([*KEY_COLUMNS, TIME_COLUMN, target, group, "ELM_C", "QTY"]))
+    # every fit below is an action over these rows: read and join the sources once,
+    # keeping only the columns this model uses (a persisted frame is not pruned later)
+    rows = materialize(target_filter(rows, target).select(*keep), reliable=False)
     rows, _, _ = impute.impute_mean(rows, "ELM_C")
     rows, _, _ = scale.standard_scale_column(rows, "QTY")
     indexed = add_time_index(rows, TIME_COLUMN, KEY_COLUMNS)
