@@ -1180,3 +1180,102 @@ def q_shap_importance(spark, d):
     m = learners.fit("random_forest", train, MODEL_FEATURES, "TS_SIG", {"n_estimators": 5, "max_depth": 4})
     long = shap_long(shap_values(m.model, train, MODEL_FEATURES, KEY_COLUMNS), MODEL_FEATURES, KEY_COLUMNS)
     return mean_abs_topk(long, k=30)
+
+
+# --------------------------------------------------------------------------- G4
+
+@query("shap_summary")
+def q_shap_summary(spark, d):
+    """A1 + A2 + G4: the summary plot's points for the top features of a small forest."""
+    from quarry.operators import learners
+    from quarry.operators.explain import mean_abs_topk, shap_long, shap_summary_points, shap_values
+    from quarry.session import materialize
+    frame = _learning_frame(spark, d)
+    train = frame.filter("split = 'train'")
+    m = learners.fit("random_forest", train, MODEL_FEATURES, "TS_SIG", {"n_estimators": 5, "max_depth": 4})
+    sv = materialize(shap_values(m.model, train, MODEL_FEATURES, KEY_COLUMNS, carry=MODEL_FEATURES))
+    top = mean_abs_topk(shap_long(sv, MODEL_FEATURES, KEY_COLUMNS), k=30)
+    pts = shap_summary_points(sv, top, MODEL_FEATURES, KEY_COLUMNS)
+    return pts.select(*keys(), "feature", F.round("shap", 6).alias("shap"), "feature_value", "rnk")
+
+
+# --------------------------------------------------------------------------- P2, P6
+
+def _profile_categorical_sql() -> str:
+    parts = []
+    for x in CATEGORICAL_PROFILE_COLS + [TIME_COLUMN]:
+        is_dt = x == TIME_COLUMN
+        other_type = "'datetime'" if is_dt else "'categorical'"
+        uniq = "NULL" if is_dt else (f"CASE WHEN count(DISTINCT {x}) <= 10 "
+                                     f"THEN array_to_string(list_sort(list(DISTINCT {x})), ',') END")
+        dt = (f"strftime(min({x}), '%Y-%m-%dT%H:%M:%S')", f"strftime(max({x}), '%Y-%m-%dT%H:%M:%S')") \
+            if is_dt else ("NULL", "NULL")
+        parts.append(f"""SELECT '{x}' AS "column",
+  CASE WHEN count({x}) = 0 THEN 'empty' WHEN count(DISTINCT {x}) = 2 THEN 'binary' ELSE {other_type} END AS type,
+  CASE WHEN count({x}) > 0 AND count({x}) < count(*)
+       THEN round((count(*) - count({x})) * 100.0 / count(*), 2) END AS missing_percentage,
+  CASE WHEN count({x}) > 0 THEN count(DISTINCT {x}) END AS cardinality,
+  CASE WHEN count({x}) = 0 THEN NULL
+       WHEN count(DISTINCT {x}) = 2 THEN array_to_string(list_sort(list(DISTINCT {x}::varchar)), ',')
+       ELSE {uniq} END AS unique_values,
+  CASE WHEN count(DISTINCT {x}) <> 2 THEN {dt[0]} END AS dt_min,
+  CASE WHEN count(DISTINCT {x}) <> 2 THEN {dt[1]} END AS dt_max
+FROM fact""")
+    return with_fact("\nUNION ALL\n".join(parts))
+
+
+@query("profile_categorical", _profile_categorical_sql())
+def q_profile_categorical(spark, d):
+    """P2 + P6 for the non-numeric columns: type, missing share, cardinality, the values
+    of low-cardinality columns and the range of datetimes."""
+    df = fact(spark, d).select(*CATEGORICAL_PROFILE_COLS, TIME_COLUMN)
+    keep = ["column", "type", "missing_percentage", "cardinality", "unique_values", "dt_min", "dt_max"]
+    rows = []
+    for r in profile.profile_rows(df):
+        rec = {k: r[k] for k in keep}
+        if rec["type"] != "datetime":
+            rec["dt_min"] = rec["dt_max"] = None
+        rows.append(rec)
+    return spark.createDataFrame(rows, "column string, type string, missing_percentage double, cardinality long, "
+                                       "unique_values string, dt_min string, dt_max string")
+
+
+# --------------------------------------------------------------------------- L5
+
+# A plan whose steps succeed or are skipped depending on the data.
+LOG_PLAN = {
+    "ELM_C": [{"operation": "impute_mean"}],
+    "QTY": [{"operation": "impute_median"}],
+    "SPARSE_A": [{"operation": "cap_outliers_iqr"}],
+    "CONST_COL": [{"operation": "cap_outliers_iqr"}],
+    "EMPTY_COL": [{"operation": "impute_most_frequent"}],
+    "NOT_A_COLUMN": [{"operation": "impute_mean"}],
+    "PROD_NAME": [{"operation": "rare_label_collapse", "params": {"min_freq": 0.016}}],
+}
+
+
+@query("plan_step_logs", with_fact("""
+q AS (SELECT count(*) AS n, count_if(ELM_C IS NULL) AS elm_c_null, count_if(QTY IS NULL) AS qty_null,
+             quantile_cont(SPARSE_A, 0.75) - quantile_cont(SPARSE_A, 0.25) AS sparse_iqr,
+             count(EMPTY_COL) AS empty_nn FROM fact),
+rare AS (SELECT count(*) AS n_rare FROM (SELECT PROD_NAME, count(*) AS c FROM fact GROUP BY PROD_NAME)
+         WHERE c / (SELECT count(*) FROM fact) < 0.016)
+SELECT 'ELM_C' AS "column", 'impute_mean' AS operation,
+       CASE WHEN elm_c_null > 0 THEN 'applied' ELSE 'skipped' END AS status,
+       CASE WHEN elm_c_null > 0 THEN '' ELSE 'no missing values' END AS message FROM q
+UNION ALL SELECT 'QTY', 'impute_median', CASE WHEN qty_null > 0 THEN 'applied' ELSE 'skipped' END,
+       CASE WHEN qty_null > 0 THEN '' ELSE 'no missing values' END FROM q
+UNION ALL SELECT 'SPARSE_A', 'cap_outliers_iqr', CASE WHEN sparse_iqr > 0 THEN 'applied' ELSE 'skipped' END,
+       CASE WHEN sparse_iqr > 0 THEN '' ELSE 'IQR is 0' END FROM q
+UNION ALL SELECT 'CONST_COL', 'cap_outliers_iqr', 'skipped', 'not numeric'
+UNION ALL SELECT 'EMPTY_COL', 'impute_most_frequent', CASE WHEN empty_nn > 0 THEN 'applied' ELSE 'skipped' END,
+       CASE WHEN empty_nn > 0 THEN '' ELSE 'all values missing' END FROM q
+UNION ALL SELECT 'NOT_A_COLUMN', 'impute_mean', 'skipped', 'column absent'
+UNION ALL SELECT 'PROD_NAME', 'rare_label_collapse', CASE WHEN n_rare > 0 THEN 'applied' ELSE 'skipped' END,
+       CASE WHEN n_rare > 0 THEN '' ELSE 'no rare values' END FROM rare"""))
+def q_plan_step_logs(spark, d):
+    """Per-step log rows of a plan run over the fact table (status decided by the data)."""
+    from quarry.plans.executor import execute_plan, logs_frame
+    f = fact(spark, d).select(*keys(), "ELM_C", "QTY", "SPARSE_A", "CONST_COL", "EMPTY_COL", "PROD_NAME")
+    _, logs, _ = execute_plan(f, LOG_PLAN, target="TS_N")
+    return logs_frame(spark, logs).select("column", "operation", "status", "message")
