@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lookups up to this many rows are broadcast; beyond it the join shuffles and
+# Lookups up to this many rows are broadcast (a (value, statistic) row is ~50 bytes,
+# so at most ~15 MB per executor); beyond it the join shuffles and
 # AQE's skew-join handling splits partitions of hot keys.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 250_000
 
 
 def lookup_join(big: DataFrame, small: DataFrame, cond, how: str = "left",
