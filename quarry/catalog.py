@@ -1059,7 +1059,11 @@ MODEL_FEATURES = ["QTY", "ELM_N", "ELM_C", "ELM_MN", "SIZE_MM", "RETAIL"]
 def _learning_frame(spark, d) -> DataFrame:
     """Target-cleaned fact with imputed features, time index and sequential split (persisted)."""
     from quarry.operators.split import add_time_index, split_sequential
+    from quarry.session import materialize
     f = clean.target_filter(fact(spark, d).select(*keys(), TIME_COLUMN, *MODEL_FEATURES, "TS_SIG", "TS_N"), "TS_N")
+    # the fill statistics, the range sample and the index checkpoint all read these
+    # rows: join the sources once (a recomputation yields the same set of rows)
+    f = materialize(f, reliable=False)
     f, _, _ = impute.impute_auto(f, ["ELM_C", "ELM_MN"])
     ix = add_time_index(f, TIME_COLUMN, KEY_COLUMNS)
     return split_sequential(ix, ix.count(), 0.2)
@@ -1279,3 +1283,21 @@ def q_plan_step_logs(spark, d):
     f = fact(spark, d).select(*keys(), "ELM_C", "QTY", "SPARSE_A", "CONST_COL", "EMPTY_COL", "PROD_NAME")
     _, logs, _ = execute_plan(f, LOG_PLAN, target="TS_N")
     return logs_frame(spark, logs).select("column", "operation", "status", "message")
+
+
+# --------------------------------------------------------------------------- end to end (§3.1)
+
+@query("model_build_metrics")
+def q_model_build_metrics(spark, d):
+    """A whole build from a request over the full fact view: screening, row and column
+    cleaning by rule, train-only fitted preprocessing, features, sequential split, forest
+    fit, metrics per split (explanation left to ``shap_values``)."""
+    from quarry.plans.build import build_model
+    src = fact(spark, d).drop("TS_N")
+    res = build_model(spark, src, {"target_metric": "TS_SIG", "time_range": "19920101-19981231"},
+                      key_cols=[k for k in KEY_COLUMNS if k != "K_PRICE"], time_col=TIME_COLUMN,
+                      learner="random_forest", params={"n_estimators": 10, "max_depth": 5},
+                      other_targets=["K_PRICE"], unsuitable=UNSUITABLE_FIELDS, explain=False)
+    if res.status != "success":
+        raise RuntimeError(res.package.get("error"))
+    return res.metrics.select("split", *[F.round(c, 4).alias(c) for c in res.metrics.columns if c != "split"])
