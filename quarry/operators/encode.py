@@ -12,15 +12,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.columns import c as col, is_numeric, quote, replace_columns
 from quarry.functions.joins import lookup_join
 from quarry.functions.ranking import global_index
 from quarry.operators.base import Operator, register
+from quarry.session import materialize
 
 MAX_ONE_HOT_VALUES = 1000
+# Dictionaries up to this size are numbered by a per-column window.
+LABEL_WINDOW_MAX_DISTINCT = 100_000
 NULL_LABEL = "__NULL__"
 RARE_LABEL = "__RARE__"
 
@@ -59,23 +63,54 @@ class OneHot(Operator):
 
 
 class LabelEncode(Operator):
-    """0..k-1 in sorted order; NULL becomes the ordinary label ``__NULL__``."""
+    """0..k-1 in sorted order; NULL becomes the ordinary label ``__NULL__``.
+
+    All text columns are fitted together: one aggregate finds the columns with
+    NULLs, one distinct over the unpivoted (column, value) pairs gives every
+    dictionary, and columns with at most ``LABEL_WINDOW_MAX_DISTINCT`` values
+    are numbered by a dense rank per column (one bounded sort per column). A
+    column with more values is numbered by the global index instead, so no
+    single task ever sorts an unbounded dictionary.
+    """
 
     name, family = "label_encode_column", "encode"
 
     def fit(self, df, columns, **params):
+        present = [c for c in columns if c in df.columns]
+        if not present:
+            return {}
+        nulls = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(present)]).collect()[0]
+        has_null = {c: nulls[f"n{i}"] > 0 for i, c in enumerate(present)}
+        text = [c for c in present if has_null[c] or isinstance(df.schema[c].dataType, T.StringType)]
         state = {}
-        for c in columns:
-            if c not in df.columns:
+        if text:
+            keyed = df.select(*[F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)).alias(f"c{i}")
+                                for i, c in enumerate(text)])
+            pairs = keyed.unpivot([], [f"c{i}" for i in range(len(text))], "_k", "_v").distinct()
+            pairs = materialize(pairs, reliable=False)
+            sizes = {r["_k"]: int(r["n"]) for r in pairs.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+            small = [k for k, n in sizes.items() if n <= LABEL_WINDOW_MAX_DISTINCT]
+            w = Window.partitionBy("_k").orderBy("_v")
+            ranked = materialize(pairs.filter(F.col("_k").isin(*small))
+                                 .withColumn("_code", (F.dense_rank().over(w) - 1).cast("int")), reliable=False) \
+                if small else None
+            for i, c in enumerate(text):
+                k = f"c{i}"
+                if k in small:
+                    codes = ranked.filter(F.col("_k") == k).select("_v", "_code")
+                else:
+                    codes = global_index(pairs.filter(F.col("_k") == k).select("_v"), ["_v"], "_code",
+                                         reliable=False)
+                    codes = codes.select("_v", (F.col("_code") - 1).cast("int").alias("_code"))
+                state[c] = {"as_string": True, "codes": codes, "n_codes": sizes.get(k, 0)}
+        for c in present:
+            if c in state:
                 continue
-            has_null = df.filter(col(c).isNull()).limit(1).count() > 0
-            key = F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)) if has_null else col(c)
-            distinct = df.select(key.alias("_v")).distinct()
-            # unique values -> a global index is exactly the dense rank, computed
-            # without funnelling all distinct values into one window task
+            # a non-text column without NULLs keeps its own (numeric / temporal) order
+            distinct = df.select(col(c).alias("_v")).distinct()
             codes = global_index(distinct, ["_v"], "_code", reliable=False)
             codes = codes.select("_v", (F.col("_code") - 1).cast("int").alias("_code"))
-            state[c] = {"as_string": has_null, "codes": codes}
+            state[c] = {"as_string": False, "codes": codes}
         return state
 
     def transform(self, df, state):
@@ -83,7 +118,8 @@ class LabelEncode(Operator):
         for c, st in state.items():
             key = F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)) if st["as_string"] else col(c)
             codes = st["codes"]
-            out = lookup_join(out.withColumn("_k", key), codes, F.col("_k") == codes["_v"], "left")
+            out = lookup_join(out.withColumn("_k", key), codes, F.col("_k") == codes["_v"], "left",
+                              small_rows=st.get("n_codes"))
             out = replace_columns(out.drop("_k", "_v"), {c: F.col("_code")}).drop("_code")
         return out
 
