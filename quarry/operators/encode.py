@@ -163,10 +163,9 @@ class FrequencyEncode(Operator):
 
     def fit(self, df, columns, **params):
         state = {}
-        for c in columns:
-            if c not in df.columns:
-                continue
-            total = df.count()
+        present = [c for c in columns if c in df.columns]
+        total = df.count() if present else 0
+        for c in present:
             counts = _value_counts(df, c)
             state[c] = {"map": counts.select("_v", (F.col("_n") / F.lit(float(total))).alias("_f"))}
         return state
