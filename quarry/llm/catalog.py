@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bitplane, packing, url_filter
+from quarry.llm import bitplane, chat, html_text, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": chat.op2_chat_format,
     "op5_token_files": bitplane.op5_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_packing": packing.op7_packing,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_chat_format": chat.SQL,
     "op6_url_filter": url_filter.SQL,
 }
