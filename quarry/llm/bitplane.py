@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     the table count, so a lost or repeated task leaves no wrong data behind.
 
     Null or empty text: the end id alone. Null ``doc_id``: before all others. Repeated ids:
-    each row is a document, ordered by its text. No rows: no files.
+    each row is a document, ordered by a hash of its text. No rows: no files.
     """
 
     def write(batches):
@@ -168,7 +168,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the hash splits rows of one repeated id, without whole texts in Spark's sample of the keys
+    ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return stored(ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long"), "token-files")
 
 

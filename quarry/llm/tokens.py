@@ -10,11 +10,15 @@ and otherwise encodes whole texts.
 from __future__ import annotations
 
 import os
+import re
+import struct
 
-import numpy as np
-
-#: Chunks that a worker process remembers at most (about 150 bytes each); then it starts anew.
-CACHE_CHUNKS = 500_000
+#: Strings that a worker process remembers at most (about 200 bytes each): those of a young and
+#: of an old generation. When the young one is full it becomes the old one.
+CACHE_STRINGS = 900_000
+#: Letters that the normal form of a text leaves as they are, alone and side by side.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_ENDS_PLAIN = re.compile(rb"(?s:.*)(?:[0-9a-z]|\xc3[\x9f-\xb6\xb8-\xbf])").fullmatch
 
 _encoders: dict = {}
 
@@ -41,46 +45,49 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
-        self.cores: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         probe = "a  b\tc\n" + "thing, THING. l'été 42nd"
-        self.by_word = self.whole(probe) == self.by_chunk(probe) and all(
-            self.pure(w) == self.whole(w) for w in ("thing", "été", "straße"))
+        self.pure_words = all(self.pure(w) == self.whole(w) for w in ("thing", "été", "straße"))
+        self.by_word = self.whole(probe) == self.by_chunk(probe)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def pure(self, word: str) -> bytes | None:
         """Ids of a word of letters only: the model is asked directly, as such a word is
         one piece for the splitter. None if its normal form has other characters."""
-        word = self.tokenizer.normalizer.normalize_str(word)
-        if not word.isalpha():
-            return None
+        if not _PLAIN(word):
+            word = self.tokenizer.normalizer.normalize_str(word)
+            if not word.isalpha():
+                return None
         marks = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(marks)], "<u4").tobytes()
-
-    def _core(self, core: bytes) -> bytes:
-        found = self.cores.get(core)
-        if found is None:
-            word = core.decode()
-            found = (self.pure(word) if getattr(self, "by_word", False) and word.isalpha() else None) or self.whole(word)
-            self.cores[core] = found
-        return found
+        ids = [t.id for t in self.model(marks)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        low = chunk.lower()  # A-Z only, as these are bytes
-        core = low.rstrip(b".,!?;:%$&*#")  # no part of a special token's end
-        ids = self._core(core) if core else b""
-        if len(core) < len(low):
-            ids += self._core(low[len(core):])
+        ids = self.old.get(chunk)
+        if ids is None:
+            low = chunk.lower()  # A-Z only, as these are bytes
+            core = low.rstrip(b".,!?;:%$&*#")  # no part of a special token's end
+            if len(core) < len(low) and _ENDS_PLAIN(core):  # marks and signs would stay one piece
+                ids = self[core] + self[low[len(core) :]]
+            elif low != chunk:
+                ids = self[low]
+            else:
+                word = chunk.decode()
+                ids = self.pure(word) if self.pure_words and word.isalpha() else None
+                ids = self.whole(word) if ids is None else ids
         self[chunk] = ids
         return ids
 
     def by_chunk(self, text: str) -> bytes:
-        if len(self) > CACHE_CHUNKS:
+        if len(self) > CACHE_STRINGS // 2:
+            self.old = dict(self)
             self.clear()
-            self.cores.clear()
-        return b"".join([self[w] for w in text.encode().split()])
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text (null: none)."""
