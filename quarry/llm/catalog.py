@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bitplane, chat, html_text, language, packing, url_filter
+from quarry.llm import ann, bitplane, chat, decontaminate, html_text, language, packing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": ann.op1_nearest_vectors,
@@ -15,10 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": bitplane.op5_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_packing": packing.op7_packing,
+    "op8_quality": quality.op8_quality,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op9_decontaminate": decontaminate.SQL,
 }
