@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bitplane, chat, decontaminate, html_text, language, packing, quality, url_filter
+from quarry.llm import ann, bitplane, chat, decontaminate, html_text, jaccard, language, packing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": ann.op1_nearest_vectors,
     "op2_chat_format": chat.op2_chat_format,
     "op3_language_id": language.op3_language_id,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_token_files": bitplane.op5_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_packing": packing.op7_packing,
