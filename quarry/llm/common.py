@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession, tag)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sliced(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``limit`` characters together, 256 texts at most."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= limit or i - begin >= 255:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)

@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import sliced, table
 
 #: Labelled rows that training uses of each language (a share of all rows that gives so many on average).
 PER_LANGUAGE = 600
 DIMENSIONS = 1 << 12
-#: Bytes of text that are turned into vectors at once.
-SLICE_BYTES = 1 << 20
 UNDECIDED = "und"
 
 # Families of ISO 639-1 codes; a code that is not listed is of family "other".
@@ -79,18 +77,6 @@ def features(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarra
     return rows / np.where(lengths == 0, 1, lengths)
 
 
-def sliced(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``limit`` characters together."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit or i - begin >= 255:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, float, float]:
     """Linear SVM (y is -1 or 1) by dual coordinate descent: weights with the bias last, and
     slope and shift of the sigmoid that turns margins into probabilities."""

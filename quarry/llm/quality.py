@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table
+from quarry.llm.common import sliced, stored, table
 
 ORDER = 4
 QUANTILE, MARGIN = 0.99, 1.3
@@ -65,15 +65,16 @@ def _grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, trusted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sums: dict[int, pd.Series] = {}
+            parts = []
             for good in (True, False):
-                part = [t for t, x in zip(texts, trusted) if x is good]
-                if part:
-                    where, codes = pd.factorize(gram_codes(part)[0])
-                    sums[good] = pd.Series(np.bincount(where, minlength=len(codes)) * good, index=codes)
-            total = reduce(lambda a, b: a.add(b, fill_value=0), sums.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(total.index.to_numpy(), pa.int64()), pa.array(total.to_numpy().astype(np.int64))], ["code", "n"])
+                some = [t for t, x in zip(texts, trusted) if x is good]
+                for begin, stop in sliced(some):
+                    where, codes = pd.factorize(gram_codes(some[begin:stop])[0])
+                    parts.append(pd.Series(np.bincount(where, minlength=len(codes)) * good, index=codes))
+            if parts:
+                total = pd.concat(parts).groupby(level=0, sort=False).sum()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(total.index.to_numpy(), pa.int64()), pa.array(total.to_numpy().astype(np.int64))], ["code", "n"])
 
     return docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -137,18 +138,20 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
-    parts = max(shards, 1)
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(parts, "shard")
+    # both uses below read the same columns of this one shuffle of the texts, which Spark writes once
+    dealt = texts.select(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "doc_id", F.xxhash64("text").alias("key"), "lang", "text").repartition(shards, "shard")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            of, lines = batch.column(0).to_numpy(), batch.column(4).to_pylist()
             for shard in np.unique(of):
-                codes = pd.unique(gram_codes([lines[i] for i in np.flatnonzero(of == shard)])[0])
+                mine = [lines[i] for i in np.flatnonzero(of == shard)]
+                codes = pd.unique(np.concatenate([pd.unique(gram_codes(mine[a:b])[0]) for a, b in sliced(mine)]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), shard)), pa.array(codes)], ["shard", "code"])
 
     # a shard whose texts came in several batches names some 4-grams more than once
-    known = dealt.select("shard", "text").mapInArrow(distinct, "shard long, code long").join(p, "code")
+    known = dealt.mapInArrow(distinct, "shard long, code long").join(p, "code")
 
     def judge(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         lines = mine.column("text").to_pylist()
@@ -156,8 +159,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         order = np.argsort(codes, kind="stable")
         codes, logp = codes[order], logp[order]
         out = []
-        for at in range(0, len(lines), 200):
-            grams_, starts = gram_codes(lines[at : at + 200])
+        for begin, stop in sliced(lines):
+            grams_, starts = gram_codes(lines[begin:stop])
             where, distinct_ = pd.factorize(grams_)
             each = logp[np.searchsorted(codes, distinct_)][where]
             sums, sizes = np.add.reduceat(each, starts), np.diff(np.append(starts, len(each)))
@@ -165,8 +168,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return pa.table([mine.column("doc_id"), mine.column("key"), mine.column("lang"), pa.array(np.concatenate(out))],
                         names=["doc_id", "key", "lang", "perplexity"])
 
-    keyed = dealt.withColumn("key", F.xxhash64("text"))
-    judged = (keyed.groupBy("shard").cogroup(known.select("shard", "code", "logp").groupBy("shard"))
+    judged = (dealt.groupBy("shard").cogroup(known.select("shard", "code", "logp").groupBy("shard"))
               .applyInArrow(judge, "doc_id long, key long, lang string, perplexity double"))
     blank = rows.where("text is null or text = ''").select("doc_id", F.xxhash64("text").alias("key"), "lang", F.lit(None).cast("double").alias("perplexity"))
     return judged.unionByName(blank).join(trusted, "doc_id", "left").select(
