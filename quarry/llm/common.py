@@ -6,10 +6,15 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
 
 
+#: Keys (tens of bytes each) up to so many are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table, read by Spark alone (the folder may be in any store Spark knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,3 +51,14 @@ def sliced(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int,
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def without(docs: DataFrame, gone: DataFrame, by_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (and text, if ``by_text``: ``gone`` then has its hash as
+    ``key``) is not in ``gone``; all columns stay as they are."""
+    gone = stored(gone.select(F.col("doc_id").alias("gone_id"), *([F.col("key").alias("gone_key")] if by_text else [])).distinct(), "gone")
+    n = gone.count()
+    match = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"])
+    if by_text:
+        match = match & (F.xxhash64(docs["text"]) == gone["gone_key"])
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, match, "left_anti")

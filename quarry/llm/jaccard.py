@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table
+from quarry.llm.common import stored, table, without
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, shingle_sets
 
@@ -155,17 +155,17 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
 
 
 def _points(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, node) for every row."""
+    """(doc_id, key, n, node) for every row; ``key`` is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node = [], []
-            for hashes in shingle_sets(batch.column(1).to_pylist(), rule.words):
+            for hashes in shingle_sets(batch.column(2).to_pylist(), rule.words):
                 n.append(len(hashes))
                 node.append(node_of(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "key", "n", "node"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, node long")
 
 
 def _first_of_runs(keys: np.ndarray) -> np.ndarray:
@@ -344,8 +344,9 @@ def _blocks(judged: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) ->
     return side("a").groupBy("tile").cogroup(side("b").groupBy("tile")).applyInArrow(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, n_shingles, root, component_id) for every row of ``docs``; ``key`` is a hash of its text,
+    ``root`` the number of its component (null without shingles).
 
     Two documents link when ``den * shared >= num * union`` over their distinct shingles of ``words``
     words; ``component_id`` is the smallest doc_id that links reach, its own included. Null, empty
@@ -371,13 +372,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 roots = stored(components(links.union(more)), "roots")
         rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        nodes = rooted.join(lowest, "root").select("node", "component_id")
+        nodes = rooted.join(lowest, "root").select("node", "root", "component_id")
     else:
-        nodes = nodes.select("node", F.col("least").alias("component_id"))
+        nodes = nodes.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"))
     nodes = stored(nodes, "components")
     return points.join(nodes, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "key", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) without near duplicates: of each component the
+    document of smallest doc_id stays (of equal ids one text; of equal rows one). Texts without shingles all stay."""
+    rows = stored(grouped(docs, words, num, den), "groups")
+    first = stored(rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")), "first")
+    others = rows.join(first, "root").where("not (first <=> struct(doc_id, key))").select("doc_id", "key")
+    kept = without(docs, others, by_text=True)
+    again = rows.where("root is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if again.isEmpty():
+        return kept
+    return kept.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    found = grouped(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
