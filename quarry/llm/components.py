@@ -2,8 +2,9 @@
 
 Large-star and small-star steps alternate until the edges no longer change; then each node
 points to the smallest node of its component. Every step is checkpointed in the shared
-folder. A node with very many edges is a hot join key, which the adaptive skew join splits;
-the minimum over its neighbours is aggregated before the shuffle.
+folder. The minimum over a node's neighbours is aggregated before the shuffle. A node with very
+many edges is a hot key of the join that follows; as both sides of that join are plain
+shuffles of written tables, the adaptive skew join can split it.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from quarry.llm.common import stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` point downwards (v < u)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u")
     return (moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -6,27 +6,28 @@ at most the sum over all groups of the smaller of the two counts, so an R-tree o
 whose nodes know the largest count of each group below them, finds for a document all those that it
 might be linked with; these few are verified with the shingles themselves.
 
-To find links without comparing all documents, Spark first deals the points into cells. A link
-allows two sets of bounded size at most ``d`` different shingles, so of ``m > d`` groups at least
-``m - d`` have the very same shingles in both: the content of each group is a cell (groups with
-the fewest shingles may be left out, as long as fewer than ``m - d`` go on both sides
-together). Sizes fall into bands; a document enters the cells of its own band and of the next one, where
-its larger partners are.
+Spark first deals the points into cells, as no tree over all documents fits a task. In any
+fixed order of all shingles, two linked sets have a shingle in common among the first of each (a
+set of n shares at least ``need`` with whatever it links with, so its first ``n - need + 1``): that
+shingle is a cell that holds both. The order puts frequent shingles last, so that cells are small. Which
+are frequent is found from a bounded share of the documents and is a hint for speed only:
+any order finds all links.
 
 1. One pass over the texts gives size and node (a 64-bit hash of the set) of each document:
    equal sets are one node, however many copies there are.
 2. A second pass gives the cells' entries; each task keeps one entry of a cell for all its members
-   (so a cell of any size costs one row a task) and every member is paired with the cell's smallest
-   node. Shards of entries find the cells with several members.
-3. These pairs are bounded and verified; connected components of the links follow.
-4. A link that step 3 can't know joins two members of one cell whose pairs failed. So documents in
-   components that failed pairs hold together form blocks, and in these all documents of
-   different components meet: R-trees over chunks of at most about ``CHUNK`` points, chunk against chunk,
-   only of neighbouring size bands, and never two chunks of one component. Their survivors are verified
-   and the components made final.
-
-Nothing is capped or sampled: the links found are all links. (Node ids of two different sets are
-equal with a chance of 2**-64.)
+   (so a cell of any size costs one row a task) and passes the members on evenly. Shards of entries
+   find the cells with several members.
+3. Every member is paired with its cell's smallest node; these pairs are bounded and verified, and
+   connected components of the links follow.
+4. A link that step 3 can't know joins two members of one cell in different components. In the
+   cells that still hold several components, R-trees find the pairs of different components whose bound
+   reaches what a link needs, and these are verified, too. A cell of more than ``CHUNK`` members is cut into
+   chunks by component and size, and chunk meets chunk: never two of one component or of
+   sizes that can't link, and no task holds the cell whole.
+
+Nothing is capped or sampled away: the links found connect what all links connect. (Node ids of two
+different sets are equal with a chance of 2**-64.)
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, table, without
@@ -47,6 +48,10 @@ GROUPS = 64
 CHUNK = 512
 #: Entries of a shard, about (16 bytes each), and those a task gathers before it hands them on.
 SHARD_ENTRIES, TASK_ENTRIES = 250_000, 2_000_000
+#: Shingles that the search for frequent ones looks at, and frequent ones it keeps (9 bytes each), at most.
+HINT_SHINGLES, HINT_KEPT = 10_000_000, 500_000
+#: Rows of a group of tiles, about (150 bytes each).
+TILE_ROWS = 20_000
 #: Document ids (8 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 LEAF = 16
@@ -64,39 +69,19 @@ class Rule:
         """Shingles that sets of sizes a and b must share."""
         return -(-self.num * (a + b) // (self.den + self.num))
 
-    def bands(self, most: int) -> np.ndarray:
-        """Upper bounds of the size bands; linked sets lie in one band or in neighbours."""
-        out = [1]
-        while out[-1] < most:
-            out.append(max(out[-1] + 1, out[-1] * self.den // self.num))
-        return np.array(out)
-
-
-def cell_plan(rule: Rule, high: int) -> tuple[int, int]:
-    """Groups in a band with sizes up to ``high``, and how many of them a document may leave out."""
-    differ = 2 * high * (rule.den - rule.num) // (rule.den + rule.num)
-    spare = differ // 5
-    return differ + 1 + spare, spare // 2
-
-
-def cells_of(hashes: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarray:
-    """The cells of one set (sorted hashes), as 64-bit numbers."""
-    n = len(hashes)
-    band = int(np.searchsorted(bands, n))
-    mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes))])
-    high32 = hashes >> np.uint64(32)
-    out = []
-    for b in (band, band + 1):
-        high = int(bands[b]) if b < len(bands) else max(int(bands[-1]) + 1, int(bands[-1]) * rule.den // rule.num)
-        m, skip = cell_plan(rule, high)
-        group = (high32 * np.uint64(m)) >> np.uint64(32)  # rises with the hash, so groups are runs
-        size = np.bincount(group.astype(np.int64), minlength=m)
-        stop = np.cumsum(size)
-        content = mixed[stop] - mixed[stop - size]
-        chosen = np.argpartition(size, skip)[skip:] if skip else np.arange(m)
-        place = chosen.astype(np.uint64) + (np.uint64(b) << np.uint64(40))
-        out.append(mix(content[chosen] + mix(place) + size[chosen].astype(np.uint64)))
-    return np.concatenate(out)
+    def band(self, n: Column) -> Column:
+        """A number for a size; linked sets have the same number or neighbouring ones."""
+        return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(self.den / self.num) * 1.0000001))).cast("int")
+
+
+def cells_of(hashes: np.ndarray, rule: Rule, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The cells of one set (sorted hashes): its first shingles by (level, hash), frequent ones last."""
+    take = len(hashes) - -(-rule.num * len(hashes) // rule.den) + 1
+    if not len(frequent):
+        return hashes[:take]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    order = np.where(frequent[at] == hashes, level[at], 0)
+    return hashes[np.argsort(order, kind="stable")[:take]]
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -168,27 +153,51 @@ def _points(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, node long")
 
 
-def _first_of_runs(keys: np.ndarray) -> np.ndarray:
-    """For sorted keys, the place of the first equal key."""
-    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return np.repeat(begins, np.diff(np.append(begins, len(keys))))
+def _arrays(part: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in part.column(name).to_pylist()])
 
 
-def _star(cells: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One entry a cell (its smallest node), and the pairs (member, smallest node) of distinct nodes."""
-    order = np.lexsort((nodes, cells))
-    cells, nodes = cells[order], nodes[order]
-    first = _first_of_runs(cells)
-    entry = first == np.arange(len(first))
-    u, v = nodes, nodes[first]
-    pairs = np.unique(np.stack([u, v], axis=1)[u != v], axis=0)
-    return cells[entry], nodes[entry], pairs
+def _spread(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Bounds of the shards in sorted keys (shards are ranges of hashes)."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
 
 
-def _pairs(rows: DataFrame, rule: Rule, most: int, shingles: int) -> DataFrame:
-    """(u, v): pairs of nodes that a cell holds together, each member with its cell's smallest node."""
-    bands = rule.bands(most)
-    shards = max(1, shingles // 2 // SHARD_ENTRIES + 1)
+def _frequent(rows: DataFrame, rule: Rule, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several of a bounded share of the documents, with a level that
+    rises with their number; an order for ``cells_of``."""
+    share = min(0.25, HINT_SHINGLES / max(shingles, 1))
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    shards = max(1, int(share * shingles) // SHARD_ENTRIES + 1)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h for h in shingle_sets(batch.column(0).to_pylist(), rule.words) if len(h)]
+            if sets:
+                values, counts = np.unique(np.concatenate(sets), return_counts=True)
+                bounds = _spread(values, shards)
+                counts = counts.astype(np.uint32)
+                made = [(k, values[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), SHARD_TYPES)], ["shard", "cells", "nodes"])
+
+    def add(part: pa.Table) -> pa.Table:
+        values, counts = _arrays(part, "cells", np.uint64), _arrays(part, "nodes", np.uint32)
+        values, where = np.unique(values, return_inverse=True)
+        total = np.bincount(where, counts).astype(np.int64)
+        often = total > 1
+        return pa.table([pa.array(values[often].view(np.int64)), pa.array(total[often])], names=["h", "n"])
+
+    counted = some.mapInArrow(gather, "shard long, cells binary, nodes binary").groupBy("shard").applyInArrow(add, "h long, n long")
+    found = counted.orderBy(F.desc("n"), "h").limit(HINT_KEPT).collect()  # a hint of bounded size
+    values = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    level = np.log2(np.array([r["n"] for r in found], np.float64)).astype(np.uint8)
+    order = np.argsort(values)
+    return values[order], level[order]
+
+
+def _cells(rows: DataFrame, rule: Rule, shingles: int) -> DataFrame:
+    """(cell, node): the members of all cells with several."""
+    frequent, level = _frequent(rows, rule, shingles)
+    shards = max(1, shingles * (rule.den - rule.num) // rule.den // SHARD_ENTRIES + 1)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
@@ -198,14 +207,18 @@ def _pairs(rows: DataFrame, rule: Rule, most: int, shingles: int) -> DataFrame:
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            entry, node, pairs = _star(np.concatenate(cells), np.concatenate(nodes))
-            shard = (entry >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # rises with the cell
-            bounds = np.searchsorted(shard, np.arange(shards + 1))
-            # this task's own pairs travel along, spread over the shards
-            cut = np.linspace(0, len(pairs), shards + 1).astype(int)
-            made = [(s, entry[a:b].tobytes(), node[a:b].tobytes(), pairs[c:d].tobytes())
+            cell, node = np.concatenate(cells), np.concatenate(nodes)
+            order = np.argsort(cell, kind="stable")
+            cell, node = cell[order], node[order]
+            new = np.append(True, cell[1:] != cell[:-1])
+            many = ~new | np.append(~new[1:], False)  # in a cell with several members here
+            bounds = _spread(cell[new], shards)
+            single_cell, single_node = cell[new], node[new]
+            cut = np.linspace(0, int(many.sum()), shards + 1).astype(int)
+            known_cell, known_node = cell[many], node[many]
+            made = [(s, single_cell[a:b].tobytes(), single_node[a:b].tobytes(), known_cell[c:d].tobytes(), known_node[c:d].tobytes())
                     for s, (a, b, c, d) in enumerate(zip(bounds, bounds[1:], cut, cut[1:])) if b > a or d > c]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), SHARD_TYPES)], ["shard", "cells", "nodes", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), SHARD_TYPES)], ["shard", "cells", "nodes", "known_cells", "known_nodes"])
             cells.clear()
             nodes.clear()
             seen.clear()
@@ -216,7 +229,7 @@ def _pairs(rows: DataFrame, rule: Rule, most: int, shingles: int) -> DataFrame:
                 if not len(hashes) or (node := node_of(hashes)) in seen:
                     continue
                 seen[node] = None
-                cells.append(cells_of(hashes, rule, bands))
+                cells.append(cells_of(hashes, rule, frequent, level))
                 nodes.append(np.full(len(cells[-1]), node, np.int64))
                 held += len(cells[-1])
                 if held >= TASK_ENTRIES:
@@ -225,16 +238,26 @@ def _pairs(rows: DataFrame, rule: Rule, most: int, shingles: int) -> DataFrame:
             yield from hand_on()
 
     def meet(part: pa.Table) -> pa.Table:
-        joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in part.column(name).to_pylist()])
-        _, _, pairs = _star(joined("cells", np.uint64), joined("nodes", np.int64))
-        pairs = np.unique(np.concatenate([pairs, joined("pairs", np.int64).reshape(-1, 2)]), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        cell, node = _arrays(part, "cells", np.uint64), _arrays(part, "nodes", np.int64)
+        order = np.lexsort((node, cell))
+        cell, node = cell[order], node[order]
+        new = np.append(True, cell[1:] != cell[:-1])
+        many = ~new | np.append(~new[1:], False)
+        cell = np.concatenate([cell[many], _arrays(part, "known_cells", np.uint64)])
+        node = np.concatenate([node[many], _arrays(part, "known_nodes", np.int64)])
+        return pa.table([pa.array(cell.view(np.int64)), pa.array(node)], names=["cell", "node"])
 
-    entries = rows.select("text").mapInArrow(enter, "shard long, cells binary, nodes binary, pairs binary")
-    return entries.groupBy("shard").applyInArrow(meet, "u long, v long").distinct()
+    entries = rows.select("text").mapInArrow(enter, "shard long, cells binary, nodes binary, known_cells binary, known_nodes binary")
+    return entries.groupBy("shard").applyInArrow(meet, "cell long, node long").distinct()
 
 
-SHARD_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+SHARD_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _stars(cells: DataFrame) -> DataFrame:
+    """(u, v): every member with its cell's smallest node."""
+    least = stored(cells.groupBy("cell").agg(F.min("node").alias("v")), "least")
+    return cells.join(least, "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def _sets(rows: DataFrame, points: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -276,72 +299,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.select("u", "v", "u_n", "u_counts", "u_hashes", "v_n", "v_counts", "v_hashes").mapInArrow(bounded, "u long, v long, link boolean")
 
 
-def _blocks(judged: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
-    """Links between documents of different components that failed pairs hold together; None if there are no such."""
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    failed = (judged.where("not link").join(root("u"), "u", "left").join(root("v"), "v", "left")
-              .select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).where("u <> v").distinct())
-    failed = stored(failed, "failed")
-    if failed.isEmpty():
-        return None
-    block = components(failed).select(F.col("node").alias("comp"), F.col("root").alias("block"))
-    bands = rule.bands(1 << 40).tolist()
-    band = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bands]), lambda b: b < F.col("n")))
-    members = (sets.select("node", "n").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-               .join(block, "comp").withColumn("band", band))
-    # a component of many members has chunks of its own, which never meet each other
-    many = members.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("k")).select("block", "comp", F.when(F.col("k") >= CHUNK, F.col("comp")).alias("family"))
-    members = stored(members.join(many, ["block", "comp"]), "members")
-    key = ["block", "family", "band"]
-    sizes = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    same = lambda a, b: (a["block"] == b["block"]) & (a["band"] == b["band"]) & a["family"].eqNullSafe(b["family"])
-    m = members.alias("m")
-    s = sizes.alias("s")
-    members = (m.join(s, same(members, sizes)).select("m.node", "m.comp", "m.block", "m.family", "m.band", "s.chunks")
-               .withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("chunks"))
-    members = stored(members, "chunks")
-    chunks = members.select(*key, "salt").distinct()
-    name = lambda p: F.struct(f"{p}.band", F.coalesce(f"{p}.family", F.lit(0)).alias("f"), f"{p}.salt")
-    a, b = chunks.alias("a"), chunks.alias("b")
-    tiles = (a.join(b, (F.col("a.block") == F.col("b.block")) & F.col("b.band").between(F.col("a.band"), F.col("a.band") + 1) & (name("a") <= name("b")))
-             .where("a.family is null or b.family is null or a.family <> b.family")
-             .select(F.xxhash64("a.block", name("a"), name("b")).alias("tile"), F.col("a.block").alias("block"), *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("family", "band", "salt")]))
-    tiles = stored(tiles, "tiles")
-
-    def side(p: str) -> DataFrame:
-        at = tiles.select("tile", F.col("block").alias("t_block"), *[F.col(f"{p}_{c}").alias(f"t_{c}") for c in ("family", "band", "salt")])
-        there = (F.col("block") == F.col("t_block")) & (F.col("band") == F.col("t_band")) & (F.col("salt") == F.col("t_salt")) & F.col("family").eqNullSafe(F.col("t_family"))
-        found = members.join(at, there).select("tile", "node", "comp").join(sets, "node")
-        return found.select(*[F.col(c).alias(c) for c in ("tile", "node", "comp", "n", "counts", "hashes")])  # columns of its own, for cogroup
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        def read(t: pa.Table):
-            order = np.argsort(t.column("node").to_numpy(), kind="stable")
-            t = t.take(pa.array(order))
-            return (t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(),
-                    np.stack([np.frombuffer(c, np.int32) for c in t.column("counts").to_pylist()]),
-                    [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()])
-
-        u, u_comp, u_n, u_counts, u_sets = read(left)
-        v, v_comp, v_n, v_counts, v_sets = read(right)
-        tree = CountTree(v_counts, v_n, rule)
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
+def _open_pairs(cells: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v): pairs of one cell and different components whose bound allows a link."""
+    entries = stored(cells.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("comp")), "entries")
+    state = entries.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
+    state = stored(state.select("cell", "k"), "open-cells")
+    vectors = sets.select("node", "n", "counts")
+    members = stored(entries.join(state, "cell").join(vectors.select("node", "n"), "node"), "members")
+    small = members.where(F.col("k") <= CHUNK).select(F.xxhash64("cell").alias("tile"), F.lit(2).alias("side"), "node", "comp")
+
+    # large cells: a component of many members has chunks of its own, which never meet each other
+    large = members.where(F.col("k") > CHUNK).withColumn("band", rule.band(F.col("n")))
+    large = stored(large, "large-cells")
+    rows = small
+    if not large.isEmpty():
+        many = large.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CHUNK).select("cell", "comp", F.col("comp").alias("family"))
+        large = large.join(stored(many, "families"), ["cell", "comp"], "left").withColumn("family", F.coalesce("family", F.lit(0)))
+        key = ["cell", "family", "band"]
+        sizes = stored(large.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "sizes")
+        large = stored(large.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "chunks")
+        chunk = F.struct("band", "family", "salt")
+        chunks = large.select("cell", chunk.alias("c")).distinct()
+        a, b = chunks.select("cell", F.col("c").alias("a")), chunks.select("cell", F.col("c").alias("b"))
+        tiles = a.join(b, "cell").where("a <= b and b.band - a.band <= 1 and (a.family <> b.family or a.family = 0)")
+        tile = F.xxhash64("cell", "a", "b")
+        tiles = stored(tiles.select(tile.alias("tile"), "cell", F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(2).alias("side"), F.col("a").alias("c")))).otherwise(
+            F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("b").alias("c")))))), "tiles")
+        rows = small.unionByName(large.withColumn("c", chunk).join(tiles, ["cell", "c"]).select("tile", "side", "node", "comp"))
+    rows = stored(rows.join(vectors, "node").select("tile", "side", "node", "comp", "n", "counts"), "tile-rows")
+    groups = max(1, rows.count() // TILE_ROWS + 1)
+
+    def search(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("tile", "ascending"), ("node", "ascending")])
+        tile, side, node, comp, n = (part.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
+        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.int32).reshape(len(part), GROUPS)
+        begins = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         found = []
-        for i in range(len(u)):
-            for j in tree.search(u_counts[i], int(u_n[i])).tolist():
-                x, y = top(int(u_comp[i])), top(int(v_comp[j]))
-                if x != y and linked(u_sets[i], v_sets[j], rule):  # what is connected needs no further link
-                    parent[x] = y
-                    found.append((int(u[i]), int(v[j])))
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        for a, b in zip(begins, np.append(begins[1:], len(tile))):
+            mine, theirs = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
+            if not len(mine) or not len(theirs):
+                continue
+            tree = CountTree(counts[theirs], n[theirs], rule)
+            for i in mine:
+                near = theirs[tree.search(counts[i], int(n[i]))]
+                near = near[(comp[near] != comp[i]) & ((node[near] > node[i]) | (side[i] != 2))]
+                if len(near):
+                    found.append(np.stack([np.full(len(near), node[i]), node[near]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
 
-    return side("a").groupBy("tile").cogroup(side("b").groupBy("tile")).applyInArrow(search, "u long, v long")
+    grouped_ = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("part")
+    return grouped_.applyInArrow(search, "u long, v long").distinct()
 
 
 def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,20 +364,16 @@ def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_
     rule = Rule(words, num, den)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     points = stored(_points(rows, rule), "points")
-    most, total = points.agg(F.max("n"), F.sum("n")).first()
+    total = points.agg(F.sum("n")).first()[0]
     nodes = points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if most:
-        pairs = stored(_pairs(rows, rule, int(most), int(total)), "pairs")
-        some = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        sets = stored(_sets(rows, points, some, rule), "sets")
-        judged = stored(_verified(pairs, sets, rule), "judged")
-        links = judged.where("link").select("u", "v")
+    if total:
+        cells = stored(_cells(rows, rule, int(total)), "cells")
+        sets = stored(_sets(rows, points, cells.select("node").distinct(), rule), "sets")
+        links = stored(_verified(_stars(cells), sets, rule).where("link").select("u", "v"), "links")
         roots = stored(components(links), "roots")
-        more = _blocks(judged, roots, sets, rule)
-        if more is not None:
-            more = stored(more, "more-links")
-            if not more.isEmpty():
-                roots = stored(components(links.union(more)), "roots")
+        more = stored(_verified(_open_pairs(cells, roots, sets, rule), sets, rule).where("link").select("u", "v"), "more-links")
+        if not more.isEmpty():
+            roots = stored(components(links.union(more)), "roots")
         rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         nodes = rooted.join(lowest, "root").select("node", "root", "component_id")
