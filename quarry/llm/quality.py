@@ -36,7 +36,9 @@ from quarry.llm.common import sliced, stored, table
 ORDER = 4
 QUANTILE, MARGIN = 0.99, 1.3
 #: Characters of a shard, about.
-SHARD_CHARS = 6_000_000
+SHARD_CHARS = 10_000_000
+#: 4-grams with their probabilities (16 bytes each) up to so many are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 #: Trusted ids (8 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _HEAD, _STOP = 2, 3  # symbols before and after a text
@@ -135,6 +137,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = rows.where("text <> ''")
     grams = stored(_grams(texts.join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))), "grams")
     p = stored(probabilities(grams), "probabilities")
+    p = F.broadcast(p) if p.count() <= BROADCAST_GRAMS else p
 
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
