@@ -160,6 +160,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     out = files.open_output_stream(f"{path}/{name}")
                     writer = Writer(out, planes)
                 writer.add(key, encode(whole) + end)
+        encoder(tokenizer).forget()
         if writer is not None:
             head = writer.close()
             out.close()

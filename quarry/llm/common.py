@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 from quarry.session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = 16 << 20
 #: Keys (tens of bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table, read by Spark alone (the folder may be in any store Spark knows)."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts may be long: batches for Python workers hold BATCH_BYTES at most (a smaller setting stays)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, None)).strip().lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which the driver and all executors
     see. The JVM deletes it when the session's process ends."""

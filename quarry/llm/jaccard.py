@@ -93,6 +93,14 @@ def count_vector(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((mix(hashes) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int32).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * GROUPS else np.int32).astype(np.int32)
+
+
 class CountTree:
     """An R-tree over count vectors, bulk-loaded by halving along the coordinate of largest
     spread. A node keeps the largest counts and the smallest size below it."""
@@ -260,51 +268,79 @@ def _stars(cells: DataFrame) -> DataFrame:
     return cells.join(least, "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _sets(rows: DataFrame, points: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, counts, hashes) of the given nodes, each from one document that has it."""
+def _texts(rows: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, from one document each."""
     docs = stored(nodes.join(points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "wanted")
     n = docs.count()
     ids = docs.select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted"))
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    wanted = rows.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("wanted", "text")
+    return rows.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("wanted", "text")
+
+
+def _vectors(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, n, counts) for each of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(node, len(hashes), packed(count_vector(hashes)))
+                   for node, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), rule.words))
+                   if len(hashes) and node_of(hashes) == node]  # else another text under the same id
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "counts"])
+
+    return texts.mapInArrow(run, "node long, n long, counts binary").dropDuplicates(["node"])
+
+
+def _hashes(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, hashes) for each of ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for node, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), rule.words)):
-                if len(hashes) and node_of(hashes) == node:  # else another text under the same id
-                    out.append((node, len(hashes), count_vector(hashes).tobytes(), hashes.tobytes()))
+            out = [(node, hashes.tobytes()) for node, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), rule.words))
+                   if len(hashes) and node_of(hashes) == node]
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "counts", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["node", "hashes"])
 
-    return wanted.mapInArrow(run, "node long, n long, counts binary, hashes binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(u, v, link) for each pair, by bound and then exactly."""
-    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "counts", "hashes")])
+def _bounded(pairs: DataFrame, vectors: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose summed minima reach what a link needs."""
+    side = lambda s: vectors.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "counts")])
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, un, uc, uh, vn, vc, vh = batch.columns
-            link = []
-            for a, b, x, y, p, q in zip(un.to_pylist(), vn.to_pylist(), uc, vc, uh, vh):
-                shared = np.minimum(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)).sum()
-                link.append(bool(shared >= rule.need(a, b)) and linked(
-                    np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), rule))
-            yield pa.RecordBatch.from_arrays([u, v, pa.array(link, pa.bool_())], ["u", "v", "link"])
+            u, v, un, uc, vn, vc = batch.columns
+            if batch.num_rows:
+                x, y = (np.stack([unpacked(c) for c in side.to_pylist()]) for side in (uc, vc))
+                keep = pa.array(np.minimum(x, y).sum(axis=1) >= rule.need(un.to_numpy(), vn.to_numpy()))
+                yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
     both = pairs.join(side("u"), F.col("u") == F.col("u_node")).join(side("v"), F.col("v") == F.col("v_node"))
-    return both.select("u", "v", "u_n", "u_counts", "u_hashes", "v_n", "v_counts", "v_hashes").mapInArrow(bounded, "u long, v long, link boolean")
+    sizes = (F.least("u_n", "v_n") * rule.den >= F.greatest("u_n", "v_n") * rule.num)
+    return both.where(sizes).select("u", "v", "u_n", "u_counts", "v_n", "v_counts").mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that link, exactly."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = stored(_hashes(_texts(rows, points, nodes), rule), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, uh, vh = batch.columns
+            keep = pa.array([linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), rule) for p, q in zip(uh, vh)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
+
+    a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes")) for s in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(run, "u long, v long")
 
 
-def _open_pairs(cells: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _open_pairs(cells: DataFrame, roots: DataFrame, vectors: DataFrame, rule: Rule) -> DataFrame:
     """(u, v): pairs of one cell and different components whose bound allows a link."""
     entries = stored(cells.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("comp")), "entries")
     state = entries.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
     state = stored(state.select("cell", "k"), "open-cells")
-    vectors = sets.select("node", "n", "counts")
     members = stored(entries.join(state, "cell").join(vectors.select("node", "n"), "node"), "members")
     small = members.where(F.col("k") <= CHUNK).select(F.xxhash64("cell").alias("tile"), F.lit(2).alias("side"), "node", "comp")
 
@@ -332,7 +368,7 @@ def _open_pairs(cells: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule)
     def search(part: pa.Table) -> pa.Table:
         part = part.sort_by([("tile", "ascending"), ("node", "ascending")])
         tile, side, node, comp, n = (part.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
-        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.int32).reshape(len(part), GROUPS)
+        counts = np.stack([unpacked(c) for c in part.column("counts").to_pylist()])
         begins = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         found = []
         for a, b in zip(begins, np.append(begins[1:], len(tile))):
@@ -368,10 +404,12 @@ def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_
     nodes = points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if total:
         cells = stored(_cells(rows, rule, int(total)), "cells")
-        sets = stored(_sets(rows, points, cells.select("node").distinct(), rule), "sets")
-        links = stored(_verified(_stars(cells), sets, rule).where("link").select("u", "v"), "links")
+        vectors = stored(_vectors(_texts(rows, points, cells.select("node").distinct()), rule), "vectors")
+        pairs = stored(_bounded(_stars(cells), vectors, rule), "pairs")
+        links = stored(_verified(pairs, rows, points, rule), "links")
         roots = stored(components(links), "roots")
-        more = stored(_verified(_open_pairs(cells, roots, sets, rule), sets, rule).where("link").select("u", "v"), "more-links")
+        pairs = stored(_open_pairs(cells, roots, vectors, rule), "open-pairs")
+        more = stored(_verified(pairs, rows, points, rule), "more-links")
         if not more.isEmpty():
             roots = stored(components(links.union(more)), "roots")
         rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -392,9 +430,12 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     others = rows.join(first, "root").where("not (first <=> struct(doc_id, key))").select("doc_id", "key")
     kept = without(docs, others, by_text=True)
     again = rows.where("root is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    again = stored(again.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "repeated")
     if again.isEmpty():
         return kept
-    return kept.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    repeated = kept.join(again, kept["doc_id"].cast("long").eqNullSafe(again["__id"]) & (F.xxhash64(kept["text"]) == again["__key"]))
+    single = without(kept, again.select(F.col("__id").alias("doc_id"), F.col("__key").alias("key")), by_text=True)
+    return single.unionByName(repeated.dropDuplicates(["__id", "__key"]).select(*docs.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
                 if len(rows) >= 2000:
                     yield _batch(rows, keep_ids)
                     rows.clear()
+        encoder(tokenizer).forget()
         place(packer.finish())
         if rows:
             yield _batch(rows, keep_ids)

@@ -13,9 +13,9 @@ import os
 import re
 import struct
 
-#: Strings that a worker process remembers at most (about 200 bytes each): those of a young and
+#: Strings that a task remembers at most (about 200 bytes each): those of a young and
 #: of an old generation. When the young one is full it becomes the old one.
-CACHE_STRINGS = 900_000
+CACHE_STRINGS = 1_200_000
 #: Letters that the normal form of a text leaves as they are, alone and side by side.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _ENDS_PLAIN = re.compile(rb"(?s:.*)(?:[0-9a-z]|\xc3[\x9f-\xb6\xb8-\xbf])").fullmatch
@@ -89,6 +89,11 @@ class WordEncoder(dict):
             self.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
+    def forget(self) -> None:
+        """Called at a task's end, as its process lives on."""
+        self.clear()
+        self.old = {}
+
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text (null: none)."""
         if not text:
