@@ -18,13 +18,16 @@ any order finds all links.
 2. A second pass gives the cells' entries; each task keeps one entry of a cell for all its members
    (so a cell of any size costs one row a task) and passes the members on evenly. Shards of entries
    find the cells with several members.
-3. Every member is paired with its cell's smallest node; these pairs are bounded and verified, and
-   connected components of the links follow.
+3. Every member is paired with its cell's centre, the member that lies in most cells (in a family of
+   edited copies that is the original); these pairs are bounded and verified, and connected components of
+   the links follow.
 4. A link that step 3 can't know joins two members of one cell in different components. In the
-   cells that still hold several components, R-trees find the pairs of different components whose bound
-   reaches what a link needs, and these are verified, too. A cell of more than ``CHUNK`` members is cut into
-   chunks by component and size, and chunk meets chunk: never two of one component or of
-   sizes that can't link, and no task holds the cell whole.
+   cells that still hold several components, R-trees find the components that the bound can't keep apart: they
+   form blocks. In each block all documents of different components meet once more in R-trees, and what
+   the bound allows is verified unless it is connected already.
+
+A cell or block of more than ``CHUNK`` members is cut into chunks by component and size, and chunk meets
+chunk: never two of one component or of sizes that can't link, and no task holds the whole.
 
 Nothing is capped or sampled away: the links found connect what all links connect. (Node ids of two
 different sets are equal with a chance of 2**-64.)
@@ -263,9 +266,11 @@ SHARD_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def _stars(cells: DataFrame) -> DataFrame:
-    """(u, v): every member with its cell's smallest node."""
-    least = stored(cells.groupBy("cell").agg(F.min("node").alias("v")), "least")
-    return cells.join(least, "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    """(u, v): every member with its cell's centre."""
+    degree = stored(cells.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    ranked = stored(cells.join(degree, "node"), "ranked")
+    centre = ranked.groupBy("cell").agg(F.max(F.struct("degree", "node")).alias("c")).select("cell", F.col("c.node").alias("v"))
+    return ranked.join(stored(centre, "centres"), "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def _texts(rows: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -336,41 +341,59 @@ def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame, rule: Rule)
     return pairs.join(a, "u").join(b, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(run, "u long, v long")
 
 
-def _open_pairs(cells: DataFrame, roots: DataFrame, vectors: DataFrame, rule: Rule) -> DataFrame:
-    """(u, v): pairs of one cell and different components whose bound allows a link."""
-    entries = stored(cells.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("comp")), "entries")
-    state = entries.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
-    state = stored(state.select("cell", "k"), "open-cells")
-    members = stored(entries.join(state, "cell").join(vectors.select("node", "n"), "node"), "members")
-    small = members.where(F.col("k") <= CHUNK).select(F.xxhash64("cell").alias("tile"), F.lit(2).alias("side"), "node", "comp")
-
-    # large cells: a component of many members has chunks of its own, which never meet each other
-    large = members.where(F.col("k") > CHUNK).withColumn("band", rule.band(F.col("n")))
-    large = stored(large, "large-cells")
-    rows = small
-    if not large.isEmpty():
-        many = large.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CHUNK).select("cell", "comp", F.col("comp").alias("family"))
-        large = large.join(stored(many, "families"), ["cell", "comp"], "left").withColumn("family", F.coalesce("family", F.lit(0)))
-        key = ["cell", "family", "band"]
-        sizes = stored(large.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "sizes")
-        large = stored(large.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "chunks")
-        chunk = F.struct("band", "family", "salt")
-        chunks = large.select("cell", chunk.alias("c")).distinct()
-        a, b = chunks.select("cell", F.col("c").alias("a")), chunks.select("cell", F.col("c").alias("b"))
-        tiles = a.join(b, "cell").where("a <= b and b.band - a.band <= 1 and (a.family <> b.family or a.family = 0)")
-        tile = F.xxhash64("cell", "a", "b")
-        tiles = stored(tiles.select(tile.alias("tile"), "cell", F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(2).alias("side"), F.col("a").alias("c")))).otherwise(
-            F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("b").alias("c")))))), "tiles")
-        rows = small.unionByName(large.withColumn("c", chunk).join(tiles, ["cell", "c"]).select("tile", "side", "node", "comp"))
-    rows = stored(rows.join(vectors, "node").select("tile", "side", "node", "comp", "n", "counts"), "tile-rows")
-    groups = max(1, rows.count() // TILE_ROWS + 1)
+def _tiles(members: DataFrame, rule: Rule) -> DataFrame:
+    """(tile, side, node, comp, n) from members (home, node, comp, n): in every home, all members of different
+    components meet in some tile. Side 2 meets itself, side 0 meets side 1."""
+    sizes = stored(members.groupBy("home").agg(F.count(F.lit(1)).alias("k")), "homes")
+    members = members.join(sizes, "home")
+    small = members.where(F.col("k") <= CHUNK).select(F.xxhash64("home").alias("tile"), F.lit(2).alias("side"), "node", "comp", "n")
+    if sizes.where(F.col("k") > CHUNK).isEmpty():
+        return small
+    # a component of many members has chunks of its own, which never meet each other
+    large = stored(members.where(F.col("k") > CHUNK).withColumn("band", rule.band(F.col("n"))), "large-homes")
+    many = large.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CHUNK).select("home", "comp", F.col("comp").alias("family"))
+    large = large.join(stored(many, "families"), ["home", "comp"], "left").withColumn("family", F.coalesce("family", F.lit(0)))
+    key = ["home", "family", "band"]
+    chunks = stored(large.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "sizes")
+    large = stored(large.join(chunks, key).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "chunks")
+    chunk = F.struct("band", "family", "salt")
+    chunks = large.select("home", chunk.alias("c")).distinct()
+    a, b = chunks.select("home", F.col("c").alias("a")), chunks.select("home", F.col("c").alias("b"))
+    tiles = a.join(b, "home").where("a <= b and b.band - a.band <= 1 and (a.family <> b.family or a.family = 0)")
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("c"))
+    sides = F.when(F.col("a") == F.col("b"), F.array(side(2, "a"))).otherwise(F.array(side(0, "a"), side(1, "b")))
+    tiles = stored(tiles.select(F.xxhash64("home", "a", "b").alias("tile"), "home", F.inline(sides)), "tiles")
+    return small.unionByName(large.withColumn("c", chunk).join(tiles, ["home", "c"]).select("tile", "side", "node", "comp", "n"))
+
+
+class _Joined(dict):
+    """Union-find over component numbers."""
+
+    def top(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = x = self[self[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False if they were together already."""
+        x, y = self.top(x), self.top(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _search(tiles: DataFrame, rule: Rule, exact: bool) -> DataFrame:
+    """(u, v) joining components: by bound (u and v are components), or exactly (nodes; ``tiles`` has hashes).
+    Each group of tiles gives only pairs that connect what it has not connected yet."""
+    rows = stored(tiles, "tile-rows")
+    groups = rows.count() // (TILE_ROWS // (16 if exact else 1)) + 1
 
     def search(part: pa.Table) -> pa.Table:
         part = part.sort_by([("tile", "ascending"), ("node", "ascending")])
         tile, side, node, comp, n = (part.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
         counts = np.stack([unpacked(c) for c in part.column("counts").to_pylist()])
+        sets = [np.frombuffer(h, np.uint64) for h in part.column("hashes").to_pylist()] if exact else []
         begins = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        found = []
+        joined, found = _Joined(), []
         for a, b in zip(begins, np.append(begins[1:], len(tile))):
             mine, theirs = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
             if not len(mine) or not len(theirs):
@@ -378,14 +401,31 @@ def _open_pairs(cells: DataFrame, roots: DataFrame, vectors: DataFrame, rule: Ru
             tree = CountTree(counts[theirs], n[theirs], rule)
             for i in mine:
                 near = theirs[tree.search(counts[i], int(n[i]))]
-                near = near[(comp[near] != comp[i]) & ((node[near] > node[i]) | (side[i] != 2))]
-                if len(near):
-                    found.append(np.stack([np.full(len(near), node[i]), node[near]], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
-
-    grouped_ = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("part")
-    return grouped_.applyInArrow(search, "u long, v long").distinct()
+                for k in near[comp[near] != comp[i]].tolist():
+                    x, y = int(comp[i]), int(comp[k])
+                    if joined.top(x) != joined.top(y) and (not exact or linked(sets[i], sets[k], rule)):
+                        joined.join(x, y)
+                        found.append((int(node[i]), int(node[k])) if exact else (x, y))
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("part")
+    return parts.applyInArrow(search, "u long, v long").distinct()
+
+
+def _open_links(cells: DataFrame, roots: DataFrame, vectors: DataFrame, rows: DataFrame, points: DataFrame, rule: Rule) -> DataFrame | None:
+    """Links (u, v) between different components that share a cell; None if no cell is open."""
+    placed = stored(vectors.join(roots, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("comp")), "placed")
+    entries = stored(cells.join(placed.select("node", "n", "comp"), "node"), "entries")
+    state = entries.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("cell")
+    members = stored(entries.join(stored(state, "open-cells"), "cell").withColumnRenamed("cell", "home"), "members")
+    vectors = vectors.select("node", "counts")
+    plausible = stored(_search(_tiles(members, rule).join(vectors, "node"), rule, exact=False), "plausible")
+    if plausible.isEmpty():
+        return None
+    block = stored(components(plausible), "blocks").select(F.col("node").alias("comp"), F.col("root").alias("home"))
+    members = stored(placed.select("node", "n", "comp").join(block, "comp"), "block-members")
+    sets = stored(_hashes(_texts(rows, points, members.select("node")), rule), "sets")
+    return _search(_tiles(members, rule).join(vectors, "node").join(sets, "node"), rule, exact=True)
 
 
 def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,10 +448,9 @@ def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_
         pairs = stored(_bounded(_stars(cells), vectors, rule), "pairs")
         links = stored(_verified(pairs, rows, points, rule), "links")
         roots = stored(components(links), "roots")
-        pairs = stored(_open_pairs(cells, roots, vectors, rule), "open-pairs")
-        more = stored(_verified(pairs, rows, points, rule), "more-links")
-        if not more.isEmpty():
-            roots = stored(components(links.union(more)), "roots")
+        more = _open_links(cells, roots, vectors, rows, points, rule)
+        if more is not None:
+            roots = stored(components(links.union(stored(more, "more-links"))), "roots")
         rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         nodes = rooted.join(lowest, "root").select("node", "root", "component_id")
