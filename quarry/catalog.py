@@ -96,7 +96,7 @@ def q_scan_filtered(spark, d):
 @query("scan_substr_code", with_fact(f"""
 SELECT {KEY_SQL}, SIGN_CODE FROM fact WHERE substr(SIGN_CODE, 5, 2) IN ('DA', 'OM')"""))
 def q_scan_substr_code(spark, d):
-    f = fact(spark, d)
+    f = fact(spark, d, *KEY_COLUMNS, "SIGN_CODE")
     return f.filter(substr_code_predicate("SIGN_CODE", ["DA", "OM"])).select(*keys(), "SIGN_CODE")
 
 
@@ -106,17 +106,14 @@ def q_scan_substr_code(spark, d):
 SELECT count(*) AS rows, count_if(TS_N IS NULL) AS null_target, count_if(TS_N = 0) AS zero_target,
        count_if(TS_N IS NOT NULL AND TS_N <> 0) AS remaining FROM fact"""))
 def q_target_cleaning(spark, d):
-    f = fact(spark, d)
-    t = F.col("TS_N")
-    return f.agg(F.count(F.lit(1)).alias("rows"), F.count_if(t.isNull()).alias("null_target"),
-                 F.count_if(t == 0).alias("zero_target"),
-                 F.count_if(t.isNotNull() & (t != 0)).alias("remaining"))
+    _, counts = clean.target_cleaning(fact(spark, d, "TS_N"), "TS_N")
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
 
 
 @query("target_filtered", with_fact(f"""
 SELECT {KEY_SQL}, TS_N FROM fact WHERE TS_N IS NOT NULL AND TS_N <> 0"""))
 def q_target_filtered(spark, d):
-    return clean.target_filter(fact(spark, d), "TS_N").select(*keys(), "TS_N")
+    return clean.target_filter(fact(spark, d, *KEY_COLUMNS, "TS_N"), "TS_N")
 
 
 @query("null_placeholders", with_fact(r"""
@@ -124,7 +121,7 @@ SELECT RAW_FLAG, count(*) AS n FROM (
   SELECT CASE WHEN regexp_matches(RAW_FLAG, '(?i)^\s*(null|\(null\)|nan)?\s*$') THEN NULL ELSE RAW_FLAG END AS RAW_FLAG
   FROM fact) GROUP BY RAW_FLAG"""))
 def q_null_placeholders(spark, d):
-    f = clean.normalize_placeholders(fact(spark, d).select("RAW_FLAG"))
+    f = clean.normalize_placeholders(fact(spark, d, "RAW_FLAG"))
     return f.groupBy("RAW_FLAG").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,8 +171,8 @@ SELECT {KEY_SQL}, round(ratio, 6) AS ratio FROM (
   SELECT *, ((ELM_C IS NULL)::int + (ELM_MN IS NULL)::int + (SPARSE_A IS NULL)::int
             + (SPARSE_B IS NULL)::int) / 4.0 AS ratio FROM fact) WHERE ratio <= 0.5"""))
 def q_drop_sparse_rows(spark, d):
-    f = fact(spark, d).select(*keys(), *SPARSE_FEATURES)
-    kept = f.filter(clean.row_missing_ratio(f, SPARSE_FEATURES) <= 0.5)
+    f = fact(spark, d, *KEY_COLUMNS, *SPARSE_FEATURES)
+    kept = clean.drop_rows_by_ratio(f, 0.5, features=SPARSE_FEATURES)
     return kept.select(*keys(), rnd(clean.row_missing_ratio(kept, SPARSE_FEATURES)).alias("ratio"))
 
 
@@ -187,7 +184,7 @@ def q_delete_column(spark, d):
 
 @query("drop_null_rows", with_fact(f"SELECT {KEY_SQL}, ELM_C FROM fact WHERE ELM_C IS NOT NULL"))
 def q_drop_null_rows(spark, d):
-    out, _, _ = clean.delete_rows_with_missing_in_column(fact(spark, d).select(*keys(), "ELM_C"), "ELM_C")
+    out, _, _ = clean.delete_rows_with_missing_in_column(fact(spark, d, *KEY_COLUMNS, "ELM_C"), "ELM_C")
     return out
 
 
@@ -232,7 +229,7 @@ def _profile_numeric_frame(spark, df: DataFrame, cols: list[str]) -> DataFrame:
 
 @query("profile_numeric", _profile_numeric_sql("fact", NUMERIC_FEATURES, cte=True))
 def q_profile_numeric(spark, d):
-    return _profile_numeric_frame(spark, fact(spark, d), NUMERIC_FEATURES)
+    return _profile_numeric_frame(spark, fact(spark, d, *NUMERIC_FEATURES), NUMERIC_FEATURES)
 
 
 @query("profile_events_value", _profile_numeric_sql("events", ["value"], cte=False))
@@ -260,7 +257,7 @@ FROM fact""")
 
 @query("semantic_types", _semantic_sql())
 def q_semantic_types(spark, d):
-    df = fact(spark, d).select(*CATEGORICAL_PROFILE_COLS, TIME_COLUMN)
+    df = fact(spark, d, *CATEGORICAL_PROFILE_COLS, TIME_COLUMN)
     rows = profile.profile_rows(df)
     return spark.createDataFrame([{k: r[k] for k in ("column", "type", "cardinality", "unique_values")}
                                   for r in rows],
@@ -285,7 +282,7 @@ FROM (SELECT ({s}) / {float(n)} AS r FROM fact)""")
 
 @query("profile_row_missing", _row_missing_sql())
 def q_profile_row_missing(spark, d):
-    df = fact(spark, d).select(*ROW_MISSING_COLS)
+    df = fact(spark, d, *ROW_MISSING_COLS)
     p = profile.row_missing_profile(df)
     row = {k.replace(".", "_"): v for k, v in p.items()}
     cols = ["rows", "features", "global_missing_pct", "mean", "median", "p90", "p95", "max"] + \
@@ -317,7 +314,7 @@ def q_missing_topk(spark, d):
 
 def _fill_query(op, column: str, **params):
     def run(spark, d):
-        f = fact(spark, d).select(*keys(), column)
+        f = fact(spark, d, *KEY_COLUMNS, column)
         out, _, _ = op(f, column, **params)
         return out.select(*keys(), rnd(col(column)).alias(column))
     return run
@@ -344,7 +341,7 @@ SELECT {KEY_SQL},
 FROM (SELECT * REPLACE (CASE WHEN regexp_matches(RAW_FLAG, '(?i)^\\s*(null|\\(null\\)|nan)?\\s*$') THEN NULL
                              ELSE RAW_FLAG END AS RAW_FLAG) FROM fact)"""))
 def q_impute_mode(spark, d):
-    f = clean.normalize_placeholders(fact(spark, d).select(*keys(), "SPARSE_A", "RAW_FLAG"))
+    f = clean.normalize_placeholders(fact(spark, d, *KEY_COLUMNS, "SPARSE_A", "RAW_FLAG"))
     out, _, _ = impute.impute_most_frequent(f, ["SPARSE_A", "RAW_FLAG"])
     return out
 
@@ -371,7 +368,7 @@ FROM fact, fs""")
 def q_impute_auto(spark, d):
     ev = events_with_nulls(spark, d)
     ev_out, _, _ = impute.impute_auto(ev, "value")
-    f = fact(spark, d).select((F.col("L_ORDERKEY") * 10 + F.col("L_LINENUMBER")).alias("id"), "ELM_C")
+    f = fact(spark, d, "L_ORDERKEY", "L_LINENUMBER", "ELM_C").select((F.col("L_ORDERKEY") * 10 + F.col("L_LINENUMBER")).alias("id"), "ELM_C")
     f_out, _, _ = impute.impute_auto(f, "ELM_C")
     return (ev_out.select(F.lit("events").alias("source"), F.col("event_id").alias("id"), rnd(F.col("value")).alias("value"))
             .unionByName(f_out.select(F.lit("fact").alias("source"), "id", rnd(F.col("ELM_C")).alias("value"))))
@@ -380,7 +377,7 @@ def q_impute_auto(spark, d):
 @query("missing_indicator", with_fact(f"""
 SELECT {KEY_SQL}, (ELM_C IS NULL)::int AS ELM_C_ismissing, (SPARSE_A IS NULL)::int AS SPARSE_A_ismissing FROM fact"""))
 def q_missing_indicator(spark, d):
-    f = fact(spark, d).select(*keys(), "ELM_C", "SPARSE_A")
+    f = fact(spark, d, *KEY_COLUMNS, "ELM_C", "SPARSE_A")
     out, _, _ = impute.add_missing_indicator(f, ["ELM_C", "SPARSE_A"])
     return out.drop("ELM_C", "SPARSE_A")
 
@@ -415,7 +412,7 @@ SCALE_COLS = ["QTY", "RETAIL", "ELM_C"]
 
 def _scale_query(op):
     def run(spark, d):
-        f = fact(spark, d).select(*keys(), *SCALE_COLS)
+        f = fact(spark, d, *KEY_COLUMNS, *SCALE_COLS)
         out, _, _ = op(f, SCALE_COLS)
         return out.select(*keys(), *[rnd(col(x)).alias(x) for x in SCALE_COLS])
     return run
@@ -492,7 +489,7 @@ SELECT {KEY_SQL},
 FROM (SELECT *, CASE WHEN regexp_matches(RAW_FLAG, '(?i)^\\s*(null|\\(null\\)|nan)?\\s*$') THEN NULL
                      ELSE RAW_FLAG END AS F FROM fact)"""))
 def q_one_hot(spark, d):
-    f = clean.normalize_placeholders(fact(spark, d).select(*keys(), "PRODUCT_UNIT_NO", "RAW_FLAG"))
+    f = clean.normalize_placeholders(fact(spark, d, *KEY_COLUMNS, "PRODUCT_UNIT_NO", "RAW_FLAG"))
     out, _, _ = encode.one_hot_encode_column(f, ["PRODUCT_UNIT_NO", "RAW_FLAG"])
     return out
 
@@ -500,7 +497,7 @@ def q_one_hot(spark, d):
 @query("label_encode", with_fact(f"""
 SELECT {KEY_SQL}, CAST(dense_rank() OVER (ORDER BY ST_NO) - 1 AS int) AS ST_NO FROM fact"""))
 def q_label_encode(spark, d):
-    out, _, _ = encode.label_encode_column(fact(spark, d).select(*keys(), "ST_NO"), "ST_NO")
+    out, _, _ = encode.label_encode_column(fact(spark, d, *KEY_COLUMNS, "ST_NO"), "ST_NO")
     return out
 
 
@@ -513,7 +510,7 @@ e AS (SELECT SG_SIGN, CASE WHEN n = 1 THEN prior
       FROM s, p)
 SELECT {KEY_SQL}, round(coalesce(e.enc, p.prior), 4) AS SG_SIGN FROM t LEFT JOIN e USING (SG_SIGN), p"""))
 def q_target_encode(spark, d):
-    f = clean.target_filter(fact(spark, d).select(*keys(), "SG_SIGN", "TS_N"), "TS_N")
+    f = clean.target_filter(fact(spark, d, *KEY_COLUMNS, "SG_SIGN", "TS_N"), "TS_N")
     out, _, _ = encode.target_encode_column(f, "SG_SIGN", target="TS_N")
     return out.select(*keys(), F.round(F.col("SG_SIGN"), 4).alias("SG_SIGN"))
 
@@ -521,7 +518,7 @@ def q_target_encode(spark, d):
 @query("frequency_encode", with_fact(f"""
 SELECT {KEY_SQL}, round(count(*) OVER (PARTITION BY PROD_NAME) / count(*) OVER (), 8) AS PROD_NAME FROM fact"""))
 def q_frequency_encode(spark, d):
-    out, _, _ = encode.frequency_encode_column(fact(spark, d).select(*keys(), "PROD_NAME"), "PROD_NAME")
+    out, _, _ = encode.frequency_encode_column(fact(spark, d, *KEY_COLUMNS, "PROD_NAME"), "PROD_NAME")
     return out.select(*keys(), F.round(F.col("PROD_NAME"), 8).alias("PROD_NAME"))
 
 
@@ -529,18 +526,16 @@ def q_frequency_encode(spark, d):
 SELECT {KEY_SQL}, CASE WHEN count(*) OVER (PARTITION BY PROD_NAME) / count(*) OVER () < 0.016
                        THEN '__RARE__' ELSE PROD_NAME END AS PROD_NAME FROM fact"""))
 def q_rare_label_collapse(spark, d):
-    out, _, _ = encode.rare_label_collapse(fact(spark, d).select(*keys(), "PROD_NAME"), "PROD_NAME",
+    out, _, _ = encode.rare_label_collapse(fact(spark, d, *KEY_COLUMNS, "PROD_NAME"), "PROD_NAME",
                                            min_freq=0.016)
     return out
 
 
 # --------------------------------------------------------------------------- X1-X4
 
-# The carbon-equivalent formula of the knowledge base, bound to fact columns.
-CARBON_EQUIVALENT = "{C} + {Mn}/6 + ({Cr}+{Mo}+{V})/5 + ({Ni}+{Cu})/15"
+# The elements of the stock formulas, bound to fact columns.
 CE_MAPPING = {"C": "ELM_C", "Mn": "ELM_MN", "Cr": "ELM_N", "Mo": "SPARSE_A", "V": "SPARSE_B",
               "Ni": "QTY", "Cu": "SIZE_MM"}
-RATIO_FORMULA = "{Al}/{N}"
 RATIO_MAPPING = {"Al": "QTY", "N": "ELM_N"}
 
 
@@ -551,9 +546,10 @@ SELECT {KEY_SQL},
   round(CASE WHEN coalesce(ELM_N,0) = 0 THEN NULL ELSE coalesce(QTY,0) / coalesce(ELM_N,0) END, 6) AS AL_N
 FROM fact"""))
 def q_formula_feature(spark, d):
-    f = fact(spark, d)
-    f, _ = features.apply_formula(f, CARBON_EQUIVALENT, "CE", CE_MAPPING)
-    f, _ = features.apply_formula(f, RATIO_FORMULA, "AL_N", RATIO_MAPPING)
+    from quarry.plans.formulas import STOCK_FORMULAS
+    f = fact(spark, d, *KEY_COLUMNS, "ELM_C", "ELM_MN", "ELM_N", "SPARSE_A", "SPARSE_B", "QTY", "SIZE_MM")
+    f, _ = features.apply_formula(f, STOCK_FORMULAS[0]["formula_template"], "CE", CE_MAPPING)
+    f, _ = features.apply_formula(f, STOCK_FORMULAS[2]["formula_template"], "AL_N", RATIO_MAPPING)
     return f.select(*keys(), rnd(F.col("CE")).alias("CE"), rnd(F.col("AL_N")).alias("AL_N"))
 
 
@@ -564,7 +560,7 @@ SELECT {KEY_SQL}, QTY, ELM_C,
   round(coalesce(ELM_C,0)*coalesce(ELM_C,0), 6) AS "ELM_C^2"
 FROM fact"""))
 def q_polynomial_features(spark, d):
-    f = fact(spark, d).select(*keys(), "QTY", "ELM_C")
+    f = fact(spark, d, *KEY_COLUMNS, "QTY", "ELM_C")
     out, new = features.polynomial_features(f, ["QTY", "ELM_C"], degree=2)
     return out.select(*keys(), "QTY", "ELM_C", *[rnd(col(n)).alias(n) for n in new])
 
@@ -577,7 +573,7 @@ SELECT {KEY_SQL},
   round(coalesce(ELM_N,0)*coalesce(RETAIL,0), 6) AS "ELM_N RETAIL"
 FROM fact"""))
 def q_interaction_features(spark, d):
-    f = fact(spark, d).select(*keys(), "QTY", "ELM_N", "RETAIL")
+    f = fact(spark, d, *KEY_COLUMNS, "QTY", "ELM_N", "RETAIL")
     out, new = features.polynomial_features(f, ["QTY", "ELM_N", "RETAIL"], degree=2, interaction_only=True,
                                             keep_original=False)
     return out.select(*keys(), *[rnd(col(n)).alias(n) for n in new])
@@ -587,7 +583,7 @@ def q_interaction_features(spark, d):
 SELECT {KEY_SQL}, round(CASE WHEN QTY IS NULL OR ELM_C IS NULL THEN NULL ELSE QTY / (ELM_C + 1e-6) END, 4)
   AS QTY_PER_C FROM fact"""))
 def q_ratio_feature(spark, d):
-    f = features.ratio_feature(fact(spark, d).select(*keys(), "QTY", "ELM_C"), "QTY", "ELM_C", "QTY_PER_C")
+    f = features.ratio_feature(fact(spark, d, *KEY_COLUMNS, "QTY", "ELM_C"), "QTY", "ELM_C", "QTY_PER_C")
     return f.select(*keys(), F.round(F.col("QTY_PER_C"), 4).alias("QTY_PER_C"))
 
 
@@ -600,7 +596,7 @@ KEY_ORDER_SQL = "REC_REVISE_TIME, L_ORDERKEY, L_LINENUMBER, L_PARTKEY, L_SUPPKEY
 SELECT {KEY_SQL}, row_number() OVER (ORDER BY {KEY_ORDER_SQL}) AS idx FROM fact"""))
 def q_global_index(spark, d):
     from quarry.operators.split import add_time_index
-    return add_time_index(fact(spark, d).select(*keys(), TIME_COLUMN), TIME_COLUMN, KEY_COLUMNS).select(*keys(), "idx")
+    return add_time_index(fact(spark, d, *KEY_COLUMNS, TIME_COLUMN), TIME_COLUMN, KEY_COLUMNS).select(*keys(), "idx")
 
 
 @query("split_sequential", with_fact(f"""
@@ -609,7 +605,7 @@ n AS (SELECT count(*) AS n FROM fact)
 SELECT {KEY_SQL}, idx, CASE WHEN idx <= floor(n * 0.8::double) THEN 'train' ELSE 'test' END AS split FROM ix, n"""))
 def q_split_sequential(spark, d):
     from quarry.operators.split import add_time_index, split_sequential
-    f = fact(spark, d).select(*keys(), TIME_COLUMN)
+    f = fact(spark, d, *KEY_COLUMNS, TIME_COLUMN)
     ix = add_time_index(f, TIME_COLUMN, KEY_COLUMNS)
     return split_sequential(ix, ix.count(), 0.2).select(*keys(), "idx", "split")
 
@@ -624,18 +620,11 @@ SELECT fold, count_if(idx <= start) AS train_rows, count_if(idx > start AND idx
        max(CASE WHEN idx <= start THEN idx END) AS train_last
 FROM ix, f GROUP BY fold""")
 def q_folds_time_series(spark, d):
-    from quarry.operators.split import time_series_folds
+    from quarry.operators.split import tag_folds, time_series_folds
     ev = read_table(spark, d, "events").select("event_id", "ts")
     ix = global_index(ev, ["ts", "event_id"], "idx")
     n = ix.count()
-    folds = time_series_folds(n, 5)
-    # one pass: each row is tagged with every fold it belongs to (k tags at most)
-    tags = F.filter(F.array(*[
-        F.when(F.col("idx") <= f["train_hi"], F.struct(F.lit(f["fold"]).alias("fold"), F.lit("train").alias("role")))
-         .when(F.col("idx").between(f["val_lo"], f["val_hi"]),
-               F.struct(F.lit(f["fold"]).alias("fold"), F.lit("val").alias("role")))
-        for f in folds]), lambda x: x.isNotNull())
-    long = ix.select("idx", F.explode(tags).alias("t")).select("idx", "t.fold", "t.role")
+    long = tag_folds(ix, time_series_folds(n, 5)).select("idx", "fold", "role")
     is_val = F.col("role") == "val"
     return long.groupBy("fold").agg(
         F.count_if(~is_val).alias("train_rows"), F.count_if(is_val).alias("val_rows"),
@@ -643,18 +632,28 @@ def q_folds_time_series(spark, d):
         F.max(F.when(~is_val, F.col("idx"))).alias("train_last"))
 
 
-@query("split_random")
+# The permutation of D3 and D5 is md5 over the seed and the row's own key.
+SPLIT_KEYS = ["L_ORDERKEY", "L_LINENUMBER", "L_PARTKEY", "L_SUPPKEY"]
+PERMUTED_SQL = """
+p AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', L_ORDERKEY, L_LINENUMBER, L_PARTKEY, L_SUPPKEY))) AS r,
+             count(*) OVER () AS n FROM fact)"""
+
+
+@query("split_random", with_fact(PERMUTED_SQL + f"""
+SELECT {KEY_SQL}, CASE WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM p"""))
 def q_split_random(spark, d):
     from quarry.operators.split import split_random
-    f = fact(spark, d).select(*keys())
-    return split_random(f, KEY_COLUMNS, f.count(), 0.2)
+    f = fact(spark, d, *KEY_COLUMNS)
+    return split_random(f, SPLIT_KEYS, f.count(), 0.2)
 
 
-@query("folds_random")
+@query("folds_random", with_fact(PERMUTED_SQL + f"""
+SELECT {KEY_SQL}, CAST(CASE WHEN r <= (n // 5 + 1) * (n % 5) THEN (r - 1) // (n // 5 + 1)
+                            ELSE n % 5 + (r - 1 - (n // 5 + 1) * (n % 5)) // (n // 5) END + 1 AS int) AS fold FROM p"""))
 def q_folds_random(spark, d):
     from quarry.operators.split import random_folds
-    f = fact(spark, d).select(*keys())
-    return random_folds(f, KEY_COLUMNS, f.count(), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    f = fact(spark, d, *KEY_COLUMNS)
+    return random_folds(f, SPLIT_KEYS, f.count(), 5)
 
 
 # --------------------------------------------------------------------------- V1-V3, G1-G3, S4
@@ -706,22 +705,21 @@ UNION ALL
 SELECT 'value', 20000.0::double, round(avg((abs(prediction - TS_N) <= 20000)::int), 6) FROM pr WHERE split = 'test'"""))
 def q_within_tolerance(spark, d):
     from quarry.operators.evaluate import within_band
-    test = _model_frame(spark, d).filter("split = 'test'").cache()
-    out = None
-    for tol in ({"type": "percentage", "value": 5.0}, {"type": "value", "value": 20000.0}):
-        part = test.agg(F.round(F.avg(within_band(F.col("TS_N"), F.col("prediction"), tol).cast("double")), 6)
-                        .alias("within_tolerance")).select(
-            F.lit(tol["type"]).alias("tolerance_type"), F.lit(tol["value"]).alias("tolerance_value"),
-            "within_tolerance")
-        out = part if out is None else out.unionByName(part)
-    return out
+    test = _model_frame(spark, d).filter("split = 'test'")
+    tolerances = ({"type": "percentage", "value": 5.0}, {"type": "value", "value": 20000.0})
+    share = lambda tol: F.round(F.avg(within_band(F.col("TS_N"), F.col("prediction"), tol).cast("double")), 6)
+    wide = test.agg(*[share(tol).alias(f"w{i}") for i, tol in enumerate(tolerances)])  # both in one pass
+    rows = [F.struct(F.lit(tol["type"]).alias("tolerance_type"), F.lit(tol["value"]).alias("tolerance_value"), F.col(f"w{i}").alias("within_tolerance"))
+            for i, tol in enumerate(tolerances)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 @query("predictions_out", with_fact(MODEL_FRAME_SQL + f"""
 SELECT {KEY_SQL}, TS_N AS true_TS_N, round(prediction, 4) AS predict_TS_N FROM pr WHERE split = 'test'"""))
 def q_predictions_out(spark, d):
     test = _model_frame(spark, d).filter("split = 'test'")
-    return test.select(*keys(), F.col("TS_N").alias("true_TS_N"), F.round("prediction", 4).alias("predict_TS_N"))
+    from quarry.sources.sinks import prediction_frame
+    return prediction_frame(test.select(*keys(), "TS_N", F.round("prediction", 4).alias("prediction")), "TS_N")
 
 
 @query("band_counts", with_fact(MODEL_FRAME_SQL + """,
@@ -763,7 +761,7 @@ SELECT feature, round(avg(abs(contrib)), 4) AS mean_abs, row_number() OVER (ORDE
 FROM long GROUP BY feature QUALIFY rnk <= 30"""))
 def q_mean_abs_topk(spark, d):
     from quarry.operators.explain import long_contributions, mean_abs_topk
-    t = clean.target_filter(fact(spark, d).select("TS_N", *ATTR_FEATURES), "TS_N")
+    t = clean.target_filter(fact(spark, d, "TS_N", *ATTR_FEATURES), "TS_N")
     long = long_contributions(t, ATTR_FEATURES, "TS_N")
     top = mean_abs_topk(long, weight_col="weight", k=30)
     return top.select("feature", F.round("mean_abs", 4).alias("mean_abs"), "rnk")
@@ -784,7 +782,7 @@ SELECT "column", 1 AS seq, CASE WHEN nn = 0 OR mp > 40 THEN 'delete_column' ELSE
 FROM p WHERE mp > 0"""))
 def q_plan_missing(spark, d):
     from quarry.plans.rules import missing_plan
-    prof = profile.profile(fact(spark, d).select(*PLAN_MISSING_COLS), target="TS_N")
+    prof = profile.profile(fact(spark, d, *PLAN_MISSING_COLS), target="TS_N")
     return missing_plan(prof).select("column", "seq", "operation")
 
 
@@ -819,7 +817,7 @@ SELECT k AS "column", seq, operation, params FROM steps""")
 @query("plan_refine", _plan_refine_sql())
 def q_plan_refine(spark, d):
     from quarry.plans.rules import refine_plan
-    prof = profile.profile(fact(spark, d).select(*PLAN_REFINE_NUM, *PLAN_REFINE_CAT, TIME_COLUMN))
+    prof = profile.profile(fact(spark, d, *PLAN_REFINE_NUM, *PLAN_REFINE_CAT, TIME_COLUMN))
     plan = refine_plan(prof)
     return plan.select("column", "seq", "operation", F.to_json("params").alias("params"))
 
@@ -871,7 +869,7 @@ SELECT {KEY_SQL}, round(QTY, 6) AS QTY, round(RETAIL, 6) AS RETAIL, ST_NO, round
        round(ELM_MN, 6) AS ELM_MN, ELM_MN_ismissing FROM s8"""))
 def q_plan_executor(spark, d):
     from quarry.plans.executor import execute_plan
-    f = fact(spark, d).select(*keys(), "QTY", "RETAIL", "ST_NO", "ELM_C", "ELM_MN", "SPARSE_B")
+    f = fact(spark, d, *KEY_COLUMNS, "QTY", "RETAIL", "ST_NO", "ELM_C", "ELM_MN", "SPARSE_B")
     out, logs, _ = execute_plan(f, EXECUTOR_PLAN, target="TS_N")
     failed = [lg for lg in logs if lg.status == "failed"]
     if failed:
@@ -894,7 +892,7 @@ SELECT {KEY_SQL}, round(coalesce(QTY,0) * coalesce(ELM_N,0), 6) AS "QTY ELM_N",
        round(QTY / (RETAIL + 1e-6), 6) AS QTY_RETAIL_RATIO FROM fact"""))
 def q_feature_plan(spark, d):
     from quarry.plans.executor import execute_feature_plan
-    f = fact(spark, d).select(*keys(), "QTY", "ELM_N", "RETAIL")
+    f = fact(spark, d, *KEY_COLUMNS, "QTY", "ELM_N", "RETAIL")
     out, logs, new = execute_feature_plan(f, FEATURE_PLAN)
     return out.select(*keys(), *[rnd(col(n)).alias(n) for n in new])
 
@@ -903,13 +901,13 @@ def q_feature_plan(spark, d):
 SELECT {KEY_SQL}, round(coalesce(ELM_C, 0) + coalesce(ELM_MN, 0) / 6, 6) AS CEQ_C_MN FROM fact"""))
 def q_formula_mapping(spark, d):
     from quarry.plans.formulas import STOCK_FORMULAS, resolve_mappings
-    f = fact(spark, d)
+    f = fact(spark, d, *KEY_COLUMNS, "ELM_C", "ELM_MN")
     # the fact table lacks Cr/Mo/V/Ni/Cu/Ti/Al: every stock formula is dropped; a reduced
     # carbon-equivalent over the mapped elements is kept
     formulas = STOCK_FORMULAS + [
         {"new_feature_name": "CEQ_C_MN", "formula_template": "{C} + {Mn}/6",
          "mapping_hints": {"C": ["C", "ELM_C"], "Mn": ["Mn", "ELM_MN"]}}]
-    resolved = resolve_mappings(spark, formulas, f.columns)
+    resolved = resolve_mappings(spark, formulas, FACT_ALL)
     out = f
     for r in resolved:
         out, _ = features.apply_formula(out, r["formula_template"], r["new_feature_name"], r["mapping"])
@@ -1001,9 +999,8 @@ FROM ty LEFT JOIN df ON ty.metric_code = df.code""")
 def q_tolerance_resolve(spark, d):
     from quarry.plans.rules import map_metric, resolve_tolerance
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    mapped = map_metric(docs, "doc_id", "text").select(
-        "doc_id", F.coalesce("metric_code", F.lit("TS_N")).alias("metric_code"))
-    req = mapped.join(docs, "doc_id")
+    req = map_metric(docs, "doc_id", "text", keep=["text"]).select(
+        "doc_id", "text", F.coalesce("metric_code", F.lit("TS_N")).alias("metric_code"))
     return resolve_tolerance(req, "text", "metric_code").select(
         "doc_id", "metric_code", "tolerance_type", "tolerance_value", "tolerance_source")
 
@@ -1027,7 +1024,7 @@ SELECT SG_SIGN, PRODUCT_UNIT_NO,
 FROM fact GROUP BY SG_SIGN, PRODUCT_UNIT_NO"""))
 def q_run_id(spark, d):
     from quarry.plans.runlog import list_part, run_id_column
-    g = fact(spark, d).groupBy("SG_SIGN", "PRODUCT_UNIT_NO").agg(
+    g = fact(spark, d, "SG_SIGN", "PRODUCT_UNIT_NO", "ST_NO", TIME_COLUMN).groupBy("SG_SIGN", "PRODUCT_UNIT_NO").agg(
         F.min(TIME_COLUMN).alias("t0"), F.max(TIME_COLUMN).alias("t1"),
         F.array_sort(F.collect_set("ST_NO")).alias("st"))   # bounded by distinct ST_NO values
     tr = F.concat(F.date_format("t0", "yyyyMMdd"), F.lit("-"), F.date_format("t1", "yyyyMMdd"))
@@ -1060,10 +1057,10 @@ def _learning_frame(spark, d) -> DataFrame:
     """Target-cleaned fact with imputed features, time index and sequential split (persisted)."""
     from quarry.operators.split import add_time_index, split_sequential
     from quarry.session import materialize
-    f = clean.target_filter(fact(spark, d).select(*keys(), TIME_COLUMN, *MODEL_FEATURES, "TS_SIG", "TS_N"), "TS_N")
+    f = clean.target_filter(fact(spark, d, *KEY_COLUMNS, TIME_COLUMN, *MODEL_FEATURES, "TS_SIG", "TS_N"), "TS_N")
     # the fill statistics, the range sample and the index checkpoint all read these
     # rows: join the sources once (a recomputation yields the same set of rows)
-    f = materialize(f, reliable=False)
+    f = materialize(f)
     f, _, _ = impute.impute_auto(f, ["ELM_C", "ELM_MN"])
     ix = add_time_index(f, TIME_COLUMN, KEY_COLUMNS)
     return split_sequential(ix, ix.count(), 0.2)
@@ -1147,7 +1144,7 @@ def q_trial_ranking(spark, d):
     from quarry.operators.evaluate import metric_exprs
     from quarry.operators.search import rank_trials
     from quarry.operators.split import add_time_index, time_series_folds
-    t = clean.target_filter(fact(spark, d).select(*keys(), TIME_COLUMN, "TS_N", *TRIAL_GROUPS), "TS_N")
+    t = clean.target_filter(fact(spark, d, *KEY_COLUMNS, TIME_COLUMN, "TS_N", *TRIAL_GROUPS), "TS_N")
     ix = add_time_index(t, TIME_COLUMN, KEY_COLUMNS)
     folds = time_series_folds(ix.count(), 3)
     rows = []
@@ -1232,7 +1229,7 @@ FROM fact""")
 def q_profile_categorical(spark, d):
     """P2 + P6 for the non-numeric columns: type, missing share, cardinality, the values
     of low-cardinality columns and the range of datetimes."""
-    df = fact(spark, d).select(*CATEGORICAL_PROFILE_COLS, TIME_COLUMN)
+    df = fact(spark, d, *CATEGORICAL_PROFILE_COLS, TIME_COLUMN)
     keep = ["column", "type", "missing_percentage", "cardinality", "unique_values", "dt_min", "dt_max"]
     rows = []
     for r in profile.profile_rows(df):
@@ -1280,7 +1277,7 @@ UNION ALL SELECT 'PROD_NAME', 'rare_label_collapse', CASE WHEN n_rare > 0 THEN '
 def q_plan_step_logs(spark, d):
     """Per-step log rows of a plan run over the fact table (status decided by the data)."""
     from quarry.plans.executor import execute_plan, logs_frame
-    f = fact(spark, d).select(*keys(), "ELM_C", "QTY", "SPARSE_A", "CONST_COL", "EMPTY_COL", "PROD_NAME")
+    f = fact(spark, d, *KEY_COLUMNS, "ELM_C", "QTY", "SPARSE_A", "CONST_COL", "EMPTY_COL", "PROD_NAME")
     _, logs, _ = execute_plan(f, LOG_PLAN, target="TS_N")
     return logs_frame(spark, logs).select("column", "operation", "status", "message")
 
@@ -1294,10 +1291,132 @@ def q_model_build_metrics(spark, d):
     fit, metrics per split (explanation left to ``shap_values``)."""
     from quarry.plans.build import build_model
     src = fact(spark, d).drop("TS_N")
-    res = build_model(spark, src, {"target_metric": "TS_SIG", "time_range": "19920101-19981231"},
+    res = build_model(spark, src, {"target_metric": "TS_SIG", "time_range": "19000101-29991231"},
                       key_cols=[k for k in KEY_COLUMNS if k != "K_PRICE"], time_col=TIME_COLUMN,
                       learner="random_forest", params={"n_estimators": 10, "max_depth": 5},
                       other_targets=["K_PRICE"], unsuitable=UNSUITABLE_FIELDS, explain=False)
     if res.status != "success":
         raise RuntimeError(res.package.get("error"))
+    counts, n = res.package["target_cleaning"], res.package["rows_used"]
+    if sum(res.package["metrics"][s]["n"] for s in ("train", "test")) != n or n > counts["remaining"]:
+        raise RuntimeError("rows were lost between cleaning and the metrics")
     return res.metrics.select("split", *[F.round(c, 4).alias(c) for c in res.metrics.columns if c != "split"])
+
+
+# --------------------------------------------------------------------------- checks that SQL can make of learners and sinks
+
+# One tree of one split on few-valued features: the best split is exact, so SQL finds it, too.
+STUMP_FEATURES = ["ELM_N", "SIZE_MM", "QTY"]
+STUMP = {"n_estimators": 1, "max_depth": 1, "bootstrap": False, "max_bins": 64}
+STUMP_SQL = MODEL_FRAME_SQL + """,
+tr AS (SELECT *, avg(TS_SIG) OVER () AS om FROM sp WHERE split = 'train'),
+c AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS f, CAST({x} AS double) AS v, TS_SIG AS y FROM tr" for x in STUMP_FEATURES) + """),
+g AS (SELECT f, v, count(*) AS n, sum(y) AS s FROM c GROUP BY f, v),
+w AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS nxt, sum(n) OVER (PARTITION BY f ORDER BY v) AS nl,
+             sum(s) OVER (PARTITION BY f ORDER BY v) AS sl, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s FROM g),
+best AS (SELECT *, (v + nxt) / 2 AS cut, sl / nl AS ml, (s - sl) / (n - nl) AS mr FROM w WHERE nxt IS NOT NULL
+         ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)"""
+
+
+def _stump(spark, d):
+    from quarry.operators import learners
+    from quarry.operators.split import add_time_index, split_sequential
+    f = clean.target_filter(fact(spark, d, *KEY_COLUMNS, TIME_COLUMN, *STUMP_FEATURES, "TS_SIG", "TS_N"), "TS_N")
+    ix = add_time_index(f, TIME_COLUMN, KEY_COLUMNS)
+    frame = split_sequential(ix, ix.count(), 0.2)
+    return frame, learners.fit("random_forest", frame.filter("split = 'train'"), STUMP_FEATURES, "TS_SIG", STUMP)
+
+
+@query("stump_predict", with_fact(STUMP_SQL + f"""
+SELECT {KEY_SQL}, round(CASE WHEN (CASE best.f WHEN 'ELM_N' THEN ELM_N WHEN 'SIZE_MM' THEN SIZE_MM ELSE QTY END) <= cut
+                             THEN ml ELSE mr END, 3) AS prediction FROM sp, best WHERE split = 'test'"""))
+def q_stump_predict(spark, d):
+    """M1 + M4: an exact one-split tree on the training rows, applied to the test rows."""
+    frame, m = _stump(spark, d)
+    return m.predict(frame.filter("split = 'test'")).select(*keys(), F.round("prediction", 3).alias("prediction"))
+
+
+@query("stump_importance", with_fact(STUMP_SQL + """
+SELECT x AS feature, CASE WHEN x = f THEN 1.0 ELSE 0.0 END::double AS importance
+FROM best, (VALUES ('ELM_N'), ('SIZE_MM'), ('QTY')) t(x)"""))
+def q_stump_importance(spark, d):
+    """M5: the feature of the only split has all of the importance."""
+    _, m = _stump(spark, d)
+    return m.importances(spark)
+
+
+@query("stump_shap", with_fact(STUMP_SQL + f""",
+e AS (SELECT (nl * ml + (n - nl) * mr) / n AS expected FROM best)
+SELECT {KEY_SQL}, best.f AS feature, round((CASE WHEN (CASE best.f WHEN 'ELM_N' THEN ELM_N WHEN 'SIZE_MM' THEN SIZE_MM ELSE QTY END) <= cut
+       THEN ml ELSE mr END) - expected, 3) AS shap, round(expected, 3) AS expected FROM sp, best, e WHERE split = 'test'"""))
+def q_stump_shap(spark, d):
+    """A1: with one split, its feature's attribution is the leaf's value less the mean of all."""
+    from quarry.operators.explain import shap_long, shap_values
+    frame, m = _stump(spark, d)
+    sv = shap_values(m.model, frame.filter("split = 'test'"), STUMP_FEATURES, KEY_COLUMNS)
+    long = shap_long(sv, STUMP_FEATURES, KEY_COLUMNS).filter("abs(shap) > 1e-9")
+    return long.join(sv.select(*KEY_COLUMNS, "expected"), KEY_COLUMNS).select(
+        *keys(), "feature", F.round("shap", 3).alias("shap"), F.round("expected", 3).alias("expected"))
+
+
+@query("shap_additivity", with_fact(MODEL_FRAME_SQL + f"""
+SELECT {KEY_SQL}, CAST(0 AS double) AS gap FROM sp WHERE split = 'train'"""))
+def q_shap_additivity(spark, d):
+    """A1: attributions and expected value add up to the forest's prediction in every row."""
+    from quarry.operators import learners
+    from quarry.operators.explain import shap_values
+    train = _learning_frame(spark, d).filter("split = 'train'")
+    m = learners.fit("random_forest", train, MODEL_FEATURES, "TS_SIG", {"n_estimators": 5, "max_depth": 4})
+    sv = shap_values(m.model, train, MODEL_FEATURES, KEY_COLUMNS)
+    total = F.aggregate("shap", F.col("expected"), lambda a, x: a + x)
+    both = m.predict(train).select(*keys(), "prediction").join(sv, KEY_COLUMNS)
+    return both.select(*keys(), F.abs(F.round(total - F.col("prediction"), 4)).alias("gap"))
+
+
+@query("band_points", with_fact(MODEL_FRAME_SQL + f"""
+SELECT {KEY_SQL}, TS_N AS actual, round(prediction, 4) AS predicted, CASE WHEN TS_N <> 0 THEN abs(prediction - TS_N) / abs(TS_N) <= 0.05
+       ELSE abs(prediction - TS_N) <= 0 END AS in_band FROM pr WHERE split = 'test'"""))
+def q_band_points(spark, d):
+    """G1: the points of the actual-against-predicted plot."""
+    from quarry.operators.evaluate import band_points
+    pts = band_points(_model_frame(spark, d).filter("split = 'test'"), "TS_N", "prediction", KEY_COLUMNS)
+    return pts.withColumn("predicted", F.round("predicted", 4))
+
+
+@query("profile_events_ts", """
+SELECT count(DISTINCT ts) AS cardinality, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS dt_min,
+       strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS dt_max FROM events""")
+def q_profile_events_ts(spark, d):
+    """P2 + P6 on times with fractions of a second."""
+    r = profile.profile_rows(read_table(spark, d, "events").select("ts"))[0]
+    whole = lambda v: v if "." in v else v + ".000000"
+    return spark.createDataFrame([(r["cardinality"], whole(r["dt_min"]), whole(r["dt_max"]))], "cardinality long, dt_min string, dt_max string")
+
+
+@query("run_summary", """
+SELECT CAST(user_id AS varchar) AS run_id, min(ts)::timestamp AS start_time, max(ts)::timestamp AS end_time,
+       max_by(event_type, event_id) AS final_status, count(*) AS n_stages FROM events GROUP BY user_id""")
+def q_run_summary(spark, d):
+    """L2 over the events as stage records: a user as run, the event's type as stage and status."""
+    from quarry.plans.runlog import run_summary
+    ev = read_table(spark, d, "events")
+    stages = ev.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"),
+                       "ts", F.col("event_type").alias("status"), F.lit("").alias("details"))
+    return run_summary(stages).select("run_id", "start_time", "end_time", "final_status", "n_stages")
+
+
+@query("upper_case_names", "SELECT EVENT_ID, USER_ID, VALUE FROM (SELECT event_id AS EVENT_ID, user_id AS USER_ID, value AS VALUE FROM events)")
+def q_upper_case_names(spark, d):
+    """A table under upper-case names."""
+    from quarry.sources.tables import with_upper_case_columns
+    return with_upper_case_columns(read_table(spark, d, "events").select("event_id", "user_id", "value"))
+
+
+@query("excess_titanium", with_fact(f"""
+SELECT {KEY_SQL}, round(coalesce(ELM_C, 0) - 3.4 * coalesce(ELM_N, 0), 6) AS excess FROM fact"""))
+def q_excess_titanium(spark, d):
+    """X1b bound to fact columns: the titanium slot to ELM_C, the nitrogen slot to ELM_N."""
+    from quarry.plans import formulas
+    f = fact(spark, d, *KEY_COLUMNS, "ELM_C", "ELM_N")
+    out, _ = features.apply_formula(f, formulas.STOCK_FORMULAS[1]["formula_template"], "excess", {"Ti": "ELM_C", "N": "ELM_N"})
+    return out.select(*keys(), rnd(F.col("excess")).alias("excess"))

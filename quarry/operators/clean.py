@@ -92,9 +92,9 @@ def row_missing_ratio(df: DataFrame, features: list[str]) -> Column:
     return safe_div(s, len(features))
 
 
-def drop_rows_by_ratio(df: DataFrame, threshold: float, target: str | None = None) -> DataFrame:
-    """F8: keep rows whose missing share over the features (target excluded) is <= threshold."""
-    feats = [x for x in df.columns if x != target]
+def drop_rows_by_ratio(df: DataFrame, threshold: float, target: str | None = None, features: list[str] | None = None) -> DataFrame:
+    """F8: keep rows whose missing share over the features (by default all but the target) is <= threshold."""
+    feats = features or [x for x in df.columns if x != target]
     return df.filter(row_missing_ratio(df, feats) <= F.lit(threshold))
 
 

@@ -4,62 +4,114 @@ Per-category statistics are grouped counts/means (map-side combined, so a
 category holding a third of the rows costs one row per task before the
 shuffle). They return to the rows through ``lookup_join``: broadcast when the
 category table is proven small, otherwise a shuffle join whose hot keys AQE
-splits. The one-hot value list is bounded by construction (one output column
-per value) and checked.
+splits. All columns of a step are fitted by one group-by over (column, value) pairs,
+so the number of jobs does not grow with the columns.
 """
 
 from __future__ import annotations
 
-import math
-
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import c as col, is_numeric, quote, replace_columns
+from quarry.functions.columns import c as col, quote, replace_columns
 from quarry.functions.joins import lookup_join
 from quarry.functions.ranking import global_index
 from quarry.operators.base import Operator, register
 from quarry.session import materialize
 
-MAX_ONE_HOT_VALUES = 1000
+# More values than this make one sparse vector column instead of a column each.
+MAX_ONE_HOT_COLUMNS = 1000
 # Dictionaries up to this size are numbered by a per-column window.
 LABEL_WINDOW_MAX_DISTINCT = 100_000
 NULL_LABEL = "__NULL__"
 RARE_LABEL = "__RARE__"
 
 
-def _value_counts(df: DataFrame, c: str) -> DataFrame:
-    return df.groupBy(col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(_k, _v): column name and value as text, for every row and column."""
+    text = [col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("_k", 2, 9).cast("int") + 1)
+    return df.select(*text).unpivot([], [f"c{i}" for i in range(len(columns))], "_k", "_v").select(names.alias("_k"), "_v")
+
+
+def _distinct_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    return _pairs(df, columns).distinct()
+
+
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(_k, _v, _n): how often each value of each column occurs, all columns in one group-by,
+    checkpointed as everything fitted from it reads it again."""
+    return materialize(_pairs(df, columns).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _sizes(pairs: DataFrame) -> dict[str, int]:
+    return {r["_k"]: int(r["n"]) for r in pairs.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+
+
+def _typed(df: DataFrame, c: str, texts: list) -> list:
+    """The texts as values of the column's own type (a bounded list)."""
+    if isinstance(df.schema[c].dataType, T.StringType):
+        return list(texts)
+    rows = df.sparkSession.createDataFrame([(t,) for t in texts], "v string")
+    return [r[0] for r in rows.select(F.col("v").cast(df.schema[c].dataType)).collect()]
 
 
 class OneHot(Operator):
-    """Integer indicator per sorted value, ``{col}_{value}``; source dropped; NULL -> ``{col}_nan``."""
+    """Integer indicator per sorted value, ``{col}_{value}``; source dropped; NULL -> ``{col}_nan``.
+
+    A column of more than ``max_columns`` values becomes one sparse vector ``{col}_onehot``
+    instead, with a place for each value in sorted order and a last one for NULL and
+    values that were not seen: nothing is cut, and the schema stays readable. Its
+    values stay in a table; they never reach the driver.
+    """
 
     name, family = "one_hot_encode_column", "encode"
 
-    def fit(self, df, columns, max_values: int = MAX_ONE_HOT_VALUES, **params):
+    def fit(self, df, columns, max_columns: int = MAX_ONE_HOT_COLUMNS, **params):
+        present = [c for c in columns if c in df.columns]
+        if not present:
+            return {}
+        pairs = materialize(_distinct_pairs(df, present).withColumn("_n", F.lit(1)))
+        sizes = _sizes(pairs)
+        small = [c for c in present if sizes.get(c, 0) <= max_columns]
+        values: dict[str, list] = {c: [] for c in small}
+        for r in pairs.filter(F.col("_k").isin(*small)).collect() if small else []:  # at most max_columns each
+            values[r["_k"]].append(r["_v"])
         state = {}
-        for c in columns:
-            if c not in df.columns:
-                continue
-            vals = (df.select(col(c).alias("_v")).distinct().limit(max_values + 1).collect())
-            if len(vals) > max_values:
-                raise ValueError(f"one-hot on '{c}' would create more than {max_values} columns")
-            values = [r["_v"] for r in vals]
-            non_null = sorted(v for v in values if v is not None)
-            state[c] = {"values": non_null, "has_null": any(v is None for v in values)}
+        for c in present:
+            kind = df.schema[c].dataType
+            if c in values:
+                state[c] = {"values": sorted((v for v in _typed(df, c, values[c]) if v is not None)),
+                            "has_null": any(v is None for v in values[c])}
+            else:
+                mine = pairs.filter((F.col("_k") == c) & F.col("_v").isNotNull()).select(F.col("_v").cast(kind).alias("_v"))
+                codes = global_index(mine, ["_v"], "_code").select("_v", (F.col("_code") - 1).cast("double").alias("_code"))
+                state[c] = {"codes": codes, "n_codes": codes.count()}
         return state
 
     def transform(self, df, state):
-        keep = [F.col(quote(x)) for x in df.columns if x not in state]
+        keep = [F.col(quote(x)) for x in df.columns if x not in state or "codes" in state[x]]
         new = []
         for c, st in state.items():
+            if "codes" in st:
+                continue
             for v in st["values"]:
                 new.append(col(c).eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}"))
             if st["has_null"]:
                 new.append(col(c).isNull().cast("int").alias(f"{c}_nan"))
-        return df.select(*keep, *new)
+        out = df.select(*keep, *new)
+        for c, st in state.items():
+            if "codes" in st:
+                codes = st["codes"]
+                n = float(st["n_codes"])
+                out = lookup_join(out, codes, col(c) == codes["_v"], "left").drop("_v")
+                out = out.withColumn("_code", F.coalesce("_code", F.lit(n)))
+                hot = OneHotEncoder(inputCols=["_code"], outputCols=[f"{c}_onehot"], dropLast=False)
+                top = df.sparkSession.range(1).select(F.lit(n).alias("_code"))  # fixes the vector's length
+                out = hot.fit(top).transform(out).drop("_code", c)
+        return out
 
 
 class LabelEncode(Operator):
@@ -87,30 +139,29 @@ class LabelEncode(Operator):
             keyed = df.select(*[F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)).alias(f"c{i}")
                                 for i, c in enumerate(text)])
             pairs = keyed.unpivot([], [f"c{i}" for i in range(len(text))], "_k", "_v").distinct()
-            pairs = materialize(pairs, reliable=False)
-            sizes = {r["_k"]: int(r["n"]) for r in pairs.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+            pairs = materialize(pairs)
+            sizes = _sizes(pairs)
             small = [k for k, n in sizes.items() if n <= LABEL_WINDOW_MAX_DISTINCT]
             w = Window.partitionBy("_k").orderBy("_v")
             ranked = materialize(pairs.filter(F.col("_k").isin(*small))
-                                 .withColumn("_code", (F.dense_rank().over(w) - 1).cast("int")), reliable=False) \
+                                 .withColumn("_code", (F.dense_rank().over(w) - 1).cast("int"))) \
                 if small else None
             for i, c in enumerate(text):
                 k = f"c{i}"
                 if k in small:
                     codes = ranked.filter(F.col("_k") == k).select("_v", "_code")
                 else:
-                    codes = global_index(pairs.filter(F.col("_k") == k).select("_v"), ["_v"], "_code",
-                                         reliable=False)
-                    codes = codes.select("_v", (F.col("_code") - 1).cast("int").alias("_code"))
+                    codes = global_index(pairs.filter(F.col("_k") == k).select("_v"), ["_v"], "_code")
+                    codes = materialize(codes.select("_v", (F.col("_code") - 1).cast("int").alias("_code")))
                 state[c] = {"as_string": True, "codes": codes, "n_codes": sizes.get(k, 0)}
         for c in present:
             if c in state:
                 continue
             # a non-text column without NULLs keeps its own (numeric / temporal) order
             distinct = df.select(col(c).alias("_v")).distinct()
-            codes = global_index(distinct, ["_v"], "_code", reliable=False)
-            codes = codes.select("_v", (F.col("_code") - 1).cast("int").alias("_code"))
-            state[c] = {"as_string": False, "codes": codes}
+            codes = global_index(distinct, ["_v"], "_code")
+            codes = materialize(codes.select("_v", (F.col("_code") - 1).cast("int").alias("_code")))
+            state[c] = {"as_string": False, "codes": codes, "n_codes": codes.count()}
         return state
 
     def transform(self, df, state):
@@ -118,9 +169,10 @@ class LabelEncode(Operator):
         for c, st in state.items():
             key = F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)) if st["as_string"] else col(c)
             codes = st["codes"]
-            out = lookup_join(out.withColumn("_k", key), codes, F.col("_k") == codes["_v"], "left",
-                              small_rows=st.get("n_codes"))
-            out = replace_columns(out.drop("_k", "_v"), {c: F.col("_code")}).drop("_code")
+            out = lookup_join(out.withColumn("_k", key), codes, F.col("_k") == codes["_v"], "left")
+            # a value that was not seen gets the first code after the known ones
+            code = F.coalesce(F.col("_code"), F.lit(int(st["n_codes"])))
+            out = replace_columns(out.drop("_k", "_v"), {c: code}).drop("_code")
         return out
 
 
@@ -133,25 +185,25 @@ class TargetEncode(Operator):
 
     def fit(self, df, columns, target: str | None = None, smoothing: float = 5.0,
             min_samples_leaf: int = 20, **params):
-        state = {}
         if target is None or target not in df.columns:
             return {c: {"skip": "target absent"} for c in columns if c in df.columns}
+        mine = [c for c in columns if c in df.columns and c != target]
+        if not mine:
+            return {}
         prior = df.agg(F.avg(col(target))).collect()[0][0]
-        for c in columns:
-            if c not in df.columns or c == target:
-                continue
-            stats = df.groupBy(col(c).alias("_v")).agg(F.count(col(target)).alias("_n"),
-                                                        F.avg(col(target)).alias("_m"))
-            w = 1.0 / (1.0 + F.exp(-(F.col("_n") - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
-            enc = F.when(F.col("_n") == 1, F.lit(prior)).otherwise(F.lit(prior) * (1 - w) + F.col("_m") * w)
-            state[c] = {"prior": prior, "map": stats.select("_v", enc.alias("_enc"))}
-        return state
+        text = [col(c).cast("string").alias(f"c{i}") for i, c in enumerate(mine)]
+        long = df.select(col(target).alias("_y"), *text).unpivot("_y", [f"c{i}" for i in range(len(mine))], "_k", "_v")
+        stats = long.groupBy("_k", "_v").agg(F.count("_y").alias("_n"), F.avg("_y").alias("_m"))
+        w = 1.0 / (1.0 + F.exp(-(F.col("_n") - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
+        enc = F.when(F.col("_n") == 1, F.lit(prior)).otherwise(F.lit(prior) * (1 - w) + F.col("_m") * w)
+        table = materialize(stats.select("_k", "_v", enc.alias("_enc")))  # all columns in one pass
+        return {c: {"prior": prior, "map": table.filter(F.col("_k") == f"c{i}").select("_v", "_enc")} for i, c in enumerate(mine)}
 
     def transform(self, df, state):
         out = df
         for c, st in state.items():
             m = st["map"]
-            out = lookup_join(out, m, col(c).eqNullSafe(m["_v"]), "left")
+            out = lookup_join(out, m, col(c).cast("string").eqNullSafe(m["_v"]), "left")
             out = replace_columns(out.drop("_v"), {c: F.coalesce(F.col("_enc"), F.lit(st["prior"]))}).drop("_enc")
         return out
 
@@ -162,19 +214,20 @@ class FrequencyEncode(Operator):
     name, family = "frequency_encode_column", "encode"
 
     def fit(self, df, columns, **params):
-        state = {}
         present = [c for c in columns if c in df.columns]
-        total = df.count() if present else 0
-        for c in present:
-            counts = _value_counts(df, c)
-            state[c] = {"map": counts.select("_v", (F.col("_n") / F.lit(float(total))).alias("_f"))}
-        return state
+        if not present:
+            return {}
+        counts = _value_counts(df, present)
+        # every column's counts add up to the number of rows
+        total = counts.filter(F.col("_k") == present[0]).agg(F.sum("_n")).collect()[0][0]
+        share = F.col("_n") / F.lit(float(total or 1))
+        return {c: {"map": counts.filter(F.col("_k") == c).select("_v", share.alias("_f"))} for c in present}
 
     def transform(self, df, state):
         out = df
         for c, st in state.items():
             m = st["map"]
-            out = lookup_join(out, m, col(c).eqNullSafe(m["_v"]), "left")
+            out = lookup_join(out, m, col(c).cast("string").eqNullSafe(m["_v"]), "left")
             out = replace_columns(out.drop("_v"), {c: F.col("_f")}).drop("_f")
         return out
 
@@ -182,39 +235,32 @@ class FrequencyEncode(Operator):
 class RareLabelCollapse(Operator):
     """Values whose row share is below ``min_freq`` (NULL included) become ``__RARE__``.
 
-    Only the *frequent* values are kept in the state: there are at most
-    ``1/min_freq`` of them, a bound that makes the membership test a small literal list.
+    The state is the table of frequent values, joined back like every other map; values
+    that were not seen are rare. ``min_freq`` of 0 or less changes nothing.
     """
 
     name, family = "rare_label_collapse", "encode"
 
     def fit(self, df, columns, min_freq: float = 0.01, rare_label: str = RARE_LABEL, **params):
-        state = {}
-        bound = int(math.floor(1.0 / min_freq)) if min_freq > 0 else None
-        for c in columns:
-            if c not in df.columns:
-                continue
-            counts = _value_counts(df, c)
-            agg = counts.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("k")).collect()[0]
-            total, n_values = int(agg["t"] or 0), int(agg["k"])
-            frequent = counts.filter(F.col("_n") / F.lit(float(max(total, 1))) >= F.lit(min_freq))
-            rows = frequent.limit((bound or 10 ** 6) + 1).collect()
-            keep = [r["_v"] for r in rows]
-            n_rare = n_values - len(keep)
-            state[c] = ({"skip": "no rare values"} if n_rare == 0 else
-                        {"keep": [v for v in keep if v is not None], "keep_null": any(v is None for v in keep),
-                         "label": rare_label, "numeric": is_numeric(df, c)})
-        return state
+        present = [c for c in columns if c in df.columns]
+        if not present or min_freq <= 0:
+            return {c: {"skip": "no rare values"} for c in present}
+        counts = _value_counts(df, present)
+        total = counts.filter(F.col("_k") == present[0]).agg(F.sum("_n")).collect()[0][0]
+        frequent = F.col("_n") / F.lit(float(total or 1)) >= F.lit(min_freq)
+        rare = {r["_k"]: int(r["n"]) for r in counts.groupBy("_k").agg(F.count_if(~frequent).alias("n")).collect()}  # a row a column
+        return {c: ({"skip": "no rare values"} if not rare.get(c) else
+                    {"keep": counts.filter((F.col("_k") == c) & frequent).select("_v", F.lit(True).alias("_kept")),
+                     "label": rare_label}) for c in present}
 
     def transform(self, df, state):
-        new = {}
+        out = df
         for c, st in state.items():
-            x = col(c).cast("string") if st["numeric"] else col(c)
-            keep_vals = [str(v) if st["numeric"] else v for v in st["keep"]]
-            is_kept = x.isin(*keep_vals) if keep_vals else F.lit(False)
-            is_kept = F.when(x.isNull(), F.lit(st["keep_null"])).otherwise(is_kept)
-            new[c] = F.when(is_kept, x).otherwise(F.lit(st["label"]))
-        return replace_columns(df, new)
+            m = st["keep"]
+            x = col(c).cast("string")
+            out = lookup_join(out, m, x.eqNullSafe(m["_v"]), "left").drop("_v")
+            out = replace_columns(out, {c: F.when(F.col("_kept"), x).otherwise(F.lit(st["label"]))}).drop("_kept")
+        return out
 
 
 one_hot_encode_column = register(OneHot())

@@ -25,7 +25,7 @@ MAX_DEPTH_LIMIT = 30
 PARAM_MAP = {
     "random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
                       "max_features": "featureSubsetStrategy", "max_bins": "maxBins", "seed": "seed",
-                      "subsample": "subsamplingRate"},
+                      "subsample": "subsamplingRate", "bootstrap": "bootstrap"},
     "xgboost": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
                 "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
                 "min_child_weight": "minInstancesPerNode", "max_bins": "maxBins", "seed": "seed"},
@@ -61,11 +61,13 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(df)
 
 
-def _fraction_strategy(v) -> str:
+def _subset_strategy(v) -> str:
+    """A whole number is a number of features, a fraction a share of them (1.0: all)."""
     if isinstance(v, str):
         return v
-    v = float(v)
-    return "all" if v >= 1.0 else str(v)
+    if isinstance(v, int):
+        return str(v)
+    return "all" if v >= 1.0 else str(float(v))
 
 
 def spark_params(learner: str, params: dict | None) -> dict:
@@ -80,8 +82,10 @@ def spark_params(learner: str, params: dict | None) -> dict:
             v = int(round(float(v)))
         elif sk in ("stepSize", "subsamplingRate"):
             v = float(v)
+        elif sk == "bootstrap":
+            v = bool(v)
         elif sk == "featureSubsetStrategy":
-            v = _fraction_strategy(v)
+            v = _subset_strategy(v)
         out[sk] = v
     if "maxDepth" in out:
         out["maxDepth"] = max(1, min(out["maxDepth"], MAX_DEPTH_LIMIT))

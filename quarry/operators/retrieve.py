@@ -20,7 +20,7 @@ MAX_QUERIES_PER_PASS = 4096
 
 def _local_topk(q_ids, q_mat, k, id_col, vec_col, dim):
     def run(batches):
-        best: dict[int, list] = {}
+        best: list[list] = [[] for _ in q_ids]
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -31,21 +31,19 @@ def _local_topk(q_ids, q_mat, k, id_col, vec_col, dim):
             ids = pdf[id_col].to_numpy()[ok]
             x = np.vstack([np.asarray(v, dtype=np.float64) for v, g in zip(vecs, ok) if g])
             # squared L2: |x|^2 - 2 x.q + |q|^2, evaluated exactly as sum((x - q)^2) per query block
-            for qi, qid in enumerate(q_ids):
+            for qi in range(len(q_ids)):
                 d = ((x - q_mat[qi]) ** 2).sum(axis=1)
-                take = min(k, len(d))
-                part = np.argpartition(d, take - 1)[:take] if take < len(d) else np.arange(len(d))
-                cand = best.setdefault(qid, [])
+                # all rows as near as the k-th, so that ties are decided by id and not by chance
+                part = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
+                cand = best[qi]
                 cand.extend(zip(d[part].tolist(), ids[part].tolist()))
-                if len(cand) > 4 * k:
-                    cand.sort()
-                    del cand[k:]
+                cand.sort()
+                del cand[k:]
         rows = []
-        for qid, cand in best.items():
-            cand.sort()
-            rows.extend((qid, int(i), float(dd)) for dd, i in cand[:k])
+        for qi, cand in enumerate(best):
+            rows.extend((qi, int(i), float(dd)) for dd, i in cand)
         if rows:
-            yield pd.DataFrame(rows, columns=["query_id", id_col, "distance"])
+            yield pd.DataFrame(rows, columns=["_q", id_col, "distance"])
     return run
 
 
@@ -71,11 +69,13 @@ def knn_l2(index: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_
         dim = q_mat.shape[1]
         local = index.select(id_col, vec_col).mapInPandas(
             _local_topk(q_ids, q_mat, k, id_col, vec_col, dim),
-            f"query_id long, {id_col} long, distance double")
-        w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc(id_col))
+            f"_q long, {id_col} long, distance double")
+        # queries are told apart by their place in the pass: two may have one id
+        w = Window.partitionBy("_q").orderBy(F.asc("distance"), F.asc(id_col))
         # each query's window holds at most (#partitions x k) candidates
         top = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        results.append(top)
+        names = F.element_at(F.array(*[F.lit(int(q)) for q in q_ids]), (F.col("_q") + 1).cast("int"))
+        results.append(top.select(names.cast("long").alias("query_id"), id_col, "distance", "rank"))
     if not results:
         return spark.createDataFrame([], f"query_id long, {id_col} long, distance double, score double, rank int")
     out = results[0]

@@ -102,8 +102,9 @@ def fit_yeo_johnson_lambda(df: DataFrame, c: str, lo: float = -2.0, hi: float =
 
     A grid on [lo, hi] is evaluated in ONE job (each row is paired with every
     grid point and the variances are aggregated per point, map-side), then
-    ``refinements`` finer grids (step / 10 each) around the best point: the
-    cost is (1 + refinements) scans regardless of the grid size.
+    ``refinements`` finer grids (step / 10 each) around the best point. While the best
+    point is the edge of the first grid, the grid moves on (to +-64 at most, where powers overflow): the
+    cost is (1 + refinements) scans, and one for each move.
     """
     x = col(c).cast("double")
     base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
@@ -111,8 +112,8 @@ def fit_yeo_johnson_lambda(df: DataFrame, c: str, lo: float = -2.0, hi: float =
     n, ssum = stat["n"], stat["s"]
     if not n:
         return None
-    best = None
-    for _ in range(refinements + 1):
+    best, done = None, 0
+    while done <= refinements:
         n_pts = int(round((hi - lo) / step)) + 1
         lams = [round(lo + i * step, 10) for i in range(n_pts)]
         grid = base.select("x", F.explode(F.array(*[F.lit(v) for v in lams])).alias("lam"))
@@ -128,7 +129,12 @@ def fit_yeo_johnson_lambda(df: DataFrame, c: str, lo: float = -2.0, hi: float =
                 best_ll, best = ll, lam
         if best is None:
             return None
-        lo, hi, step = best - step, best + step, step / 10.0
+        if done == 0 and abs(best) < 64 and best in (lams[0], lams[-1]) and n_pts > 1:
+            # the optimum may lie further out: look there before refining
+            span = hi - lo
+            lo, hi = (best - span, best + step) if best == lams[0] else (best - step, best + span)
+            continue
+        lo, hi, step, done = best - step, best + step, step / 10.0, done + 1
     return best
 
 

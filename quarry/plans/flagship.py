@@ -18,14 +18,15 @@ FLAGSHIP_REQUEST = dict(target_metric="TS_N", time_range="19970101-19981231")
 
 def modelling_frame(spark: SparkSession, sf_dir: str, request: dict | None = None,
                     group: str = "SG_SIGN", test_size: float = 0.2) -> DataFrame:
-    """Rows with ``split`` and the group-mean ``prediction`` of the target."""
-    req = Request(**(request or {"target_metric": "TS_N", "time_range": "19950101-20011231"}))
-    target = req.target_metric
-    rows = scan_filtered(fact(spark, sf_dir), req)
+    """Rows (of the request, or all) with ``split`` and the group-mean ``prediction`` of the target."""
+    target = (request or {}).get("target_metric", "TS_N")
     keep = list(dict.fromkeys([*KEY_COLUMNS, TIME_COLUMN, target, group, "ELM_C", "QTY"]))
+    rows = fact(spark, sf_dir, *keep)
+    if request:
+        rows = scan_filtered(rows, Request(**request))
     # every fit below is an action over these rows: read and join the sources once,
     # keeping only the columns this model uses (a persisted frame is not pruned later)
-    rows = materialize(target_filter(rows, target).select(*keep), reliable=False)
+    rows = materialize(target_filter(rows, target).select(*keep))
     rows, _, _ = impute.impute_mean(rows, "ELM_C")
     rows, _, _ = scale.standard_scale_column(rows, "QTY")
     indexed = add_time_index(rows, TIME_COLUMN, KEY_COLUMNS)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Return (or create) a session configured for quarry.
 
     On a cluster the master, memory and ``spark.checkpoint.dir`` come from the
-    submitter; only when no checkpoint directory is configured (local tests)
-    a scratch one is created under /tmp.
+    submitter. Only a local session gets a memory setting here, and a scratch
+    checkpoint directory when it needs one and none is configured.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -36,22 +39,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
+    if (master or "").startswith("local"):
+        builder = builder.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where none is configured, a local session
+    gets a scratch folder (removed when the process ends); any other master is refused, as
+    its executors could not see the driver's own folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
@@ -67,3 +76,23 @@ def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import its functions; done
+    once for each Spark context (a submitter may have sent it already, which does no harm)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quarry-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "quarry.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._quarry_shipped = True

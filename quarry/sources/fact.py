@@ -19,49 +19,64 @@ KEY_COLUMNS = ["L_ORDERKEY", "L_LINENUMBER", "L_PARTKEY", "L_SUPPKEY", "K_PRICE"
 TIME_COLUMN = "REC_REVISE_TIME"
 
 
-def _fact_columns() -> list[Column]:
+def _fact_columns() -> dict[str, Column]:
     ln = F.col("l_linenumber")
     qty = F.col("l_quantity")
     size = F.col("p_size").cast("double")
-    return [
-        F.col("l_orderkey").alias("L_ORDERKEY"),
-        ln.alias("L_LINENUMBER"),
-        F.col("l_partkey").alias("L_PARTKEY"),
-        F.col("l_suppkey").alias("L_SUPPKEY"),
-        F.col("l_extendedprice").alias("K_PRICE"),
-        F.col("l_shipdate").alias("REC_REVISE_TIME"),
-        F.col("p_brand").alias("SG_SIGN"),
-        F.col("l_returnflag").alias("PRODUCT_UNIT_NO"),
-        F.col("o_orderpriority").alias("ST_NO"),
-        F.col("p_type").alias("SIGN_CODE"),
-        F.col("p_name").alias("PROD_NAME"),
-        F.col("l_linestatus").alias("LINE_FLAG"),
-        F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("ELM_C"),
-        F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("ELM_MN"),
-        F.col("l_discount").alias("ELM_N"),
-        qty.alias("QTY"),
-        size.alias("SIZE_MM"),
-        F.col("p_retailprice").alias("RETAIL"),
-        F.when(ln >= 4, size).alias("SPARSE_A"),
-        F.when(ln == 7, qty).alias("SPARSE_B"),
-        F.when(ln == 1, F.lit("null")).when(ln == 2, F.lit("(null)")).when(ln == 3, F.lit(" "))
-         .when(ln == 4, F.lit("nan")).otherwise(F.col("l_returnflag")).alias("RAW_FLAG"),
-        F.lit("X").alias("CONST_COL"),
-        F.lit(None).cast("string").alias("EMPTY_COL"),
-        F.when(qty == 1, F.lit(None).cast("double")).when(qty == 2, F.lit(0.0))
-         .otherwise(F.col("l_extendedprice")).alias("TS_N"),
-        (F.lit(300) + 4 * qty + 1500 * F.col("l_discount") - 800 * F.col("l_tax") + 2 * F.col("p_size"))
-        .cast("double").alias("TS_SIG"),
-    ]
+    return {
+        "L_ORDERKEY": F.col("l_orderkey"),
+        "L_LINENUMBER": ln,
+        "L_PARTKEY": F.col("l_partkey"),
+        "L_SUPPKEY": F.col("l_suppkey"),
+        "K_PRICE": F.col("l_extendedprice"),
+        "REC_REVISE_TIME": F.col("l_shipdate"),
+        "SG_SIGN": F.col("p_brand"),
+        "PRODUCT_UNIT_NO": F.col("l_returnflag"),
+        "ST_NO": F.col("o_orderpriority"),
+        "SIGN_CODE": F.col("p_type"),
+        "PROD_NAME": F.col("p_name"),
+        "LINE_FLAG": F.col("l_linestatus"),
+        "ELM_C": F.when(F.col("l_discount") != 0, F.col("l_discount")),
+        "ELM_MN": F.when(F.col("l_tax") != 0, F.col("l_tax")),
+        "ELM_N": F.col("l_discount"),
+        "QTY": qty,
+        "SIZE_MM": size,
+        "RETAIL": F.col("p_retailprice"),
+        "SPARSE_A": F.when(ln >= 4, size),
+        "SPARSE_B": F.when(ln == 7, qty),
+        "RAW_FLAG": F.when(ln == 1, F.lit("null")).when(ln == 2, F.lit("(null)")).when(ln == 3, F.lit(" "))
+         .when(ln == 4, F.lit("nan")).otherwise(F.col("l_returnflag")),
+        "CONST_COL": F.lit("X"),
+        "EMPTY_COL": F.lit(None).cast("string"),
+        "TS_N": F.when(qty == 1, F.lit(None).cast("double")).when(qty == 2, F.lit(0.0))
+         .otherwise(F.col("l_extendedprice")),
+        "TS_SIG": (F.lit(300) + 4 * qty + 1500 * F.col("l_discount") - 800 * F.col("l_tax") + 2 * F.col("p_size"))
+        .cast("double"),
+    }
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
-    part = read_table(spark, sf_dir, "part")
-    orders = read_table(spark, sf_dir, "orders")
-    joined = (li.join(part, li.l_partkey == part.p_partkey)
-                .join(orders, li.l_orderkey == orders.o_orderkey))
-    return joined.select(*_fact_columns())
+# Columns that need a table besides ``lineitem``.
+FROM_PART = {"SG_SIGN", "SIGN_CODE", "PROD_NAME", "SIZE_MM", "RETAIL", "SPARSE_A", "TS_SIG"}
+FROM_ORDERS = {"ST_NO"}
+
+
+def fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The fact view, or only the given columns of it (in the given order).
+
+    ``part`` and ``orders`` are joined only if one of their columns is asked for: every line
+    item has its part and its order (the foreign keys are total), so a join that adds no
+    column would add and drop no row either.
+    """
+    wanted = set(columns)
+    rows = read_table(spark, sf_dir, "lineitem")
+    if not wanted or wanted & FROM_PART:
+        part = read_table(spark, sf_dir, "part")
+        rows = rows.join(part, rows.l_partkey == part.p_partkey)
+    if not wanted or wanted & FROM_ORDERS:
+        orders = read_table(spark, sf_dir, "orders")
+        rows = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
+    made = _fact_columns()
+    return rows.select(*[made[c].alias(c) for c in columns or made])
 
 
 # The same view as DuckDB SQL, used by the oracle twins.

@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table of a scale-factor directory (``<dir>/<name>.parquet``).
+    """Read one table of a scale-factor directory (``<dir>/<name>.parquet``), NaN as NULL.
 
-    A parquet file is split by row groups; a single file with fewer row groups
-    than task slots would run every downstream stage on one core. In that case
-    (checked from the file footer only) the rows are spread round-robin once
-    after the scan. Directories of many files (the cluster case) are read as is.
+    The files' own layout decides the scan's partitions. Where a few small files should
+    feed many cores (a benchmark on one machine), the setting ``quarry.scan.partitions``
+    spreads every table's rows over so many partitions.
     """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if os.path.isfile(path):
-        slots = spark.sparkContext.defaultParallelism
-        try:
-            import pyarrow.parquet as pq
-
-            groups = pq.ParquetFile(path).metadata.num_row_groups
-        except Exception:  # noqa: BLE001 - footer unreadable locally: leave the scan alone
-            groups = slots
-        if groups < slots:
-            df = df.repartition(slots)
-    return df
-
-
-def upper_case_columns(df: DataFrame) -> DataFrame:
+    df = nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    spread = spark.conf.get("quarry.scan.partitions", None)
+    return df.repartition(int(spread)) if spread else df
+
+
+def with_upper_case_columns(df: DataFrame) -> DataFrame:
     """Upper-case every column name (a pure rename, no data movement)."""
     return df.toDF(*[c.upper() for c in df.columns])
 
