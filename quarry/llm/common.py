@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.session import ensure_checkpoint_dir
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Keys (tens of bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -51,7 +51,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sliced(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def sliced(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` characters together, 256 texts at most."""
     begin = size = 0
     for i, text in enumerate(texts):

@@ -50,7 +50,7 @@ from quarry.llm.shingles import mix, shingle_sets
 GROUPS = 64
 CHUNK = 512
 #: Entries of a shard, about (16 bytes each), and those a task gathers before it hands them on.
-SHARD_ENTRIES, TASK_ENTRIES = 250_000, 2_000_000
+SHARD_ENTRIES, TASK_ENTRIES = 250_000, 500_000
 #: Shingles that the search for frequent ones looks at, and frequent ones it keeps (9 bytes each), at most.
 HINT_SHINGLES, HINT_KEPT = 10_000_000, 500_000
 #: Rows of a group of tiles, about (150 bytes each).

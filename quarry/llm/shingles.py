@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)

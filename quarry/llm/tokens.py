@@ -15,7 +15,7 @@ import struct
 
 #: Strings that a task remembers at most (about 200 bytes each): those of a young and
 #: of an old generation. When the young one is full it becomes the old one.
-CACHE_STRINGS = 1_200_000
+CACHE_STRINGS = 800_000
 #: Letters that the normal form of a text leaves as they are, alone and side by side.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _ENDS_PLAIN = re.compile(rb"(?s:.*)(?:[0-9a-z]|\xc3[\x9f-\xb6\xb8-\xbf])").fullmatch
