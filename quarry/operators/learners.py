@@ -46,7 +46,7 @@ class FittedModel:
     params: dict = field(default_factory=dict)
 
     def predict(self, df: DataFrame, pred_col: str = "prediction") -> DataFrame:
-        assembled = assemble(df, self.features)
+        assembled = df if "features" in df.columns else assemble(df, self.features)
         out = self.model.transform(assembled).drop("features")
         return out.withColumnRenamed("prediction", pred_col) if pred_col != "prediction" else out
 
@@ -107,9 +107,11 @@ def make_estimator(learner: str, params: dict | None = None, label: str = "label
 
 
 def fit(learner: str, train: DataFrame, features: list[str], label: str, params: dict | None = None) -> FittedModel:
-    """M1-M3: fit one learner on the (imputed) training rows."""
+    """M1-M3: fit one learner on the (imputed) training rows, or on rows that already have their feature vector."""
     if learner not in PARAM_MAP:
         raise ValueError(f"unknown learner {learner!r}; expected one of {LEARNERS}")
     est = make_estimator(learner, params, label)
-    model = est.fit(assemble(train.select(*features, F.col(label).cast("double").alias(label)), features))
+    if "features" not in train.columns:
+        train = assemble(train.select(*features, F.col(label).cast("double").alias(label)), features)
+    model = est.fit(train)
     return FittedModel(learner, list(features), label, model, dict(params or {}))
