@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.SQL,
+    "op4_jaccard_join": jaccard.SQL,
     "op6_url_filter": url_filter.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
