@@ -17,23 +17,29 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
 
 
-def mode_value(df: DataFrame, c: str):
-    """Most frequent non-null value, the smallest on ties.
+def mode_values(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """Most frequent non-null value of each column, the smallest on ties, as text.
 
-    A grouped count (map-side combined, so a hot value costs one row per task)
-    followed by a top-1 — never a per-column hash map of every distinct value.
+    One grouped count over (column, value) pairs for all columns (map-side combined, so a
+    hot value costs one row per task), then the best pair of each column.
     """
-    top = (df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("v").isNotNull())
-             .orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
-    return top[0]["v"] if top else None
+    if not columns:
+        return {}
+    names = [f"c{i}" for i in range(len(columns))]
+    long = df.select(*[col(c).cast("string").alias(n) for c, n in zip(columns, names)]).unpivot([], names, "k", "v")
+    counts = long.filter(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    numeric = [n for c, n in zip(columns, names) if is_numeric(df, c)]
+    size = F.when(F.col("k").isin(*numeric), F.col("v").try_cast("double")) if numeric else F.lit(None).cast("double")
+    best = counts.groupBy("k").agg(F.min_by("v", F.struct(-F.col("n"), size, "v")).alias("v"))
+    found = {r["k"]: r["v"] for r in best.collect()}  # a row for each column
+    return {c: found.get(n) for c, n in zip(columns, names)}
 
 
 def _fill(df: DataFrame, state: dict) -> DataFrame:
     new = {}
     for c, st in state.items():
-        fill = F.lit(st["value"])
         target_type = st.get("cast")
+        fill = F.lit(st["value"]).cast(target_type) if target_type else F.lit(st["value"])
         expr = F.coalesce(col(c), fill)
         new[c] = expr.cast(target_type) if target_type else expr
     return replace_columns(df, new)
@@ -95,16 +101,15 @@ class ImputeMostFrequent(Operator):
     def fit(self, df, columns, **params):
         present = [c for c in columns if c in df.columns]
         nulls = _null_counts(df, present)
+        modes = mode_values(df, [c for c in present if nulls[c]])
         state = {}
         for c in present:
             if nulls[c] == 0:
                 state[c] = {"skip": "no missing values"}
-                continue
-            v = mode_value(df, c)
-            if v is None:
+            elif modes[c] is None:
                 state[c] = {"skip": "all values missing"}
             else:
-                state[c] = {"value": v, "cast": df.schema[c].dataType.simpleString()}
+                state[c] = {"value": modes[c], "cast": df.schema[c].dataType.simpleString()}
         return state
 
     def transform(self, df, state):
@@ -121,6 +126,7 @@ class ImputeAuto(Operator):
         num = [c for c in present if is_numeric(df, c)]
         m = moments(df, num, ["nulls", "mean", "skew"])
         other_nulls = _null_counts(df, [c for c in present if c not in m])
+        modes = mode_values(df, [c for c, k in other_nulls.items() if k])
         state = {}
         medians_needed = [c for c in num if m[c]["nulls"] > 0 and m[c]["skew"] is not None
                           and abs(m[c]["skew"]) >= skew_threshold]
@@ -141,7 +147,7 @@ class ImputeAuto(Operator):
                 if other_nulls[c] == 0:
                     state[c] = {"skip": "no missing values"}
                     continue
-                v = mode_value(df, c)
+                v = modes[c]
                 state[c] = ({"skip": "all values missing"} if v is None else
                             {"value": v, "cast": df.schema[c].dataType.simpleString(), "strategy": "mode"})
         return state
