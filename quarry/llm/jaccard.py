@@ -381,11 +381,15 @@ class _Joined(dict):
         return x != y
 
 
-def _search(tiles: DataFrame, rule: Rule, exact: bool) -> DataFrame:
-    """(u, v) joining components: by bound (u and v are components), or exactly (nodes; ``tiles`` has hashes).
-    Each group of tiles gives only pairs that connect what it has not connected yet."""
+def _search(tiles: DataFrame, rule: Rule, vectors: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(u, v) of nodes that link (with ``sets``), or of components that the bound can't keep apart. Each
+    group of tiles gives only pairs that connect what it has not connected yet; without ``sets`` also, as
+    ``node``, every node that has a partner in another component."""
+    exact = sets is not None
     rows = stored(tiles, "tile-rows")
     groups = rows.count() // (TILE_ROWS // (16 if exact else 1)) + 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups))).join(vectors, "node")
+    rows = rows.join(sets, "node") if exact else rows
 
     def search(part: pa.Table) -> pa.Table:
         part = part.sort_by([("tile", "ascending"), ("node", "ascending")])
@@ -393,7 +397,7 @@ def _search(tiles: DataFrame, rule: Rule, exact: bool) -> DataFrame:
         counts = np.stack([unpacked(c) for c in part.column("counts").to_pylist()])
         sets = [np.frombuffer(h, np.uint64) for h in part.column("hashes").to_pylist()] if exact else []
         begins = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        joined, found = _Joined(), []
+        joined, found, nodes = _Joined(), [], []
         for a, b in zip(begins, np.append(begins[1:], len(tile))):
             mine, theirs = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
             if not len(mine) or not len(theirs):
@@ -401,15 +405,19 @@ def _search(tiles: DataFrame, rule: Rule, exact: bool) -> DataFrame:
             tree = CountTree(counts[theirs], n[theirs], rule)
             for i in mine:
                 near = theirs[tree.search(counts[i], int(n[i]))]
-                for k in near[comp[near] != comp[i]].tolist():
+                near = near[comp[near] != comp[i]]
+                if not exact and len(near):
+                    nodes += [int(node[i]), *node[near].tolist()] if side[i] != 2 else [int(node[i])]
+                for k in near.tolist():
                     x, y = int(comp[i]), int(comp[k])
                     if joined.top(x) != joined.top(y) and (not exact or linked(sets[i], sets[k], rule)):
                         joined.join(x, y)
                         found.append((int(node[i]), int(node[k])) if exact else (x, y))
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        nodes = sorted(set(nodes))
+        return pa.table([pa.array([f[0] for f in found] + [None] * len(nodes), pa.int64()), pa.array([f[1] for f in found] + [None] * len(nodes), pa.int64()),
+                         pa.array([None] * len(found) + nodes, pa.int64())], names=["u", "v", "node"])
 
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("part")
-    return parts.applyInArrow(search, "u long, v long").distinct()
+    return rows.groupBy("part").applyInArrow(search, "u long, v long, node long").distinct()
 
 
 def _open_links(cells: DataFrame, roots: DataFrame, vectors: DataFrame, rows: DataFrame, points: DataFrame, rule: Rule) -> DataFrame | None:
@@ -419,13 +427,14 @@ def _open_links(cells: DataFrame, roots: DataFrame, vectors: DataFrame, rows: Da
     state = entries.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("cell")
     members = stored(entries.join(stored(state, "open-cells"), "cell").withColumnRenamed("cell", "home"), "members")
     vectors = vectors.select("node", "counts")
-    plausible = stored(_search(_tiles(members, rule).join(vectors, "node"), rule, exact=False), "plausible")
+    plausible = stored(_search(_tiles(members, rule), rule, vectors), "plausible")
     if plausible.isEmpty():
         return None
-    block = stored(components(plausible), "blocks").select(F.col("node").alias("comp"), F.col("root").alias("home"))
-    members = stored(placed.select("node", "n", "comp").join(block, "comp"), "block-members")
+    block = stored(components(plausible.where("u is not null").select("u", "v")), "blocks").select(F.col("node").alias("comp"), F.col("root").alias("home"))
+    some = plausible.where("node is not null").select("node").distinct()
+    members = stored(placed.select("node", "n", "comp").join(some, "node").join(block, "comp"), "block-members")
     sets = stored(_hashes(_texts(rows, points, members.select("node")), rule), "sets")
-    return _search(_tiles(members, rule).join(vectors, "node").join(sets, "node"), rule, exact=True)
+    return _search(_tiles(members, rule), rule, vectors, sets).select("u", "v")
 
 
 def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
