@@ -93,15 +93,28 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(hashes) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts of GROUPS groups, four times as many for each time that a set is four times larger
+    (a bound over few groups keeps no large sets apart). Neighbouring groups add up to coarser ones."""
+    groups = GROUPS
+    while len(hashes) > 8 * groups:
+        groups *= 4
+    place = mix(hashes) >> np.uint64(65 - int(groups).bit_length())
+    return np.bincount(place.astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Vectors (along the last axis) of a coarser division."""
+    return counts if counts.shape[-1] == groups else counts.reshape(*counts.shape[:-1], groups, -1).sum(axis=-1)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int32).tobytes()
+    """The width of a count, then the counts."""
+    width = 1 if counts.max(initial=0) < 1 << 8 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * GROUPS else np.int32).astype(np.int32)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
 
 
 class CountTree:
@@ -140,6 +153,35 @@ class CountTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+class CountForest:
+    """A CountTree for each division of the vectors; each tree also holds the next finer
+    ones, folded, as linked sets have the same division or neighbouring ones."""
+
+    def __init__(self, counts: list[np.ndarray], sizes: np.ndarray, rule: Rule):
+        self.groups = np.array([len(c) for c in counts])
+        self.trees = {}
+        for g in np.unique(self.groups).tolist():
+            rows = np.flatnonzero((self.groups == g) | (self.groups == 4 * g))
+            self.trees[g] = rows, CountTree(np.stack([folded(counts[r], g) for r in rows]), sizes[rows], rule)
+
+    def search(self, counts: np.ndarray, size: int) -> np.ndarray:
+        """Rows whose bound, in the finest division that both have, reaches what a link needs."""
+        found, g = [np.zeros(0, np.int64)], len(counts)
+        if g in self.trees:
+            rows, tree = self.trees[g]
+            found.append(rows[tree.search(counts, size)])
+        elif 4 * g in self.trees:  # only finer ones here
+            rows, tree = self.trees[4 * g]
+            own = rows[self.groups[rows] == 4 * g]
+            shared = np.minimum(folded(tree.counts[self.groups[rows] == 4 * g], g), counts).sum(axis=1)
+            found.append(own[shared >= tree.rule.need(tree.sizes[self.groups[rows] == 4 * g], size)])
+        if g // 4 in self.trees:
+            rows, tree = self.trees[g // 4]
+            coarse = rows[tree.search(folded(counts, g // 4), size)]
+            found.append(coarse[self.groups[coarse] < g])
+        return np.concatenate(found)
+
+
 def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
     """Exactly: do two sorted sets link?"""
     if len(a) > len(b):
@@ -317,8 +359,11 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             u, v, un, uc, vn, vc = batch.columns
             if batch.num_rows:
-                x, y = (np.stack([unpacked(c) for c in side.to_pylist()]) for side in (uc, vc))
-                keep = pa.array(np.minimum(x, y).sum(axis=1) >= rule.need(un.to_numpy(), vn.to_numpy()))
+                shared = []
+                for x, y in zip(map(unpacked, uc.to_pylist()), map(unpacked, vc.to_pylist())):
+                    groups = min(len(x), len(y))
+                    shared.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum()))
+                keep = pa.array(np.array(shared) >= rule.need(un.to_numpy(), vn.to_numpy()))
                 yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
     both = pairs.join(side("u"), F.col("u") == F.col("u_node")).join(side("v"), F.col("v") == F.col("v_node"))
@@ -394,7 +439,7 @@ def _search(tiles: DataFrame, rule: Rule, vectors: DataFrame, sets: DataFrame |
     def search(part: pa.Table) -> pa.Table:
         part = part.sort_by([("tile", "ascending"), ("node", "ascending")])
         tile, side, node, comp, n = (part.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
-        counts = np.stack([unpacked(c) for c in part.column("counts").to_pylist()])
+        counts = [unpacked(c) for c in part.column("counts").to_pylist()]
         sets = [np.frombuffer(h, np.uint64) for h in part.column("hashes").to_pylist()] if exact else []
         begins = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         joined, found, nodes = _Joined(), [], []
@@ -402,7 +447,7 @@ def _search(tiles: DataFrame, rule: Rule, vectors: DataFrame, sets: DataFrame |
             mine, theirs = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
             if not len(mine) or not len(theirs):
                 continue
-            tree = CountTree(counts[theirs], n[theirs], rule)
+            tree = CountForest([counts[k] for k in theirs], n[theirs], rule)
             for i in mine:
                 near = theirs[tree.search(counts[i], int(n[i]))]
                 near = near[comp[near] != comp[i]]
