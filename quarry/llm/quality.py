@@ -12,8 +12,10 @@ smoothing and scoring are joins over n-gram tables:
    the probabilities, and shard and probabilities meet again to score each document.
 
 A document's perplexity is exp(-mean log p) over its symbols and an end mark. It is kept if
-that is at most ``margin`` times the ``quantile`` of trusted documents in its language (of
-all trusted documents, where its language is null or has none).
+that is at most the ``quantile`` of held-out perplexities of trusted documents in its language (of
+all trusted documents, where its language is null or has none). Held out: trusted texts are dealt into
+``FOLDS`` folds by their hash, so that copies share one, and each is scored by the model whose counts
+are those of the other folds. Where one fold holds all trusted text, the whole model scores it.
 
 Defined results: null or empty text has null perplexity and is rejected; without any trusted
 text nothing can be judged: perplexities are those of a uniform model, thresholds are null and
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import sliced, stored, table
 
 ORDER = 4
-QUANTILE, MARGIN = 0.99, 1.3
+QUANTILE = 0.99
+#: Parts of trusted text; one model more is made for each.
+FOLDS = 4
 #: Characters of a shard, about.
 SHARD_CHARS = 10_000_000
-#: 4-grams with their probabilities (16 bytes each) up to so many are broadcast; more are joined by a shuffle.
+#: 4-grams with their probabilities (50 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 #: Trusted ids (8 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -61,24 +65,32 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[wanted].view(np.int64), starts
 
 
+def _fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS))
+
+
 def _grams(docs: DataFrame) -> DataFrame:
-    """(code, n): every 4-gram of the corpus with its count in trusted text."""
+    """(code, n, f0, f1 ...): every 4-gram of the corpus with its count in trusted text and in each
+    fold of it, from (text, fold), fold null where the text isn't trusted."""
+    folds = [f"f{k}" for k in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, trusted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            parts = []
-            for good in (True, False):
-                some = [t for t, x in zip(texts, trusted) if x is good]
+            texts, of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts: list[list[pd.Series]] = [[] for _ in range(FOLDS + 1)]
+            for k in range(FOLDS + 1):
+                some = [t for t, x in zip(texts, of) if x == (k if k < FOLDS else None)]
                 for begin, stop in sliced(some):
                     where, codes = pd.factorize(gram_codes(some[begin:stop])[0])
-                    parts.append(pd.Series(np.bincount(where, minlength=len(codes)) * good, index=codes))
-            if parts:
-                total = pd.concat(parts).groupby(level=0, sort=False).sum()
+                    parts[k].append(pd.Series(np.bincount(where, minlength=len(codes)), index=codes))
+            totals = [pd.concat(p).groupby(level=0, sort=False).sum() if p else pd.Series([], index=np.zeros(0, np.int64), dtype=np.int64) for p in parts]
+            codes = pd.unique(np.concatenate([t.index.to_numpy() for t in totals]))
+            if len(codes):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(total.index.to_numpy(), pa.int64()), pa.array(total.to_numpy().astype(np.int64))], ["code", "n"])
+                    [pa.array(codes, pa.int64()), *[pa.array(t.reindex(codes, fill_value=0).to_numpy().astype(np.int64)) for t in totals[:FOLDS]]], ["code", *folds])
 
-    return docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return (docs.mapInArrow(run, "code long, " + ", ".join(f"{f} long" for f in folds)).groupBy("code").agg(*[F.sum(f).alias(f) for f in folds])
+            .select("code", reduce(Column.__add__, map(F.col, folds)).alias("n"), *folds))
 
 
 def _bits(n: int) -> Column:
@@ -89,8 +101,9 @@ def _suffix(code: Column, n: int) -> Column:
     return code if n == ORDER else code.bitwiseAND(_bits(n))
 
 
-def probabilities(grams: DataFrame) -> DataFrame:
-    """(code, logp) for every 4-gram of ``grams`` (code, n), n its count in trusted text."""
+def probabilities(grams: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(code, logp) for every 4-gram of ``asked`` (code), or else of ``grams`` (code, n), n its count in trusted text."""
+    asked = grams if asked is None else asked
     counts = {ORDER: grams.where("n > 0")}
     for k in range(ORDER - 1, 0, -1):  # distinct left neighbours
         counts[k] = counts[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -104,7 +117,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
     one = seen[1]
     symbols, total = one["types"] + 1, one["total"] or 0
-    table_ = (grams.select(_suffix(F.col("code"), 1).alias("code")).distinct()
+    table_ = (asked.select(_suffix(F.col("code"), 1).alias("code")).distinct()
               .join(counts[1], "code", "left")
               .select("code", ((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * symbols)).alias("p")))
     for k in range(2, ORDER + 1):
@@ -115,13 +128,25 @@ def probabilities(grams: DataFrame) -> DataFrame:
                     .agg(F.sum("n").alias("all"), *[F.count(F.when(w, 1)).alias(f"m{i + 1}") for i, w in enumerate((F.col("n") == 1, F.col("n") == 2, F.col("n") >= 3))]))
         rest = (F.col("m1") * d[0] + F.col("m2") * d[1] + F.col("m3") * d[2]) / F.col("all")
         lower = table_.select(F.col("code").alias("lower"), F.col("p").alias("q"))
-        table_ = (grams.select(_suffix(F.col("code"), k).alias("code")).distinct()
+        table_ = (asked.select(_suffix(F.col("code"), k).alias("code")).distinct()
                   .withColumn("lower", _suffix(F.col("code"), k - 1)).withColumn("context", F.shiftrightunsigned("code", 16))
                   .join(lower, "lower").join(counts[k], "code", "left").join(contexts, "context", "left")
                   .select("code", F.coalesce((n - cut) / F.col("all") + rest * F.col("q"), F.col("q")).alias("p")))
     return table_.select("code", F.log("p").alias("logp"))
 
 
+def _all_probabilities(grams: DataFrame) -> DataFrame:
+    """(code, logp, h0, h1 ...): h with a fold's number is the log probability by the other folds, for the 4-grams of that fold."""
+    made = [stored(probabilities(grams.select("code", "n")), "probabilities").withColumn("of", F.lit(-1))]
+    rest = grams.agg(*[F.sum(F.col("n") - F.col(f"f{k}")).alias(f"f{k}") for k in range(FOLDS)]).first()
+    for k in range(FOLDS):
+        if rest[f"f{k}"]:  # other folds hold text
+            held = probabilities(grams.select("code", (F.col("n") - F.col(f"f{k}")).alias("n")), grams.where(F.col(f"f{k}") > 0).select("code"))
+            made.append(stored(held, f"probabilities-{k}").withColumn("of", F.lit(k)))
+    pick = lambda k: F.max(F.when(F.col("of") == k, F.col("logp")))
+    return reduce(DataFrame.union, made).groupBy("code").agg(pick(-1).alias("logp"), *[pick(k).alias(f"h{k}") for k in range(FOLDS)])
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids that labels call good (quality 1) and none calls bad or toxic."""
     good = F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.coalesce("toxic", F.lit(0)) == 0)
@@ -129,21 +154,23 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, key, lang, trusted, perplexity) for every row; ``key`` is a hash of its text."""
+    """(doc_id, key, lang, trusted, perplexity, held_out) for every row; ``key`` is a hash of its text,
+    ``held_out`` a trusted text's perplexity by the other folds (null where they hold no text)."""
     trusted = stored(trusted_ids(labels), "trusted")
     n = trusted.count()
     trusted = F.broadcast(trusted) if n <= BROADCAST_IDS else trusted
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    texts = rows.where("text <> ''")
-    grams = stored(_grams(texts.join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))), "grams")
-    p = stored(probabilities(grams), "probabilities")
+    texts = rows.where("text <> ''").join(trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    grams = stored(_grams(texts.select("text", F.when(F.col("trusted"), _fold(F.col("text"))).alias("fold"))), "grams")
+    p = stored(_all_probabilities(grams), "probabilities")
     p = F.broadcast(p) if p.count() <= BROADCAST_GRAMS else p
 
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-chars // (FOLDS * shard_chars)))  # of each fold, so that a shard needs one held-out model only
     # both uses below read the same columns of this one shuffle of the texts, which Spark writes once
     dealt = texts.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "doc_id", F.xxhash64("text").alias("key"), "lang", "text").repartition(shards, "shard")
+        (F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) * FOLDS + _fold(F.col("text"))).alias("shard"), "doc_id", F.xxhash64("text").alias("key"), "lang", "text",
+        "trusted").repartition(shards * FOLDS, "shard")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,35 +182,42 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     # a shard whose texts came in several batches names some 4-grams more than once
     known = dealt.mapInArrow(distinct, "shard long, code long").join(p, "code")
+    held = F.coalesce(*[F.when(F.col("shard") % FOLDS == k, F.col(f"h{k}")) for k in range(FOLDS)])
 
     def judge(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         lines = mine.column("text").to_pylist()
-        codes, logp = theirs.column("code").to_numpy(), theirs.column("logp").to_numpy()
+        good = mine.column("trusted").to_numpy()
+        codes, logp, held = (theirs.column(c).to_numpy() for c in ("code", "logp", "held"))
         order = np.argsort(codes, kind="stable")
-        codes, logp = codes[order], logp[order]
-        out = []
+        codes, logp, held = codes[order], logp[order], held[order]
+        out, apart = [], []
         for begin, stop in sliced(lines):
             grams_, starts = gram_codes(lines[begin:stop])
             where, distinct_ = pd.factorize(grams_)
-            each = logp[np.searchsorted(codes, distinct_)][where]
-            sums, sizes = np.add.reduceat(each, starts), np.diff(np.append(starts, len(each)))
-            out.append(np.exp(-sums / sizes))
-        return pa.table([mine.column("doc_id"), mine.column("key"), mine.column("lang"), pa.array(np.concatenate(out))],
-                        names=["doc_id", "key", "lang", "perplexity"])
-
-    judged = (dealt.groupBy("shard").cogroup(known.select("shard", "code", "logp").groupBy("shard"))
-              .applyInArrow(judge, "doc_id long, key long, lang string, perplexity double"))
-    blank = rows.where("text is null or text = ''").select("doc_id", F.xxhash64("text").alias("key"), "lang", F.lit(None).cast("double").alias("perplexity"))
-    return judged.unionByName(blank).join(trusted, "doc_id", "left").select(
-        "doc_id", "key", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "perplexity")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, doc_id: str = "doc_id", text: str = "text",
+            places, sizes = np.searchsorted(codes, distinct_), np.diff(np.append(starts, len(grams_)))
+            for values, to in ((logp, out), (held, apart)):
+                if values is logp or good[begin:stop].any():
+                    to.append(np.exp(-np.add.reduceat(values[places][where], starts) / sizes))
+                else:
+                    to.append(np.full(stop - begin, np.nan))
+        apart_ = np.concatenate(apart)
+        return pa.table([mine.column("doc_id"), mine.column("key"), mine.column("lang"), mine.column("trusted"), pa.array(np.concatenate(out)),
+                         pa.array(apart_, mask=~good | np.isnan(apart_))], names=["doc_id", "key", "lang", "trusted", "perplexity", "held_out"])
+
+    judged = (dealt.groupBy("shard").cogroup(known.select("shard", "code", "logp", held.alias("held")).groupBy("shard"))
+              .applyInArrow(judge, "doc_id long, key long, lang string, trusted boolean, perplexity double, held_out double"))
+    none = F.lit(None).cast("double")
+    blank = (rows.where("text is null or text = ''").join(trusted, "doc_id", "left")
+             .select("doc_id", F.xxhash64("text").alias("key"), "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), none.alias("perplexity"), none.alias("held_out")))
+    return judged.unionByName(blank)
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text",
              lang: str = "lang", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, key, lang, perplexity, threshold, keep) for every row of ``docs``."""
     scores = stored(score(docs, labels, doc_id, text, lang, shard_chars), "perplexities")
     good = scores.where("trusted and perplexity is not null")
-    high = F.percentile_approx("perplexity", quantile, 10_000) * margin
+    high = F.percentile_approx(F.coalesce("held_out", "perplexity"), quantile, 10_000)
     by_lang = good.where("lang is not null").groupBy("lang").agg(high.alias("own"))  # a row for each language
     overall = good.agg(high.alias("v")).first()["v"]
     n = by_lang.count()
