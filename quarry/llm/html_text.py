@@ -27,7 +27,12 @@ BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section "
     "select summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = "script style template noscript svg math iframe object canvas textarea select button audio video title".split()
+#: Elements whose content is characters only, to their closing tag or the page's end; no text of them is kept.
+RAW = "script style textarea title".split()
+#: Elements that are dropped with all that they hold; an unclosed one ends with its parent.
+DROPPED = set("template noscript svg math iframe object canvas select button audio video".split())
+#: Of these a closing slash makes an empty element.
+FOREIGN = set("svg math".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 STRUCTURE = set("nav header footer aside form menu dialog fieldset head search".split())
 ARTICLE = set("article main".split())
@@ -42,7 +47,7 @@ ARTICLE_WORDS = set("article content post entry story main articlebody entrycont
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|(?P<open><(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*>?",
     re.S | re.I)
@@ -90,6 +95,8 @@ def blocks(page: str | None) -> list[Block]:
     linked: list[str] = []
     in_link, heading = False, False
     seen_article = False
+    near: dict[str, int] = {}  # open elements that aren't on the stack
+    dropped, within = "", []  # the element whose content is being dropped, and what is open in it
 
     def end_block() -> None:
         if pieces:
@@ -102,21 +109,46 @@ def blocks(page: str | None) -> list[Block]:
             linked.clear()
 
     def text(part: str) -> None:
-        if part:
+        if part and not dropped:
             pieces.append(part)
             if in_link:
                 linked.append(part)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
         tag = m["name"]
         if tag is None:
+            if m["open"] and m["open"].endswith("/>") and FOREIGN.intersection([dropped, *within]):
+                at = m.end("open")  # <title/> in an image is empty
             continue
         tag = tag.lower()
+        if dropped:
+            if not m["close"]:
+                if tag not in VOID and not m["rest"].endswith("/"):
+                    within.append(tag)
+                continue
+            if tag in within:
+                while within.pop() != tag:
+                    pass
+                continue
+            if tag == dropped:
+                dropped = ""
+                continue
+            if not near.get(tag) and all(tag != name for name, _ in stack):
+                continue
+            dropped = ""  # what holds it ends
+            within.clear()
+        elif tag in DROPPED:
+            if not m["close"] and not (tag in FOREIGN and m["rest"].endswith("/")):
+                dropped = tag
+                within.clear()
+            continue
         if m["close"]:
+            if near.get(tag):
+                near[tag] -= 1
             if tag == "a":
                 in_link = False
             if tag in BLOCK:
@@ -155,6 +187,7 @@ def blocks(page: str | None) -> list[Block]:
         elif not kind and tag in ARTICLE or hint == "article" and tag in BLOCK and tag != "body" and not inside["structure"] and not inside["boiler"]:
             kind = "article"
         if tag in ("html", "body"):
+            near[tag] = 1
             continue
         if kind == "article" and not (inside["structure"] or inside["boiler"]):
             seen_article = True
@@ -162,6 +195,8 @@ def blocks(page: str | None) -> list[Block]:
             stack.append((tag, kind))
             if kind:
                 inside[kind] += 1
+        else:
+            near[tag] = 1 if tag == "p" else near.get(tag, 0) + 1
     if at < len(page):
         text(page[at:])
     end_block()
