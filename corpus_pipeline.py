@@ -13,9 +13,6 @@ from quarry.llm import decontaminate, jaccard, language, packing, quality
 from quarry.llm.common import stored, table, without
 from quarry.llm.tokens import default_tokenizer
 
-#: Language decisions below this score count as rejected, as do texts without letters.
-LEAST_SCORE = 0.2
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity exceeds their language's threshold go, empty ones too."""
@@ -24,10 +21,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go: texts without letters, and those that score below nearly
+    all rows of the language they are told to be that training did not use."""
     model = language.learn(docs.where(~language.held_out()))
+    least = language.least_scores(docs, model, ~language.held_out())
     told = language.identify(docs, model, lang_pred="__lang", score="__score")
-    return told.where((F.col("__lang") != language.UNDECIDED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    enough = F.lit(0.0)
+    if least:
+        enough = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in least.items() for v in pair]), F.col("__lang")), enough)
+    return told.where((F.col("__lang") != language.UNDECIDED) & (F.col("__score") >= enough)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

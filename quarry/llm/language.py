@@ -29,6 +29,8 @@ from quarry.llm.common import sliced, table
 #: Labelled rows that training uses of each language (a share of all rows that gives so many on average).
 PER_LANGUAGE = 600
 DIMENSIONS = 1 << 12
+#: Share of rightly told rows of a language that its least score gives up.
+LOW_QUANTILE = 0.01
 UNDECIDED = "und"
 
 # Families of ISO 639-1 codes; a code that is not listed is of family "other".
@@ -106,6 +108,12 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30
     return w, float(max(slope, 1e-3)), float(shift)
 
 
+def _drawn(text: Column, lang: Column, shares: dict[str, float]) -> Column:
+    """Rows that training uses, of those it may use."""
+    share = F.create_map(*[F.lit(v) for pair in shares.items() for v in pair])
+    return F.coalesce(F.pmod(F.xxhash64(text, lang), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, lang), F.lit(False))
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """The machines, from rows with a non-null language: {level: {(a, b): (weights, slope, shift)}} and the languages."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -120,13 +128,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     for codes in families.values():
         for a, b in combinations(codes, 2):
             pairs["lang", a, b] = None
-    model = {"languages": languages, "families": {f: codes for f, codes in families.items()}, "pairs": {}}
+    model = {"languages": languages, "families": {f: codes for f, codes in families.items()}, "pairs": {}, "shares": {}}
     if not pairs:
         return model
 
-    share = F.create_map(*[F.lit(v) for code in languages for v in (code, min(1.0, per_language / counts[code]))])
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < F.element_at(share, F.col("lang")))
+    model["shares"] = {code: min(1.0, per_language / counts[code]) for code in languages}
+    sample = rows.where(_drawn(F.col("text"), F.col("lang"), model["shares"]))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,6 +229,19 @@ def identify(docs: DataFrame, model: dict, text: str = "text", lang_pred: str =
     return rows.mapInArrow(run, f"{fields}`{lang_pred}` string, `{score}` double")
 
 
+def least_scores(docs: DataFrame, model: dict, trained: Column, quantile: float = LOW_QUANTILE, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """For each language, the low ``quantile`` of the scores of all rows that were told rightly, have letters and
+    were not used in training; ``trained`` says which rows of ``docs`` training could draw from. Texts of a
+    language that was not learned, code and encoded data score lower. Languages without such rows are missing."""
+    if not model["shares"]:
+        return {}
+    used = trained & _drawn(F.col(text), F.col(lang), model["shares"])
+    told = identify(docs.where(F.col(lang).isNotNull() & ~used).select(F.col(text).alias("text"), F.col(lang).alias("lang")), model)
+    low = (told.where("lang = lang_pred").groupBy("lang")
+           .agg(F.percentile_approx("score", quantile, 10_000).alias("low")).collect())  # a row for each language
+    return {r["lang"]: r["low"] for r in low}
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that training never sees: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
