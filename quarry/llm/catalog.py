@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import ann, bitplane, chat, decontaminate, html_text, jaccard, language, packing, quality, url_filter
+from quarry.llm import (ann, bitplane, chat, decontaminate, exact_dedup, html_text, jaccard, language, packing, periodic_runs, prefix_trie,
+                        quality, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": ann.op1_nearest_vectors,
@@ -20,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_text": html_text.op10_html_text,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +32,6 @@ ORACLE: dict[str, str] = {
     "op4_jaccard_join": jaccard.SQL,
     "op6_url_filter": url_filter.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_exact_dedup": exact_dedup.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
