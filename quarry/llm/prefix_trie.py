@@ -243,7 +243,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 with ids as (
   select distinct conv_id as c, xor(list_reduce(
-    list_transform(range(0, length(conv_id::varchar)), lambda i: ord(conv_id::varchar[i + 1])::ubigint),
+    list_transform(string_split(conv_id::varchar, ''), lambda digit: ord(digit)::ubigint),
     lambda crc, octet: list_reduce(
       list_transform(range(0, 8), lambda bit: 0::ubigint), lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)),
       xor(xor(crc, octet) >> 1, 3988292384::ubigint * (xor(crc, octet) & 1))),
