@@ -14,8 +14,8 @@ streaming pass over the sorted turns gives the digests of all prefixes.
    slots the same way (a parent whose digest isn't in its slot is outside). Counts are scattered into flat arrays and
    added to parent slots from the greatest depth up. The subtrees' totals then enter the crown, which goes the same way.
 
-Conversation ids that end at a node are hashed in ascending order, streamed from a sorted partition: SHA-256 is a sequence,
-so one node's ids pass through one task, but none are collected. Likewise one conversation's turns.
+Conversation ids that end at a node are hashed in ascending order, joined by blocks and streamed from a sorted partition: SHA-256 is
+a sequence, so one node's blocks pass through one task, but are not collected. Likewise one conversation's turns.
 
 Defined results: rows without conv_id belong to no conversation; null role or text is empty; turns of equal number are
 ordered by role and text, so that repeated rows count as turns of their own; negative ids have families of five like others (-5 to -1); an empty table has no node, the root included; other
@@ -43,6 +43,8 @@ FAMILY, SHARED = 5, 8
 NODES_PER_SHARD = 20_000
 #: Nodes of more conversations than this, or than a share of all, are the crown.
 CROWN_MEMBERS, CROWN = 2_000, 20_000
+#: A block of conversation ids has two to the power of this many numbers.
+BLOCK_BITS = 12
 #: Crown nodes (40 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_CROWN = 100_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -127,19 +129,22 @@ def prefixes(conversations: DataFrame) -> DataFrame:
 
 
 def _ends(turns: DataFrame) -> DataFrame:
-    """(digest, ends) for every node at which a conversation ends: the hash of their ids."""
-    rows = turns.where("last").select("digest", "conv_id").repartition("digest").sortWithinPartitions("digest", "conv_id")
+    """(digest, ends) for every node at which a conversation ends: the hash of their ids. Ids of one block
+    are written out and joined first, so a node that many end at is a row a block."""
+    rows = (turns.where("last").groupBy("digest", F.shiftright("conv_id", BLOCK_BITS).alias("block"))
+            .agg(F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",").alias("ids")))
+    rows = rows.repartition("digest").sortWithinPartitions("digest", "block").select("digest", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, out = None, None, []
         for batch in batches:
-            for digest, conv in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for digest, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if digest != now:
                     if now is not None:
                         out.append((now, state.hexdigest()))
-                    now, state = digest, hashlib.sha256(str(conv).encode())
+                    now, state = digest, hashlib.sha256(ids.encode())
                 else:
-                    state.update(b",%d" % conv)
+                    state.update(b"," + ids.encode())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out])], ["digest", "ends"])
                 out = []
@@ -246,7 +251,7 @@ with ids as (
     list_transform(string_split(conv_id::varchar, ''), lambda digit: ord(digit)::ubigint),
     lambda crc, octet: list_reduce(
       list_transform(range(0, 8), lambda bit: 0::ubigint), lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)),
-      xor(xor(crc, octet) >> 1, 3988292384::ubigint * (xor(crc, octet) & 1))),
+      xor(crc, octet)),
     4294967295::ubigint), 4294967295::ubigint) % 9 as h
   from conversations where conv_id is not null),
 turns as (
