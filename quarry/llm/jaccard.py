@@ -10,10 +10,10 @@ Spark first deals the points into cells, as no tree over all documents fits a ta
 fixed order of all shingles, two linked sets have a shingle in common among the first of each (a
 set of n shares at least ``need`` with whatever it links with, so its first ``n - need + 1``): that
 shingle is a cell that holds both. The order puts frequent shingles last, so that cells are small. Which
-are frequent is found from a bounded share of the documents and is a hint for speed only:
+are frequent is told by a fixed number of counters that all shingles of all documents are hashed to; it is a hint for speed only:
 any order finds all links.
 
-1. One pass over the texts gives size and node (a 64-bit hash of the set) of each document:
+1. One pass over the texts gives size and node (a 64-bit hash of the set) of each document, and the counters:
    equal sets are one node, however many copies there are.
 2. A second pass gives the cells' entries; each task keeps one entry of a cell for all its members
    (so a cell of any size costs one row a task) and passes the members on evenly. Shards of entries
@@ -51,13 +51,14 @@ GROUPS = 64
 CHUNK = 512
 #: Entries of a shard, about (16 bytes each), and those a task gathers before it hands them on.
 SHARD_ENTRIES, TASK_ENTRIES = 250_000, 500_000
-#: Shingles that the search for frequent ones looks at, and frequent ones it keeps (9 bytes each), at most.
-HINT_SHINGLES, HINT_KEPT = 10_000_000, 500_000
+#: Counters of shingles (two to the power of this; 4 bytes each in a task, one in the list of levels) and parts they are added in.
+COUNTER_BITS, COUNTER_PARTS = 23, 32
 #: Rows of a group of tiles, about (150 bytes each).
 TILE_ROWS = 20_000
 #: Document ids (8 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 LEAF = 16
+NONE = np.zeros(0, np.uint64)
 
 
 @dataclass(frozen=True)
@@ -78,15 +79,21 @@ class Rule:
 
 
 def cells_of(hashes: np.ndarray, rule: Rule, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The cells of one set (sorted hashes): its first shingles by (level, hash), frequent ones last."""
+    """The cells of one set (sorted hashes): its first shingles by (level, hash), frequent ones last. Levels go with
+    ``frequent`` (sorted hashes), others being of level 0; or, where that is empty, with counters (``_counter``)."""
     take = len(hashes) - -(-rule.num * len(hashes) // rule.den) + 1
-    if not len(frequent):
-        return hashes[:take]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    order = np.where(frequent[at] == hashes, level[at], 0)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        order = np.where(frequent[at] == hashes, level[at], 0)
+    else:
+        order = level[_counter(hashes)] if len(level) else np.zeros(len(hashes), np.uint8)
     return hashes[np.argsort(order, kind="stable")[:take]]
 
 
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def node_of(hashes: np.ndarray) -> int:
     """A signed 64-bit hash of the whole set."""
     return int(mix(mix(hashes + np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.uint64(len(hashes))).view(np.int64)[0])
@@ -192,18 +199,47 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
     return shared >= rule.need(len(a), len(b))
 
 
-def _points(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, key, n, node) for every row; ``key`` is a hash of its text."""
+def _points(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, node) for every row, ``key`` being a hash of its text; and (part, counts), the documents that
+    hold a shingle of each counter, added up in every task. Both come from one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
             n, node = [], []
             for hashes in shingle_sets(batch.column(2).to_pylist(), rule.words):
                 n.append(len(hashes))
                 node.append(node_of(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "key", "n", "node"])
+                np.add.at(counters, _counter(hashes), np.uint32(1))
+            none = pa.nulls(len(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names)
+        if counters.any():
+            press = zstandard.ZstdCompressor(level=1)
+            parts = [press.compress(c.tobytes()) for c in np.split(counters, COUNTER_PARTS)]
+            none = pa.nulls(COUNTER_PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(COUNTER_PARTS), pa.int64()), pa.array(parts, pa.binary())], names)
+
+    names = ["doc_id", "key", "n", "node", "part", "counts"]
+    made = stored(rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(
+        run, "doc_id long, key long, n long, node long, part long, counts binary"), "points")
+    return made.where("part is null").select("doc_id", "key", "n", "node"), made.where("part is not null").select("part", "counts")
+
 
-    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, node long")
+def _levels(counts: DataFrame) -> np.ndarray:
+    """One byte for each counter, which rises with its number of documents; an order for ``cells_of``."""
+
+    def add(mine: pa.Table) -> pa.Table:
+        import zstandard
+
+        total = np.zeros((1 << COUNTER_BITS) // COUNTER_PARTS, np.int64)
+        for raw in mine.column("counts"):
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), np.uint32)
+        return pa.table([mine.column("part").slice(0, 1), pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
+
+    parts = {r["part"]: r["levels"] for r in counts.groupBy("part").applyInArrow(add, "part long, levels binary").collect()}  # COUNTER_PARTS rows
+    return np.frombuffer(b"".join(parts[k] for k in range(COUNTER_PARTS)), np.uint8)
 
 
 def _arrays(part: pa.Table, name: str, kind) -> np.ndarray:
@@ -215,41 +251,8 @@ def _spread(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
 
 
-def _frequent(rows: DataFrame, rule: Rule, shingles: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in several of a bounded share of the documents, with a level that
-    rises with their number; an order for ``cells_of``."""
-    share = min(0.25, HINT_SHINGLES / max(shingles, 1))
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    shards = max(1, int(share * shingles) // SHARD_ENTRIES + 1)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [h for h in shingle_sets(batch.column(0).to_pylist(), rule.words) if len(h)]
-            if sets:
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                bounds = _spread(values, shards)
-                counts = counts.astype(np.uint32)
-                made = [(k, values[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), SHARD_TYPES)], ["shard", "cells", "nodes"])
-
-    def add(part: pa.Table) -> pa.Table:
-        values, counts = _arrays(part, "cells", np.uint64), _arrays(part, "nodes", np.uint32)
-        values, where = np.unique(values, return_inverse=True)
-        total = np.bincount(where, counts).astype(np.int64)
-        often = total > 1
-        return pa.table([pa.array(values[often].view(np.int64)), pa.array(total[often])], names=["h", "n"])
-
-    counted = some.mapInArrow(gather, "shard long, cells binary, nodes binary").groupBy("shard").applyInArrow(add, "h long, n long")
-    found = counted.orderBy(F.desc("n"), "h").limit(HINT_KEPT).collect()  # a hint of bounded size
-    values = np.array([r["h"] for r in found], np.int64).view(np.uint64)
-    level = np.log2(np.array([r["n"] for r in found], np.float64)).astype(np.uint8)
-    order = np.argsort(values)
-    return values[order], level[order]
-
-
-def _cells(rows: DataFrame, rule: Rule, shingles: int) -> DataFrame:
+def _cells(rows: DataFrame, rule: Rule, shingles: int, levels: np.ndarray) -> DataFrame:
     """(cell, node): the members of all cells with several."""
-    frequent, level = _frequent(rows, rule, shingles)
     shards = max(1, shingles * (rule.den - rule.num) // rule.den // SHARD_ENTRIES + 1)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +285,7 @@ def _cells(rows: DataFrame, rule: Rule, shingles: int) -> DataFrame:
                 if not len(hashes) or (node := node_of(hashes)) in seen:
                     continue
                 seen[node] = None
-                cells.append(cells_of(hashes, rule, frequent, level))
+                cells.append(cells_of(hashes, rule, NONE, levels))
                 nodes.append(np.full(len(cells[-1]), node, np.int64))
                 held += len(cells[-1])
                 if held >= TASK_ENTRIES:
@@ -493,11 +496,11 @@ def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_
     """
     rule = Rule(words, num, den)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    points = stored(_points(rows, rule), "points")
+    points, counts = _points(rows, rule)
     total = points.agg(F.sum("n")).first()[0]
     nodes = points.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if total:
-        cells = stored(_cells(rows, rule, int(total)), "cells")
+        cells = stored(_cells(rows, rule, int(total), _levels(counts)), "cells")
         vectors = stored(_vectors(_texts(rows, points, cells.select("node").distinct()), rule), "vectors")
         pairs = stored(_bounded(_stars(cells), vectors, rule), "pairs")
         links = stored(_verified(pairs, rows, points, rule), "links")
