@@ -101,50 +101,48 @@ def _suffix(code: Column, n: int) -> Column:
     return code if n == ORDER else code.bitwiseAND(_bits(n))
 
 
-def probabilities(grams: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(code, logp) for every 4-gram of ``asked`` (code), or else of ``grams`` (code, n), n its count in trusted text."""
-    asked = grams if asked is None else asked
-    counts = {ORDER: grams.where("n > 0")}
+def probabilities(grams: DataFrame, models: list[str]) -> DataFrame:
+    """(code, one log probability for each of ``models``) for every 4-gram of ``grams`` (code, and by each model's name
+    its count in that model's text). All models go through one chain of joins; one without text has null."""
+    seen = lambda m: F.col(m) > 0
+    counts = {ORDER: grams.select("code", *models).where(reduce(Column.__or__, map(seen, models)))}
     for k in range(ORDER - 1, 0, -1):  # distinct left neighbours
-        counts[k] = counts[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    of = lambda k: [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)] + [F.count(F.lit(1)).alias("types"), F.sum("n").alias("total")]
-    seen = {r["k"]: r for r in reduce(DataFrame.union, [c.agg(F.lit(k).alias("k"), *of(k)) for k, c in counts.items()]).collect()}  # a row for each order
+        lower = counts[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(*[F.count(F.when(seen(m), 1)).alias(m) for m in models])
+        counts[k] = stored(lower, f"counts-{k}")
+    of = lambda m: F.struct(*[F.count(F.when(F.col(m) == i, 1)).alias(f"n{i}") for i in range(1, 5)],
+                            F.count(F.when(seen(m), 1)).alias("types"), F.coalesce(F.sum(m), F.lit(0)).alias("total")).alias(m)
+    sums = {r["k"]: r for r in reduce(DataFrame.union, [c.agg(F.lit(k).alias("k"), *map(of, models)) for k, c in counts.items()]).collect()}  # a row for each order
 
     def discounts(r) -> list[float]:
         n = [0.0, *[float(max(r[f"n{i}"], 1)) for i in range(1, 5)]]
         y = n[1] / (n[1] + 2 * n[2])
         return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), float(i) - 0.05) for i in (1, 2, 3)]
 
-    one = seen[1]
-    symbols, total = one["types"] + 1, one["total"] or 0
-    table_ = (asked.select(_suffix(F.col("code"), 1).alias("code")).distinct()
-              .join(counts[1], "code", "left")
-              .select("code", ((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * symbols)).alias("p")))
+    n = lambda m: F.coalesce(m, F.lit(0))
+    asked = grams.select("code")
+    one = {m: sums[1][m] for m in models}
+    table_ = (asked.select(_suffix(F.col("code"), 1).alias("code")).distinct().join(counts[1], "code", "left")
+              .select("code", *[((n(m) + 0.5) / (one[m]["total"] + 0.5 * (one[m]["types"] + 1))).alias(f"p_{m}") for m in models]))
     for k in range(2, ORDER + 1):
-        d = discounts(seen[k])
-        n = F.coalesce("n", F.lit(0))
-        cut = F.when(n >= 3, d[2]).when(n == 2, d[1]).when(n == 1, d[0]).otherwise(0.0)
-        contexts = (counts[k].groupBy(F.shiftrightunsigned("code", 16).alias("context"))
-                    .agg(F.sum("n").alias("all"), *[F.count(F.when(w, 1)).alias(f"m{i + 1}") for i, w in enumerate((F.col("n") == 1, F.col("n") == 2, F.col("n") >= 3))]))
-        rest = (F.col("m1") * d[0] + F.col("m2") * d[1] + F.col("m3") * d[2]) / F.col("all")
-        lower = table_.select(F.col("code").alias("lower"), F.col("p").alias("q"))
-        table_ = (asked.select(_suffix(F.col("code"), k).alias("code")).distinct()
-                  .withColumn("lower", _suffix(F.col("code"), k - 1)).withColumn("context", F.shiftrightunsigned("code", 16))
+        d = {m: discounts(sums[k][m]) for m in models}
+        cut = lambda m: F.when(n(m) >= 3, d[m][2]).when(n(m) == 2, d[m][1]).when(n(m) == 1, d[m][0]).otherwise(0.0)  # noqa: B023, E731
+        kinds = lambda m: (F.col(m) == 1, F.col(m) == 2, F.col(m) >= 3)
+        contexts = counts[k].groupBy(F.shiftrightunsigned("code", 16).alias("context")).agg(
+            *[F.sum(m).alias(f"all_{m}") for m in models],
+            *[reduce(Column.__add__, [F.count(F.when(w, 1)) * d[m][i] for i, w in enumerate(kinds(m))]).alias(f"rest_{m}") for m in models])
+        lower = table_.select(F.col("code").alias("lower"), *[F.col(f"p_{m}").alias(f"q_{m}") for m in models])
+        follows = lambda m: F.coalesce(F.try_divide(n(m) - cut(m) + F.col(f"rest_{m}") * F.col(f"q_{m}"), F.col(f"all_{m}")), F.col(f"q_{m}"))
+        codes = asked if k == ORDER else asked.select(_suffix(F.col("code"), k).alias("code")).distinct()
+        table_ = (codes.withColumn("lower", _suffix(F.col("code"), k - 1)).withColumn("context", F.shiftrightunsigned("code", 16))
                   .join(lower, "lower").join(counts[k], "code", "left").join(contexts, "context", "left")
-                  .select("code", F.coalesce((n - cut) / F.col("all") + rest * F.col("q"), F.col("q")).alias("p")))
-    return table_.select("code", F.log("p").alias("logp"))
+                  .select("code", *[follows(m).alias(f"p_{m}") for m in models]))
+    return table_.select("code", *[(F.log(f"p_{m}") if one[m]["total"] or m == models[0] else F.lit(None).cast("double")).alias(m) for m in models])
 
 
 def _all_probabilities(grams: DataFrame) -> DataFrame:
-    """(code, logp, h0, h1 ...): h with a fold's number is the log probability by the other folds, for the 4-grams of that fold."""
-    made = [stored(probabilities(grams.select("code", "n")), "probabilities").withColumn("of", F.lit(-1))]
-    rest = grams.agg(*[F.sum(F.col("n") - F.col(f"f{k}")).alias(f"f{k}") for k in range(FOLDS)]).first()
-    for k in range(FOLDS):
-        if rest[f"f{k}"]:  # other folds hold text
-            held = probabilities(grams.select("code", (F.col("n") - F.col(f"f{k}")).alias("n")), grams.where(F.col(f"f{k}") > 0).select("code"))
-            made.append(stored(held, f"probabilities-{k}").withColumn("of", F.lit(k)))
-    pick = lambda k: F.max(F.when(F.col("of") == k, F.col("logp")))
-    return reduce(DataFrame.union, made).groupBy("code").agg(pick(-1).alias("logp"), *[pick(k).alias(f"h{k}") for k in range(FOLDS)])
+    """(code, logp, h0, h1 ...): h with a fold's number is the log probability by the other folds."""
+    held = {f"h{k}": F.col("n") - F.col(f"f{k}") for k in range(FOLDS)}
+    return probabilities(grams.select("code", F.col("n").alias("logp"), *[c.alias(m) for m, c in held.items()]), ["logp", *held])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
