@@ -48,6 +48,8 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
         self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        shared = set.intersection(*map(set, self.specials)) if self.specials else set()
+        self.mark = bytes([min(shared)]) if shared else b""  # in every special token, so rarely looked for
         self.old: dict[bytes, bytes] = {}
         probe = "a  b\tc\n" + "thing, THING. l'été 42nd"
         self.pure_words = all(self.pure(w) == self.whole(w) for w in ("thing", "été", "straße"))
@@ -73,7 +75,7 @@ class WordEncoder(dict):
         if ids is None:
             low = chunk.lower()  # A-Z only, as these are bytes
             core = low.rstrip(b".,!?;:%$&*#")  # no part of a special token's end
-            if any(s in low for s in self.specials):  # they match the text as it stands, before its case is folded
+            if self.mark in low and any(s in low for s in self.specials):  # they match the text as it stands, before its case is folded
                 ids = self.whole(chunk.decode())
             elif len(core) < len(low) and _ENDS_PLAIN(core):  # marks and signs would stay one piece
                 ids = self[core] + self[low[len(core) :]]
