@@ -4,7 +4,7 @@ A text becomes a vector of hashed byte trigrams (letters folded, everything else
 separator), over the whole text. Linear support vector machines, one for each
 pair of classes, vote: first the machines between families, then those between the
 languages of the chosen family. Each pair's machine is trained in a task of its own, on a
-bounded sample of labelled rows (``PER_LANGUAGE`` rows a language, expected).
+bounded sample of labelled texts (``PER_LANGUAGE`` different ones a language, at most; the text's hash draws them).
 
 Defined results: null text or text without a letter: ``und`` with score 0, also where
 nothing could be learned; a single learned language wins with score 1; ties in votes go to
@@ -13,7 +13,6 @@ the larger sum of margins, then to the first language code; repeated rows are ju
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,13 +20,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import sliced, table
 
-#: Labelled rows that training uses of each language (a share of all rows that gives so many on average).
+#: Different labelled texts that training uses of each language, at most.
 PER_LANGUAGE = 600
+#: Parts of the labelled texts for scores of texts that training did not see.
+FOLDS = 4
 DIMENSIONS = 1 << 12
 #: Share of rightly told rows of a language that its least score gives up.
 LOW_QUANTILE = 0.01
@@ -51,8 +52,6 @@ FAMILIES = {
     "bantu": "rw sn sw xh zu",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
-
 # bytes folded to lower-case ASCII letters and bytes of other letters; all else is the separator
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -108,17 +107,14 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30
     return w, float(max(slope, 1e-3)), float(shift)
 
 
-def _drawn(text: Column, lang: Column, shares: dict[str, float]) -> Column:
-    """Rows that training uses, of those it may use."""
-    share = F.create_map(*[F.lit(v) for pair in shares.items() for v in pair])
-    return F.coalesce(F.pmod(F.xxhash64(text, lang), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, lang), F.lit(False))
-
-
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """The machines, from rows with a non-null language: {level: {(a, b): (weights, slope, shift)}} and the languages."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
-    languages = sorted(counts)
+    drawn = F.xxhash64("text", "lang")
+    lowest = (rows.select("lang", drawn.alias("hash")).distinct()
+              .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= per_language))
+    highest = {r["lang"]: r["hash"] for r in lowest.groupBy("lang").agg(F.max("hash").alias("hash")).collect()}  # one row for each language
+    languages = sorted(highest)
     pairs: dict[tuple[str, str, str], None] = {}
     families = defaultdict(list)
     for code in languages:
@@ -128,12 +124,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     for codes in families.values():
         for a, b in combinations(codes, 2):
             pairs["lang", a, b] = None
-    model = {"languages": languages, "families": {f: codes for f, codes in families.items()}, "pairs": {}, "shares": {}}
+    model = {"languages": languages, "families": {f: codes for f, codes in families.items()}, "pairs": {}}
     if not pairs:
         return model
 
-    model["shares"] = {code: min(1.0, per_language / counts[code]) for code in languages}
-    sample = rows.where(_drawn(F.col("text"), F.col("lang"), model["shares"]))
+    bound = F.element_at(F.create_map(*[F.lit(v) for pair in highest.items() for v in pair]), F.col("lang"))
+    sample = rows.withColumn("hash", drawn).where(F.col("hash") <= bound).dropDuplicates(["lang", "hash"]).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +189,7 @@ def _vote(x: np.ndarray, classes: list[str], level: str, model: dict) -> tuple[n
 def decide(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
     names, scores = [UNDECIDED] * len(texts), np.zeros(len(texts))
-    seen = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    seen = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     if not seen or not model["languages"]:
         return names, scores.tolist()
     x = features([texts[i] for i in seen])
@@ -229,16 +225,28 @@ def identify(docs: DataFrame, model: dict, text: str = "text", lang_pred: str =
     return rows.mapInArrow(run, f"{fields}`{lang_pred}` string, `{score}` double")
 
 
-def least_scores(docs: DataFrame, model: dict, trained: Column, quantile: float = LOW_QUANTILE, text: str = "text", lang: str = "lang") -> dict[str, float]:
-    """For each language, the low ``quantile`` of the scores of all rows that were told rightly, have letters and
-    were not used in training; ``trained`` says which rows of ``docs`` training could draw from. Texts of a
-    language that was not learned, code and encoded data score lower. Languages without such rows are missing."""
-    if not model["shares"]:
-        return {}
-    used = trained & _drawn(F.col(text), F.col(lang), model["shares"])
-    told = identify(docs.where(F.col(lang).isNotNull() & ~used).select(F.col(text).alias("text"), F.col(lang).alias("lang")), model)
-    low = (told.where("lang = lang_pred").groupBy("lang")
-           .agg(F.percentile_approx("score", quantile, 10_000).alias("low")).collect())  # a row for each language
+def least_scores(docs: DataFrame, trainable: Column, quantile: float = LOW_QUANTILE, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """For each language, the low ``quantile`` of the scores of all labelled rows that are told rightly by a model that did not
+    see their text: labelled texts are dealt into ``FOLDS`` folds by their hash, and each fold is scored by a model of the
+    ``trainable`` rows of the others. Texts of a language that was not learned, code and encoded data score lower. Languages without
+    such rows are missing."""
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("long").alias("fold"),
+                                                      trainable.alias("trainable"))
+    models = [learn(rows.where(F.col("trainable") & (F.col("fold") != k))) for k in range(FOLDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, codes, folds = (batch.column(i).to_pylist() for i in range(3))
+            out: list[tuple[str, float]] = []
+            for begin, stop in sliced(texts):
+                for k, model in enumerate(models):
+                    mine = [i for i in range(begin, stop) if folds[i] == k]
+                    told, scores = decide([texts[i] for i in mine], model)
+                    out += [(codes[i], s) for i, t, s in zip(mine, told, scores) if t == codes[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["lang", "score"])
+
+    told = rows.select("text", "lang", "fold").mapInArrow(run, "lang string, score double")
+    low = told.groupBy("lang").agg(F.percentile_approx("score", quantile, 10_000).alias("low")).collect()  # a row for each language
     return {r["lang"]: r["low"] for r in low}
 
 

@@ -45,8 +45,6 @@ NODES_PER_SHARD = 20_000
 CROWN_MEMBERS, CROWN = 2_000, 20_000
 #: A block of conversation ids has two to the power of this many numbers.
 BLOCK_BITS = 12
-#: A block of conversation ids has two to the power of this many numbers.
-BLOCK_BITS = 12
 #: Crown nodes (40 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_CROWN = 100_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
