@@ -22,9 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: texts without letters, and those that score below nearly
-    all rows of the language they are told to be that training did not use."""
+    all labelled rows of the language they are told to be, each scored by a model that did not see it."""
     model = language.learn(docs.where(~language.held_out()))
-    least = language.least_scores(docs, model, ~language.held_out())
+    least = language.least_scores(docs, ~language.held_out())
     told = language.identify(docs, model, lang_pred="__lang", score="__score")
     enough = F.lit(0.0)
     if least:
