@@ -1358,6 +1358,56 @@ def q_stump_shap(spark, d):
         *keys(), "feature", F.round("shap", 3).alias("shap"), F.round("expected", 3).alias("expected"))
 
 
+# One round of each booster on few-valued features: SQL finds the same splits from sums of residuals.
+def _splits_sql(rows: str, least: int, l2: float) -> str:
+    """Every split of every node (column ``node``) of ``rows`` with its gain."""
+    cols = " UNION ALL ".join(f"SELECT node, '{x}' AS f, CAST({x} AS double) AS v, r FROM {rows}" for x in STUMP_FEATURES)
+    return f"""(SELECT *, (v + nxt) / 2 AS cut, gl * gl / (nl + {l2}) + (g - gl) * (g - gl) / (n - nl + {l2}) - g * g / (n + {l2}) AS gain
+  FROM (SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS nxt, sum(k) OVER (PARTITION BY node, f ORDER BY v) AS nl,
+               sum(s) OVER (PARTITION BY node, f ORDER BY v) AS gl, sum(k) OVER (PARTITION BY node, f) AS n, sum(s) OVER (PARTITION BY node, f) AS g
+        FROM (SELECT node, f, v, count(*) AS k, sum(r) AS s FROM ({cols}) GROUP BY node, f, v))
+  WHERE nxt IS NOT NULL AND nl >= {least} AND n - nl >= {least})"""
+
+
+def _side_sql(best: str) -> str:
+    return f"CASE {best}.f WHEN 'ELM_N' THEN ELM_N WHEN 'SIZE_MM' THEN SIZE_MM ELSE QTY END <= {best}.cut"
+
+
+BOOST_ROWS_SQL = MODEL_FRAME_SQL + """,
+base AS (SELECT avg(TS_SIG) AS b FROM sp WHERE split = 'train'),
+tr AS (SELECT *, TS_SIG - b AS r, 0 AS node FROM sp, base WHERE split = 'train')"""
+
+
+def _one_round(learner: str, params: dict):
+    def run(spark, d):
+        from quarry.operators import learners
+        from quarry.operators.split import add_time_index, split_sequential
+        f = clean.target_filter(fact(spark, d, *KEY_COLUMNS, TIME_COLUMN, *STUMP_FEATURES, "TS_SIG", "TS_N"), "TS_N")
+        ix = add_time_index(f, TIME_COLUMN, KEY_COLUMNS)
+        frame = split_sequential(ix, ix.count(), 0.2)
+        m = learners.fit(learner, frame.filter("split = 'train'"), STUMP_FEATURES, "TS_SIG", params)
+        return m.predict(frame.filter("split = 'test'")).select(*keys(), F.round("prediction", 3).alias("prediction"))
+    return run
+
+
+QUERIES["gbt_one_round"] = _one_round("xgboost", {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.5, "reg_lambda": 1})
+ORACLE["gbt_one_round"] = with_fact(BOOST_ROWS_SQL + f""",
+best AS (SELECT * FROM {_splits_sql('tr', 1, 1.0)} ORDER BY gain DESC LIMIT 1)
+SELECT {KEY_SQL}, round(b + 0.5 * CASE WHEN {_side_sql('best')} THEN gl / (nl + 1) ELSE (g - gl) / (n - nl + 1) END, 3) AS prediction
+FROM sp, base, best WHERE split = 'test'""")
+
+QUERIES["leaf_gbt_one_round"] = _one_round("lightgbm", {"n_estimators": 1, "num_leaves": 3, "learning_rate": 1.0})
+ORACLE["leaf_gbt_one_round"] = with_fact(BOOST_ROWS_SQL + f""",
+best AS (SELECT * FROM {_splits_sql('tr', 20, 0.0)} ORDER BY gain DESC LIMIT 1),
+kids AS (SELECT tr.* REPLACE (CASE WHEN {_side_sql('best')} THEN 1 ELSE 2 END AS node) FROM tr, best),
+second AS (SELECT * FROM {_splits_sql('kids', 20, 0.0)} ORDER BY gain DESC LIMIT 1),
+placed AS (SELECT sp.*, CASE WHEN {_side_sql('best')} THEN 1 ELSE 2 END AS node FROM sp, best)
+SELECT {KEY_SQL}, round(b + CASE WHEN placed.node = second.node THEN CASE WHEN {_side_sql('second')} THEN second.gl / second.nl
+    ELSE (second.g - second.gl) / (second.n - second.nl) END
+  WHEN placed.node = 1 THEN best.gl / best.nl ELSE (best.g - best.gl) / (best.n - best.nl) END, 3) AS prediction
+FROM placed, base, best, second WHERE split = 'test'""")
+
+
 @query("shap_additivity", with_fact(MODEL_FRAME_SQL + f"""
 SELECT {KEY_SQL}, CAST(0 AS double) AS gap FROM sp WHERE split = 'train'"""))
 def q_shap_additivity(spark, d):

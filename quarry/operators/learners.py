@@ -1,38 +1,42 @@
-"""Tree-ensemble learners (M1-M5) on Spark ML.
+"""Tree-ensemble learners (M1-M5).
 
-Three learner names map onto Spark's distributed tree trainers:
+* ``random_forest``  -> Spark ML's ``RandomForestRegressor`` (every feature considered per split)
+* ``xgboost``        -> histogram boosting (``boosting.py``), grown by level, second-order gain with L2
+* ``lightgbm``       -> the same, grown best leaf first up to ``num_leaves``
 
-* ``random_forest``  -> ``RandomForestRegressor`` (every feature considered per split)
-* ``xgboost``        -> ``GBTRegressor`` (squared loss)
-* ``lightgbm``       -> ``GBTRegressor`` with depth derived from ``num_leaves``
-
-Spark trees accept neither NULL nor NaN, so features must be imputed first.
+The forest accepts neither NULL nor NaN, so its features must be imputed first; boosters learn a side for them.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import boosting
+
 MAX_DEPTH_LIMIT = 30
+log = logging.getLogger(__name__)
 
-# Learner parameter names and their Spark ML equivalents.
+# Learner parameter names, their equivalents here, and the boosters' defaults.
 PARAM_MAP = {
     "random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
                       "max_features": "featureSubsetStrategy", "max_bins": "maxBins", "seed": "seed",
                       "subsample": "subsamplingRate", "bootstrap": "bootstrap"},
-    "xgboost": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
-                "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-                "min_child_weight": "minInstancesPerNode", "max_bins": "maxBins", "seed": "seed"},
-    "lightgbm": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
-                 "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-                 "min_child_samples": "minInstancesPerNode", "num_leaves": "num_leaves", "max_bins": "maxBins",
-                 "seed": "seed"},
+    "xgboost": {"n_estimators": "rounds", "max_depth": "max_depth", "max_leaves": "max_leaves", "learning_rate": "rate", "eta": "rate",
+                "reg_lambda": "l2", "reg_alpha": "l1", "gamma": "min_gain", "min_child_weight": "min_weight", "subsample": "rows",
+                "colsample_bytree": "columns", "max_bin": "bins", "max_bins": "bins", "seed": "seed", "random_state": "seed"},
+    "lightgbm": {"n_estimators": "rounds", "max_depth": "max_depth", "num_leaves": "max_leaves", "learning_rate": "rate",
+                 "reg_lambda": "l2", "reg_alpha": "l1", "min_split_gain": "min_gain", "min_child_samples": "min_weight", "subsample": "rows",
+                 "colsample_bytree": "columns", "max_bin": "bins", "max_bins": "bins", "seed": "seed", "random_state": "seed"},
+}
+BOOSTERS = {
+    "xgboost": {"rounds": 100, "rate": 0.3, "max_depth": 6, "max_leaves": None, "l2": 1.0, "min_weight": 1.0},
+    "lightgbm": {"rounds": 100, "rate": 0.1, "max_depth": None, "max_leaves": 31, "l2": 0.0, "min_weight": 20.0},
 }
 LEARNERS = tuple(PARAM_MAP)
 
@@ -46,13 +50,17 @@ class FittedModel:
     params: dict = field(default_factory=dict)
 
     def predict(self, df: DataFrame, pred_col: str = "prediction") -> DataFrame:
-        assembled = df if "features" in df.columns else assemble(df, self.features)
-        out = self.model.transform(assembled).drop("features")
+        if isinstance(self.model, boosting.BoostedModel):
+            out = self.model.transform(df).drop("features")
+        else:
+            assembled = df if "features" in df.columns else assemble(df, self.features)
+            out = self.model.transform(assembled).drop("features")
         return out.withColumnRenamed("prediction", pred_col) if pred_col != "prediction" else out
 
     def importances(self, spark) -> DataFrame:
-        """M5: impurity importances, descending."""
-        imp = self.model.featureImportances.toArray().tolist()
+        """M5: shares of the impurity or gain that splits save, descending."""
+        boosted = isinstance(self.model, boosting.BoostedModel)
+        imp = self.model.gains() if boosted else self.model.featureImportances.toArray().tolist()
         rows = sorted(zip(self.features, imp), key=lambda t: (-t[1], t[0]))
         return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -78,9 +86,9 @@ def spark_params(learner: str, params: dict | None) -> dict:
         if k not in mapping or v is None:
             continue
         sk = mapping[k]
-        if sk in ("numTrees", "maxIter", "maxDepth", "minInstancesPerNode", "maxBins", "seed"):
+        if sk in ("numTrees", "maxDepth", "minInstancesPerNode", "maxBins", "seed"):
             v = int(round(float(v)))
-        elif sk in ("stepSize", "subsamplingRate"):
+        elif sk == "subsamplingRate":
             v = float(v)
         elif sk == "bootstrap":
             v = bool(v)
@@ -88,30 +96,44 @@ def spark_params(learner: str, params: dict | None) -> dict:
             v = _subset_strategy(v)
         out[sk] = v
     if "maxDepth" in out:
+        if not 1 <= out["maxDepth"] <= MAX_DEPTH_LIMIT:
+            log.warning("max_depth %s is outside 1 to %s", out["maxDepth"], MAX_DEPTH_LIMIT)
         out["maxDepth"] = max(1, min(out["maxDepth"], MAX_DEPTH_LIMIT))
-    if learner == "lightgbm" and "num_leaves" in out:
-        depth = max(1, math.ceil(math.log2(max(2, int(out.pop("num_leaves"))))))
-        out["maxDepth"] = min(depth, out.get("maxDepth", depth))
     if "subsamplingRate" in out:
         out["subsamplingRate"] = min(1.0, max(1e-3, out["subsamplingRate"]))
     return out
 
 
-def make_estimator(learner: str, params: dict | None = None, label: str = "label"):
-    sp = spark_params(learner, params)
-    sp.setdefault("seed", 42)
-    if learner == "random_forest":
-        sp.setdefault("featureSubsetStrategy", "all")
-        return RandomForestRegressor(featuresCol="features", labelCol=label, **sp)
-    return GBTRegressor(featuresCol="features", labelCol=label, lossType="squared", **sp)
+def booster_settings(learner: str, params: dict | None) -> boosting.Settings:
+    """A booster's parameters over its defaults; names it does not know are dropped. Shares are shares (1 and
+    1.0: all); a depth or number of leaves of 0 or less is no limit."""
+    out = dict(BOOSTERS[learner])
+    for k, v in (params or {}).items():
+        name = PARAM_MAP[learner].get(k)
+        if name is None or v is None:
+            continue
+        if name in ("rounds", "max_depth", "max_leaves", "bins", "seed"):
+            v = int(round(float(v)))
+            v = None if name in ("max_depth", "max_leaves") and v <= 0 else v
+        else:
+            v = float(v)
+        out[name] = min(1.0, max(1e-3, v)) if name in ("rows", "columns") else v
+    return boosting.Settings(**out)
 
 
-def fit(learner: str, train: DataFrame, features: list[str], label: str, params: dict | None = None) -> FittedModel:
-    """M1-M3: fit one learner on the (imputed) training rows, or on rows that already have their feature vector."""
+def fit(learner: str, train: DataFrame, features: list[str], label: str, params: dict | None = None,
+        cuts: list[list[float]] | None = None) -> FittedModel:
+    """M1-M3: fit one learner on the training rows (imputed, for the forest), or on rows that already have their feature
+    vector, or, for a booster, bins that ``boosting.prepare`` made with ``cuts``."""
     if learner not in PARAM_MAP:
         raise ValueError(f"unknown learner {learner!r}; expected one of {LEARNERS}")
-    est = make_estimator(learner, params, label)
+    if learner in BOOSTERS:
+        model = boosting.fit(train, features, label, booster_settings(learner, params), cuts)
+        return FittedModel(learner, list(features), label, model, dict(params or {}))
+    sp = spark_params(learner, params)
+    sp.setdefault("seed", 42)
+    sp.setdefault("featureSubsetStrategy", "all")
     if "features" not in train.columns:
         train = assemble(train.select(*features, F.col(label).cast("double").alias(label)), features)
-    model = est.fit(train)
+    model = RandomForestRegressor(featuresCol="features", labelCol=label, **sp).fit(train)
     return FittedModel(learner, list(features), label, model, dict(params or {}))
