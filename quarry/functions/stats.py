@@ -2,15 +2,11 @@
 
 * ``moments`` — one grouped aggregate over the unpivoted columns (partial
   aggregation per task, a single tiny shuffle).
-* ``exact_quantiles`` — exact order statistics. Values are first compressed to
-  ``(column, value, count)`` (map-side combined, so a value held by a third of
-  all rows becomes one row per task). A column whose number of distinct values
-  is within a checked bound is finished by ``percentile`` with frequencies;
-  beyond the bound the pairs are range-partitioned by ``(column, value)``,
-  prefix-summed inside each partition and located through per-partition
-  totals, so no task ever holds a whole column. Only the bounded partition
-  totals (partitions x columns) and the few rows holding the requested ranks
-  reach the driver.
+* ``exact_quantiles`` — exact order statistics by selection. A sketch with a bounded rank
+  error brackets every wanted rank; the next pass counts the values below each bracket and
+  groups only those inside. A bracket that would still hold too many is narrowed by
+  another sketch of its inside first. What is shuffled is a few thousandths of the
+  rows (each value once a task), whatever the number of distinct values.
 * ``approx_quantiles`` — ``percentile_approx`` for very large tables when the
   caller accepts rank error.
 """
@@ -18,15 +14,10 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from quarry.functions.columns import safe_div
 
 
 MOMENT_STATS = ("count", "nulls", "mean", "std", "std_pop", "min", "max", "skew", "kurt")
@@ -73,33 +64,6 @@ def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.select(names[F.col("k")].alias("k"), "v")
 
 
-_CUM_SCHEMA = T.StructType([
-    T.StructField("k", T.StringType()), T.StructField("v", T.DoubleType()),
-    T.StructField("cnt", T.LongType()), T.StructField("pid", T.IntegerType()),
-    T.StructField("cb", T.LongType()),
-])
-
-
-def _prefix_counts(batches):
-    """Per partition: running count of rows before each (k, v), reset per column."""
-    from pyspark import TaskContext
-
-    pid = TaskContext.get().partitionId()
-    carry: dict[str, int] = defaultdict(int)
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        cnt = pdf["cnt"].astype("int64")
-        # cumulative count within each column of this batch, then add the carry
-        before = cnt.groupby(pdf["k"], sort=False).cumsum() - cnt
-        base = pdf["k"].map(lambda key: carry[key]).astype("int64")
-        out = pd.DataFrame({"k": pdf["k"], "v": pdf["v"].astype("float64"), "cnt": cnt,
-                            "pid": pid, "cb": (before + base).astype("int64")})
-        for key, tot in cnt.groupby(pdf["k"], sort=False).sum().items():
-            carry[key] += int(tot)
-        yield out
-
-
 def rank_positions(n: int, p: float) -> tuple[int, int, float]:
     """0-based neighbouring ranks and weight for linear interpolation (type 7)."""
     h = p * (n - 1)
@@ -108,11 +72,25 @@ def rank_positions(n: int, p: float) -> tuple[int, int, float]:
     return lo, hi, h - lo
 
 
-# Columns with at most this many distinct values are finished by Spark's exact
-# ``percentile`` over the (value, count) pairs: its per-column state is a map of
-# the distinct values, bounded by this check. Columns above it take the
-# distributed-sort path, whose per-task state does not depend on the data size.
-PERCENTILE_MAP_MAX_DISTINCT = 1_000_000
+#: Steps of the sketch's grid of ranks, and the sketch's accuracy (its ranks are off by at most a fifth of a step).
+GRID, ACCURACY = 2000, 10_000
+#: Values that a bracket may hold, about, before they are grouped.
+BRACKET_VALUES = 200_000
+_BRACKET = "k string, j int, lo double, hi double"
+
+
+def _grids(inside: DataFrame) -> dict[tuple[str, int], tuple[int, list[float]]]:
+    """For each (k, j): the number of values and their approximate quantiles at the grid's steps."""
+    steps = [i / GRID for i in range(GRID + 1)]
+    rows = inside.groupBy("k", "j").agg(F.count("v").alias("n"), F.percentile_approx("v", steps, ACCURACY).alias("q")).collect()
+    return {(r["k"], r["j"]): (int(r["n"]), r["q"]) for r in rows}
+
+
+def _bracket(rank: tuple[int, int], n: int, grid: list[float]) -> tuple[float | None, float | None, float]:
+    """Bounds (None: unbounded) that surely hold the values of two neighbouring ranks among n, and about how many they hold."""
+    lo = math.floor((rank[0] - 1) / n * GRID) - 2
+    hi = math.ceil((rank[1] + 2) / n * GRID) + 2
+    return grid[lo] if lo > 0 else None, grid[hi] if hi < GRID else None, (min(hi, GRID) - max(lo, 0) + 1) / GRID * n
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -121,80 +99,57 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     ``quantile_cont`` / Spark ``percentile``) of each column."""
     if not cols:
         return {}
-    compressed = (_long_values(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        sizes = {r["k"]: int(r["d"]) for r in compressed.groupBy("k").agg(F.count(F.lit(1)).alias("d")).collect()}
-        small = [k for k in cols if 0 < sizes.get(k, 0) <= PERCENTILE_MAP_MAX_DISTINCT]
-        big = [k for k in cols if sizes.get(k, 0) > PERCENTILE_MAP_MAX_DISTINCT]
-        out: dict[str, list[float | None]] = {k: [None] * len(probs) for k in cols}
-        if small:
-            rows = (compressed.filter(F.col("k").isin(*small)).groupBy("k")
-                    .agg(F.percentile("v", [float(p) for p in probs], F.col("cnt")).alias("q")).collect())
-            for r in rows:
-                out[r["k"]] = [float(x) for x in r["q"]]
-        if big:
-            out.update(_sorted_quantiles(compressed.filter(F.col("k").isin(*big)), big, probs, num_partitions))
-    finally:
-        compressed.unpersist()
-    return out
-
-
-def _sorted_quantiles(compressed: DataFrame, cols: list[str], probs: list[float],
-                      num_partitions: int | None = None) -> dict[str, list[float | None]]:
-    """Quantiles by a global sort of the distinct (column, value) pairs (no per-column task)."""
-    spark = compressed.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = compressed.repartitionByRange(parts, "k", "v").sortWithinPartitions("k", "v")
-    # (k, v) is unique here, so a recomputed partition has exactly the same rows
-    # in the same order: persisting (rather than checkpointing) is safe.
-    cum = ordered.mapInPandas(_prefix_counts, _CUM_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    values: dict[tuple[str, int], float] = {}
-    try:
-        totals = cum.groupBy("k", "pid").agg(F.sum("cnt").alias("tot")).collect()
-        per_col: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for r in totals:
-            per_col[r["k"]].append((r["pid"], int(r["tot"])))
-        offsets: dict[str, list[tuple[int, int, int]]] = {}
-        n_of: dict[str, int] = {}
-        for k, lst in per_col.items():
-            lst.sort()
-            acc, spans = 0, []
-            for pid, tot in lst:
-                spans.append((pid, acc, acc + tot))
-                acc += tot
-            offsets[k], n_of[k] = spans, acc
-        wanted: list[tuple[str, int, int, int]] = []  # (k, pid, local_rank, global_rank)
-        for k in cols:
-            n = n_of.get(k, 0)
-            if n == 0:
-                continue
-            plan[k] = [rank_positions(n, p) for p in probs]
-            for lo, hi, _ in plan[k]:
-                for r in {lo, hi}:
-                    for pid, start, end in offsets[k]:
-                        if start <= r < end:
-                            wanted.append((k, pid, r - start, r))
-                            break
-        if wanted:
-            tgt = spark.createDataFrame(sorted(set(wanted)), "k string, pid int, lr long, gr long")
-            hits = (cum.join(F.broadcast(tgt), ["k", "pid"])
-                       .filter((F.col("cb") <= F.col("lr")) & (F.col("lr") < F.col("cb") + F.col("cnt")))
-                       .select("k", "gr", "v").collect())
-            values = {(r["k"], int(r["gr"])): r["v"] for r in hits}
-    finally:
-        cum.unpersist()
-    out: dict[str, list[float | None]] = {}
-    for k in cols:
-        if k not in plan:
-            out[k] = [None] * len(probs)
-            continue
-        res = []
-        for lo, hi, w in plan[k]:
-            a, b = values[(k, lo)], values[(k, hi)]
-            res.append(a + (b - a) * w if w else a)
-        out[k] = res
+    spark = df.sparkSession
+    long = _long_values(df, cols)
+    first = _grids(long.withColumn("j", F.lit(0)))
+    sizes = {k: n for (k, _), (n, _) in first.items()}
+    ranks = {(k, j): rank_positions(n, p) for k, n in sizes.items() for j, p in enumerate(probs)}
+    bounds = {(k, j): _bracket(r[:2], sizes[k], first[k, 0][1]) for (k, j), r in ranks.items()}
+
+    def placed(wanted) -> DataFrame:
+        """Values up to each bracket's upper bound, once a bracket; ``x`` is null below the lower bound."""
+        table = spark.createDataFrame([(k, j, *bounds[k, j][:2]) for k, j in wanted], _BRACKET)  # a row a bracket
+        return (long.join(F.broadcast(table), "k").where(F.col("hi").isNull() | (F.col("v") <= F.col("hi")))
+                .withColumn("x", F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v"))))
+
+    while wide := [kj for kj, (lo, hi, held) in bounds.items() if held > BRACKET_VALUES and (lo is None or lo != hi)]:
+        rows = placed(wide)
+        below = {(r["k"], r["j"]): int(r["n"]) for r in rows.where("x is null").groupBy("k", "j").agg(F.count("v").alias("n")).collect()}
+        changed = False
+        for kj, (n, grid) in _grids(rows.where("x is not null").select("k", "j", F.col("x").alias("v"))).items():
+            lo, hi, held = bounds[kj]
+            at = below.get(kj, 0)
+            new_lo, new_hi, new_held = _bracket((ranks[kj][0] - at, ranks[kj][1] - at), n, grid)
+            new = (lo if new_lo is None else new_lo, hi if new_hi is None else new_hi, new_held)
+            changed |= new[:2] != (lo, hi)
+            bounds[kj] = new
+        if not changed:  # few different values, in many rows each
+            break
+
+    values: dict[tuple[str, int], dict[int, float]] = {kj: {} for kj in ranks}
+    open_ = []
+    for kj, (lo, hi, _) in bounds.items():
+        if lo is not None and lo == hi:
+            values[kj] = dict.fromkeys(ranks[kj][:2], lo)
+        else:
+            open_.append(kj)
+    if open_:
+        grouped = placed(open_).groupBy("k", "j", "x").agg(F.count("v").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            below = {(r["k"], r["j"]): int(r["n"]) for r in grouped.where("x is null").collect()}
+            local = [(k, j, r - below.get((k, j), 0), r) for k, j in open_ for r in sorted(set(ranks[k, j][:2]))]
+            targets = F.broadcast(spark.createDataFrame(local, "k string, j int, at long, rank long"))
+            w = Window.partitionBy("k", "j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+            upto = grouped.where("x is not null").withColumn("upto", F.sum("n").over(w))
+            hits = upto.join(targets, ["k", "j"]).where("at < upto and at >= upto - n").select("k", "j", "rank", "x").collect()
+        finally:
+            grouped.unpersist()
+        for r in hits:
+            values[r["k"], r["j"]][r["rank"]] = r["x"]
+    out: dict[str, list[float | None]] = {k: [None] * len(probs) for k in cols}
+    for (k, j), (lo, hi, weight) in ranks.items():
+        a, b = values[k, j][lo], values[k, j][hi]
+        out[k][j] = a + (b - a) * weight if weight else a
     return out
 
 
@@ -212,15 +167,3 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True):
     return exact_quantiles(df, cols, probs) if exact else approx_quantiles(df, cols, probs)
-
-
-def outlier_shares(df: DataFrame, fences: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Share of non-null values outside [lo, hi] per column, in one aggregate."""
-    if not fences:
-        return {}
-    exprs = []
-    for i, (c, (lo, hi)) in enumerate(fences.items()):
-        x = F.col(c)
-        exprs.append(safe_div(F.count_if((x < lo) | (x > hi)), F.count(c)).alias(f"o{i}"))
-    row = df.agg(*exprs).collect()[0]
-    return {c: row[f"o{i}"] for i, c in enumerate(fences)}

@@ -9,8 +9,8 @@ Growth is best first: of all leaves the one whose split gains most is split, unt
 reached or nothing gains. Without a limit of leaves that is the tree that level-wise growth gives. A job prepares all
 leaves that may be next, so that a tree costs about as many jobs as it has levels, not one for each split.
 
-Rows are a checkpointed table of (label, prediction so far, bins), renewed every ``RENEW`` rounds; in
-between, tasks add up the newest trees themselves. The driver holds the histograms of one tree: at most leaves x features x bins x
+Rows are (label, prediction so far, bins), kept in memory or on disk; a tree's first job adds the one before it to the
+predictions, and every ``RENEW`` rounds the rows are checkpointed. The driver holds the histograms of one tree: at most leaves x features x bins x
 16 bytes (31 leaves, 100 features and 255 bins: 13 MB). Trees are a few arrays and are sent with the tasks.
 
 Missing values take the side of a split that gains more. A row without a label is not used.
@@ -26,6 +26,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,11 +209,13 @@ def _drawn(rows: np.ndarray, share: float, seed: int) -> np.ndarray:
 
 def _unpacked(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), kind).reshape(n, -1)
+    column = batch.column("bins")  # rows of one width, side by side
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    bins = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(n, -1)
     return batch.column("y").to_numpy(), batch.column("pred").to_numpy(), batch.column("row").to_numpy(), bins
 
 
-def histograms(state: DataFrame, kind: str, n_features: int, width: int, newest: list[Tree], tree: Tree, wanted: list[int], draw: tuple[float, int]) -> dict[int, np.ndarray]:
+def histograms(state: DataFrame, kind: str, n_features: int, width: int, tree: Tree, wanted: list[int], draw: tuple[float, int]) -> dict[int, np.ndarray]:
     """Sums (feature, bin, gradient and rows) of the ``wanted`` nodes of ``tree``, in one job."""
     slot = np.full(len(tree.left), -1, np.int64)
     slot[wanted] = np.arange(len(wanted))
@@ -223,8 +226,6 @@ def histograms(state: DataFrame, kind: str, n_features: int, width: int, newest:
             if not batch.num_rows:
                 continue
             y, pred, row, bins = _unpacked(batch, kind)
-            for t in newest:
-                pred = pred + t.predict(bins, raw=False)
             mine = slot[tree.place(bins, raw=False)]
             use = mine >= 0
             if draw[0] < 1:
@@ -374,33 +375,35 @@ def fit(train: DataFrame, features: list[str], label: str, settings: Settings, c
     state = train.select(col(label).alias("y"), F.lit(float(base)).alias("pred"), F.monotonically_increasing_id().alias("row"), "bins")
     if s.rows < 1:  # row numbers must not change with the next reading
         state = materialize(state)
-    trees: list[Tree] = []
-    written = 0
+    state = state.persist(StorageLevel.MEMORY_AND_DISK)  # read once a level of each tree
+    old, trees = None, []
     for k in range(s.rounds):
         allowed = np.ones(len(features), bool)
         if s.columns < 1:
             allowed[:] = False
             allowed[np.random.default_rng([s.seed, k]).choice(len(features), max(1, round(s.columns * len(features))), replace=False)] = True
-        newest = trees[written:]
-        tree = grow(lambda t, nodes: histograms(state, kind, len(features), width, newest, t, nodes, (s.rows, s.seed * 100_003 + k)),  # noqa: B023
-                    cuts, s, allowed)
+        tree = grow(lambda t, nodes: histograms(state, kind, len(features), width, t, nodes, (s.rows, s.seed * 100_003 + k)), cuts, s, allowed)  # noqa: B023
+        if old is not None:  # the new rows are there
+            old.unpersist()
         if tree is None:
             break
         trees.append(tree)
         if tree.left[0] < 0 and s.rows >= 1 and s.columns >= 1:  # nothing gains any more
             break
-        if len(trees) - written >= RENEW and k + 1 < s.rounds:
-            state, written = materialize(_renewed(state, kind, trees[written:])), len(trees)
+        if k + 1 < s.rounds:
+            old, state = state, _renewed(state, kind, tree)
+            state = (materialize(state) if len(trees) % RENEW == 0 else state).persist(StorageLevel.MEMORY_AND_DISK)
+    state.unpersist()
     return BoostedModel(list(features), float(base), trees, s)
 
 
-def _renewed(state: DataFrame, kind: str, newest: list[Tree]) -> DataFrame:
+def _renewed(state: DataFrame, kind: str, tree: Tree) -> DataFrame:
+    """The rows with a tree's values added to their predictions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 _, pred, _, bins = _unpacked(batch, kind)
-                for t in newest:
-                    pred = pred + t.predict(bins, raw=False)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), batch.column(2), batch.column(3)], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred + tree.predict(bins, raw=False)), batch.column(2), batch.column(3)], batch.schema.names)
 
     return state.mapInArrow(run, "y double, pred double, row long, bins binary")
