@@ -111,7 +111,7 @@ def cut_points(rows: DataFrame, n_features: int, bins: int) -> list[list[float]]
     neighbouring values where these are few, else between neighbouring quantiles."""
     x = [F.nanvl(F.col("x")[i], F.lit(None).cast("double")) for i in range(n_features)]
     shares = [k / bins for k in range(bins + 1)]
-    sums = [F.struct(F.approx_count_distinct(v, 0.02).alias("n"), F.percentile_approx(v, shares, 20 * bins).alias("q")).alias(f"f{i}") for i, v in enumerate(x)]
+    sums = [F.struct(F.approx_count_distinct(v, 0.02).alias("n"), F.percentile_approx(v, shares, 8 * bins).alias("q")).alias(f"f{i}") for i, v in enumerate(x)]
     found = rows.agg(*sums).first()
     few = [i for i in range(n_features) if found[f"f{i}"]["n"] <= NEAR * bins]
     values: dict[int, list[float]] = {i: found[f"f{i}"]["q"] or [] for i in range(n_features)}
@@ -261,12 +261,12 @@ def grow(count, cuts: list[list[float]], s: Settings, allowed: np.ndarray) -> Tr
 
     def open_(node: int, g: float, h: float) -> None:
         tree.cover[node], tree.value[node] = h, s.rate * leaf_value(g, h, s)
-        split[node] = best_split(hist[node], allowed, s) if s.max_depth is None or depth[node] < s.max_depth else None
+        split[node] = best_split(hist[node], allowed, s) if node in hist and (s.max_depth is None or depth[node] < s.max_depth) else None
         if split[node]:
             heapq.heappush(heap, (-split[node][0], node))
 
-    def children(nodes: list[int]) -> None:
-        """Add both children of each node, with their histograms; they become part of the tree when the node is split."""
+    def children(nodes: list[int], last: bool = False) -> None:
+        """Add both children of each node, with the histograms of those that may be split; they become part of the tree when the node is split."""
         small, made = [], {}
         for node in nodes:
             gain, f, b, missing_left, left_g, left_h = split[node]
@@ -276,12 +276,14 @@ def grow(count, cuts: list[list[float]], s: Settings, allowed: np.ndarray) -> Tr
             tree.left[node], tree.right[node], tree.gain[node] = *kids, gain
             sums = ((left_g, left_h), (total[0] - left_g, total[1] - left_h))
             less = int(sums[1][1] < sums[0][1])
-            small.append(kids[less])
+            if not last and (s.max_depth is None or depth[node] + 1 < s.max_depth):
+                small.append(kids[less])
             made[node] = (kids, sums, less)
-        got = count(tree, small)
+        got = count(tree, small) if small else {}
         for node, (kids, sums, less) in made.items():
-            hist[kids[less]] = got[kids[less]]
-            hist[kids[1 - less]] = hist[node] - got[kids[less]]
+            if kids[less] in got:
+                hist[kids[less]] = got[kids[less]]
+                hist[kids[1 - less]] = hist[node] - got[kids[less]]
             for kid, (g, h) in zip(kids, sums):
                 depth[kid] = depth[node] + 1
                 waiting[kid] = (g, h)
@@ -289,16 +291,25 @@ def grow(count, cuts: list[list[float]], s: Settings, allowed: np.ndarray) -> Tr
 
     waiting: dict[int, tuple[float, float]] = {}
     open_(0, *hist[0][0].sum(axis=0))
-    leaves = 1
-    while heap and (s.max_leaves is None or leaves < s.max_leaves):
-        if heap[0][1] not in ready:
-            spare = len(heap) if s.max_leaves is None else s.max_leaves - leaves
-            children([node for _, node in heapq.nsmallest(spare, heap) if node not in ready])
-        _, node = heapq.heappop(heap)
-        leaves += 1
+
+    def part(node: int) -> None:
         for kid in (tree.left[node], tree.right[node]):
             open_(kid, *waiting.pop(kid))
         del hist[node]
+
+    while heap and s.max_leaves is None:  # the order of splits makes no difference: level by level
+        level = sorted(node for _, node in heap)
+        heap.clear()
+        children(level)
+        for node in level:
+            part(node)
+    leaves = 1
+    while heap and leaves < s.max_leaves:
+        if heap[0][1] not in ready:
+            spare = s.max_leaves - leaves
+            children([node for _, node in heapq.nsmallest(spare, heap) if node not in ready], last=spare == 1)
+        leaves += 1
+        part(heapq.heappop(heap)[1])
     for _, node in heap:  # prepared, but not split
         tree.left[node] = tree.right[node] = tree.feature[node] = -1
         tree.gain[node] = 0.0
