@@ -40,7 +40,7 @@ QUANTILE = 0.99
 #: Parts of trusted text; one model more is made for each.
 FOLDS = 4
 #: Characters of a shard, about.
-SHARD_CHARS = 10_000_000
+SHARD_CHARS = 40_000_000
 #: 4-grams with their probabilities (50 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 #: Trusted ids (8 bytes each) up to so many are broadcast; more are joined by a shuffle.
@@ -101,9 +101,10 @@ def _suffix(code: Column, n: int) -> Column:
     return code if n == ORDER else code.bitwiseAND(_bits(n))
 
 
-def probabilities(grams: DataFrame, models: list[str]) -> DataFrame:
+def probabilities(grams: DataFrame, models: list[str], wanted: dict[str, str] = {}) -> DataFrame:  # noqa: B006
     """(code, one log probability for each of ``models``) for every 4-gram of ``grams`` (code, and by each model's name
-    its count in that model's text). All models go through one chain of joins; one without text has null."""
+    its count in that model's text). All models go through one chain of joins; one without text has null, as have 4-grams for
+    which the column of ``grams`` that ``wanted`` names for a model is 0."""
     seen = lambda m: F.col(m) > 0
     counts = {ORDER: grams.select("code", *models).where(reduce(Column.__or__, map(seen, models)))}
     for k in range(ORDER - 1, 0, -1):  # distinct left neighbours
@@ -132,17 +133,19 @@ def probabilities(grams: DataFrame, models: list[str]) -> DataFrame:
             *[reduce(Column.__add__, [F.count(F.when(w, 1)) * d[m][i] for i, w in enumerate(kinds(m))]).alias(f"rest_{m}") for m in models])
         lower = table_.select(F.col("code").alias("lower"), *[F.col(f"p_{m}").alias(f"q_{m}") for m in models])
         follows = lambda m: F.coalesce(F.try_divide(n(m) - cut(m) + F.col(f"rest_{m}") * F.col(f"q_{m}"), F.col(f"all_{m}")), F.col(f"q_{m}"))
-        codes = asked if k == ORDER else asked.select(_suffix(F.col("code"), k).alias("code")).distinct()
+        codes = grams.select("code", *wanted.values()) if k == ORDER else asked.select(_suffix(F.col("code"), k).alias("code")).distinct()
         table_ = (codes.withColumn("lower", _suffix(F.col("code"), k - 1)).withColumn("context", F.shiftrightunsigned("code", 16))
                   .join(lower, "lower").join(counts[k], "code", "left").join(contexts, "context", "left")
-                  .select("code", *[follows(m).alias(f"p_{m}") for m in models]))
+                  .select("code", *(wanted.values() if k == ORDER else ()),
+                          *[(F.when(F.col(wanted[m]) > 0, follows(m)) if k == ORDER and m in wanted else follows(m)).alias(f"p_{m}") for m in models]))
     return table_.select("code", *[(F.log(f"p_{m}") if one[m]["total"] or m == models[0] else F.lit(None).cast("double")).alias(m) for m in models])
 
 
 def _all_probabilities(grams: DataFrame) -> DataFrame:
     """(code, logp, h0, h1 ...): h with a fold's number is the log probability by the other folds."""
     held = {f"h{k}": F.col("n") - F.col(f"f{k}") for k in range(FOLDS)}
-    return probabilities(grams.select("code", F.col("n").alias("logp"), *[c.alias(m) for m, c in held.items()]), ["logp", *held])
+    folds = {f"h{k}": f"f{k}" for k in range(FOLDS)}
+    return probabilities(grams.select("code", F.col("n").alias("logp"), *folds.values(), *[c.alias(m) for m, c in held.items()]), ["logp", *held], folds)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
