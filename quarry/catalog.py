@@ -840,6 +840,28 @@ def q_row_threshold(spark, d):
                                  "p90 double, p95 double, threshold double")
 
 
+#: Columns that are often missing, so that both passes have rows to drop.
+SPARSE = ["SPARSE_A", "SPARSE_B", "EMPTY_COL"]
+
+
+def _row_threshold_twice_sql() -> str:
+    s = " + ".join(f"({x} IS NULL)::int" for x in SPARSE)
+    cut = ("least(0.9, greatest(0.3, CASE WHEN quantile_cont(r, 0.95) >= 0.7 THEN 0.7 WHEN quantile_cont(r, 0.9) >= 0.6 THEN 0.6 ELSE 0.5 END))::double")
+    return with_fact(f"""
+r1 AS (SELECT ({s}) / {float(len(SPARSE))} AS r FROM fact), t1 AS (SELECT {cut} AS t FROM r1),
+r2 AS (SELECT r FROM r1, t1 WHERE r <= t), t2 AS (SELECT {cut} AS t FROM r2),
+n AS (SELECT (SELECT count(*) FROM r1) - (SELECT count(*) FROM r2) AS n1, (SELECT count(*) FROM r2, t2 WHERE r > t) AS n2)
+SELECT 1 AS pass, t AS threshold, n1 AS removed FROM t1, n UNION ALL SELECT 2, t, n2 FROM t2, n WHERE n1 > 0""")
+
+
+@query("row_threshold_twice", _row_threshold_twice_sql())
+def q_row_threshold_twice(spark, d):
+    from quarry.plans.build import prune_sparse_rows
+    _, cuts = prune_sparse_rows(fact(spark, d, *SPARSE), SPARSE, passes=2)
+    return spark.createDataFrame([(i, float(x["threshold"]), int(x["removed"])) for i, x in enumerate(cuts, 1)],
+                                 "pass int, threshold double, removed long")
+
+
 # --------------------------------------------------------------------------- F14, X2, X5
 
 # Listed out of canonical order on purpose: the executor must reorder.
