@@ -8,7 +8,7 @@ smoothing and scoring are joins over n-gram tables:
 2. lower orders count distinct left neighbours; the three discounts of each order come from
    the numbers of n-grams seen once to four times; probabilities of all 4-grams that occur
    anywhere are left joins of each order with its contexts, down to the single symbol;
-3. texts are dealt into shards of bounded size; the distinct 4-grams of each shard are joined with
+3. texts are dealt into shards of bounded size, compressed together; the distinct 4-grams of each shard are joined with
    the probabilities, and shard and probabilities meet again to score each document.
 
 A document's perplexity is exp(-mean log p) over its symbols and an end mark. It is kept if
@@ -41,6 +41,10 @@ QUANTILE = 0.99
 FOLDS = 4
 #: Characters of a shard, about.
 SHARD_CHARS = 10_000_000
+#: A task compresses its rows together, by shard, whenever it holds so many bytes of them.
+PACKED_BYTES = 64 << 20
+#: Distinct 4-grams (8 bytes each) that a task holds, of all its shards.
+HELD_GRAMS = 8_000_000
 #: 4-grams with their probabilities (50 bytes each) up to so many are broadcast; more are joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 #: Trusted ids (8 bytes each) up to so many are broadcast; more are joined by a shuffle.
@@ -93,6 +97,40 @@ def _grams(docs: DataFrame) -> DataFrame:
             .select("code", reduce(Column.__add__, map(F.col, folds)).alias("n"), *folds))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, rows): the rows of each shard (all columns but the first), compressed together in
+    parts, so that the shuffle of the texts moves fewer bytes."""
+    parts: dict[int, list[pa.RecordBatch]] = {}
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        packed = []
+        for shard, of in parts.items():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, of[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(pa.Table.from_batches(of).combine_chunks())
+            packed.append((shard, sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int64()), pa.array([b for _, b in packed], pa.binary())], ["shard", "rows"])
+
+    for batch in batches:
+        shards = batch.column(0).to_numpy()
+        rows = batch.select(batch.schema.names[1:]).take(pa.array(np.argsort(shards, kind="stable")))
+        places, counts = np.unique(shards, return_counts=True)
+        for shard, begin, n in zip(places.tolist(), np.cumsum(counts) - counts, counts):
+            parts.setdefault(shard, []).append(rows.slice(begin, n))
+        size += batch.nbytes
+        if size >= PACKED_BYTES:
+            yield out()
+            parts.clear()
+            size = 0
+    if parts:
+        yield out()
+
+
+def _unpacked(rows: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all()
+
+
 def _bits(n: int) -> Column:
     return F.lit((1 << (16 * n)) - 1 if n < ORDER else -1)
 
@@ -168,42 +206,49 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // (FOLDS * shard_chars)))  # of each fold, so that a shard needs one held-out model only
+    rows_of = texts.select(
+        (F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) * FOLDS + _fold(F.col("text"))).alias("shard"), "doc_id", F.xxhash64("text").alias("key"), "lang", "text", "trusted")
     # both uses below read the same columns of this one shuffle of the texts, which Spark writes once
-    dealt = texts.select(
-        (F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) * FOLDS + _fold(F.col("text"))).alias("shard"), "doc_id", F.xxhash64("text").alias("key"), "lang", "text",
-        "trusted").repartition(shards * FOLDS, "shard")
+    dealt = rows_of.mapInArrow(_packed, "shard long, rows binary").repartition(shards * FOLDS, "shard")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        name = lambda: [pa.RecordBatch.from_arrays([pa.array(np.full(len(c), shard)), pa.array(c)], ["shard", "code"]) for shard, c in held.items()]
         for batch in batches:
-            of, lines = batch.column(0).to_numpy(), batch.column(4).to_pylist()
-            for shard in np.unique(of):
-                mine = [lines[i] for i in np.flatnonzero(of == shard)]
-                codes = pd.unique(np.concatenate([pd.unique(gram_codes(mine[a:b])[0]) for a, b in sliced(mine)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), shard)), pa.array(codes)], ["shard", "code"])
-
-    # a shard whose texts came in several batches names some 4-grams more than once
+            for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lines = _unpacked(packed).column("text").to_pylist()
+                held[shard] = pd.unique(np.concatenate([held.get(shard, np.zeros(0, np.int64)), *[pd.unique(gram_codes(lines[a:b])[0]) for a, b in sliced(lines)]]))
+                if sum(map(len, held.values())) > HELD_GRAMS:
+                    yield from name()
+                    held.clear()
+        yield from name()
+
+    # a shard with more 4-grams than HELD_GRAMS names some of them more than once
     known = dealt.mapInArrow(distinct, "shard long, code long").join(p, "code")
     held = F.coalesce(*[F.when(F.col("shard") % FOLDS == k, F.col(f"h{k}")) for k in range(FOLDS)])
 
     def judge(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        lines = mine.column("text").to_pylist()
-        good = mine.column("trusted").to_numpy()
         codes, logp, held = (theirs.column(c).to_numpy() for c in ("code", "logp", "held"))
         order = np.argsort(codes, kind="stable")
         codes, logp, held = codes[order], logp[order], held[order]
-        out, apart = [], []
-        for begin, stop in sliced(lines):
-            grams_, starts = gram_codes(lines[begin:stop])
-            where, distinct_ = pd.factorize(grams_)
-            places, sizes = np.searchsorted(codes, distinct_), np.diff(np.append(starts, len(grams_)))
-            for values, to in ((logp, out), (held, apart)):
-                if values is logp or good[begin:stop].any():
-                    to.append(np.exp(-np.add.reduceat(values[places][where], starts) / sizes))
-                else:
-                    to.append(np.full(stop - begin, np.nan))
-        apart_ = np.concatenate(apart)
-        return pa.table([mine.column("doc_id"), mine.column("key"), mine.column("lang"), mine.column("trusted"), pa.array(np.concatenate(out)),
-                         pa.array(apart_, mask=~good | np.isnan(apart_))], names=["doc_id", "key", "lang", "trusted", "perplexity", "held_out"])
+        told = []
+        for packed in mine.column("rows"):  # unpacked one by one: the task holds the others compressed
+            some = _unpacked(packed)
+            lines, good = some.column("text").to_pylist(), some.column("trusted").to_numpy()
+            out, apart = [], []
+            for begin, stop in sliced(lines):
+                grams_, starts = gram_codes(lines[begin:stop])
+                where, distinct_ = pd.factorize(grams_)
+                places, sizes = np.searchsorted(codes, distinct_), np.diff(np.append(starts, len(grams_)))
+                for values, to in ((logp, out), (held, apart)):
+                    if values is logp or good[begin:stop].any():
+                        to.append(np.exp(-np.add.reduceat(values[places][where], starts) / sizes))
+                    else:
+                        to.append(np.full(stop - begin, np.nan))
+            apart_ = np.concatenate(apart)
+            told.append(pa.table([*[some.column(c) for c in ("doc_id", "key", "lang", "trusted")], pa.array(np.concatenate(out)),
+                                  pa.array(apart_, mask=~good | np.isnan(apart_))], names=["doc_id", "key", "lang", "trusted", "perplexity", "held_out"]))
+        return pa.concat_tables(told)
 
     judged = (dealt.groupBy("shard").cogroup(known.select("shard", "code", "logp", held.alias("held")).groupBy("shard"))
               .applyInArrow(judge, "doc_id long, key long, lang string, trusted boolean, perplexity double, held_out double"))
