@@ -1380,6 +1380,26 @@ def q_stump_shap(spark, d):
         *keys(), "feature", F.round("shap", 3).alias("shap"), F.round("expected", 3).alias("expected"))
 
 
+@query("stump_summary", with_fact(STUMP_SQL + f""",
+e AS (SELECT (nl * ml + (n - nl) * mr) / n AS expected FROM best),
+sv AS (SELECT sp.*, (CASE WHEN (CASE best.f WHEN 'ELM_N' THEN ELM_N WHEN 'SIZE_MM' THEN SIZE_MM ELSE QTY END) <= cut THEN ml ELSE mr END) - expected AS phi,
+              best.f AS bf FROM sp, best, e WHERE split = 'test'),
+pts AS (""" + " UNION ALL ".join(
+    f"SELECT *, '{x}' AS feature, CASE WHEN bf = '{x}' THEN phi ELSE 0 END AS v, CAST({x} AS double) AS feature_value FROM sv" for x in STUMP_FEATURES) + f"""),
+top AS (SELECT feature, row_number() OVER (ORDER BY avg(abs(v)) DESC, feature) AS rnk FROM pts GROUP BY feature)
+SELECT {KEY_SQL}, feature, round(v, 3) AS shap, feature_value, CAST(rnk AS int) AS rnk FROM pts JOIN top USING (feature)
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY md5(concat_ws('|', feature, L_ORDERKEY, L_LINENUMBER, L_PARTKEY, L_SUPPKEY))) <= 100"""))
+def q_stump_summary(spark, d):
+    """At most 100 points of each feature, drawn by hash."""
+    from quarry.operators.explain import mean_abs_topk, shap_long, shap_summary_points, shap_values
+    from quarry.session import materialize
+    frame, m = _stump(spark, d)
+    sv = materialize(shap_values(m.model, frame.filter("split = 'test'"), STUMP_FEATURES, KEY_COLUMNS, carry=STUMP_FEATURES))
+    top = mean_abs_topk(shap_long(sv, STUMP_FEATURES, KEY_COLUMNS), k=30)
+    pts = shap_summary_points(sv, top, STUMP_FEATURES, KEY_COLUMNS, points=100, drawn_by=SPLIT_KEYS)
+    return pts.select(*keys(), "feature", F.round("shap", 3).alias("shap"), "feature_value", "rnk")
+
+
 # One round of each booster on few-valued features: SQL finds the same splits from sums of residuals.
 def _splits_sql(rows: str, least: int, l2: float) -> str:
     """Every split of every node (column ``node``) of ``rows`` with its gain."""

@@ -1,11 +1,12 @@
 """Exact nearest-neighbour search by squared L2 distance (K1) and metadata join (K2).
 
-The query vectors are a bounded batch (checked: at most ``max_queries`` per
-pass; larger sets run in several passes). Each task scans its slice of the
-index once, computes the distances of its rows to every query with numpy and
-keeps only its local top k per query, so at most partitions x k candidates
-per query are shuffled; the final top k per query is chosen among those.
-Nothing of size index x queries is ever materialised.
+The index is read once for all queries whose vectors together take at most
+``query_bytes`` (checked before they are collected; a larger set is dealt by hash into
+parts of that size, one reading of the index each). A task computes the distances of a block of its
+rows to a block of queries as one matrix product. That product rounds, so it only rules rows out:
+those that may be as near as the query's k-th so far, allowing for rounding, are measured exactly. Each task keeps its
+local top k per query, so at most partitions x k candidates per query are shuffled; the
+final top k per query is chosen among those. Nothing of size index x queries is ever held.
 """
 
 from __future__ import annotations
@@ -15,69 +16,83 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES_PER_PASS = 4096
+#: Bytes of query vectors that the driver and each task hold at once (half a million vectors of 64 doubles).
+QUERY_BYTES = 256 << 20
+_BLOCK = 512  # queries, and rows, of one matrix product
 
 
-def _local_topk(q_ids, q_mat, k, id_col, vec_col, dim):
+def _local_topk(q_ids, q_mat, k, id_col, vec_col):
+    n_q, dim = q_mat.shape
+    q_norm = (q_mat ** 2).sum(axis=1)
+
     def run(batches):
-        best: list[list] = [[] for _ in q_ids]
+        near = np.full((n_q, k), np.inf)       # distances, ascending; ids beside them break ties
+        ids_of = np.full((n_q, k), np.iinfo(np.int64).max)
         for pdf in batches:
-            if pdf.empty:
-                continue
             vecs = pdf[vec_col].tolist()
-            ok = np.array([v is not None and len(v) == dim for v in vecs])
-            if not ok.any():
-                continue
-            ids = pdf[id_col].to_numpy()[ok]
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v, g in zip(vecs, ok) if g])
-            # squared L2: |x|^2 - 2 x.q + |q|^2, evaluated exactly as sum((x - q)^2) per query block
-            for qi in range(len(q_ids)):
-                d = ((x - q_mat[qi]) ** 2).sum(axis=1)
-                # all rows as near as the k-th, so that ties are decided by id and not by chance
-                part = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
-                cand = best[qi]
-                cand.extend(zip(d[part].tolist(), ids[part].tolist()))
-                cand.sort()
-                del cand[k:]
-        rows = []
-        for qi, cand in enumerate(best):
-            rows.extend((qi, int(i), float(dd)) for dd, i in cand)
-        if rows:
-            yield pd.DataFrame(rows, columns=["_q", id_col, "distance"])
+            ok = [i for i, v in enumerate(vecs) if v is not None and len(v) == dim]
+            ids = pdf[id_col].to_numpy()
+            for at in range(0, len(ok), _BLOCK):
+                rows = ok[at:at + _BLOCK]
+                x = np.array([np.asarray(vecs[i], dtype=np.float64) for i in rows])
+                block_ids = ids[rows].astype(np.int64)
+                x_norm = (x ** 2).sum(axis=1)
+                # far more than what a product of this many terms can round
+                slack = 1e-12 * dim * (x_norm.max(initial=0.0) + q_norm.max(initial=0.0))
+                for b in range(0, n_q, _BLOCK):
+                    q = slice(b, b + _BLOCK)
+                    about = q_norm[q, None] - 2.0 * (q_mat[q] @ x.T) + x_norm
+                    limit = near[q, -1]
+                    if about.shape[1] > k:
+                        limit = np.minimum(limit, np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * slack)
+                    # not "<=": vectors with components that are not finite stay in
+                    qi, xi = np.nonzero(~(about > (limit + 2 * slack)[:, None]))
+                    if not len(qi):
+                        continue
+                    d = ((x[xi] - q_mat[b + qi]) ** 2).sum(axis=1)
+                    touched = np.unique(qi)
+                    all_q = np.concatenate([qi, np.repeat(touched, k)])
+                    all_d = np.concatenate([d, near[b + touched].ravel()])
+                    all_i = np.concatenate([block_ids[xi], ids_of[b + touched].ravel()])
+                    order = np.lexsort((all_i, all_d, all_q))
+                    starts = np.searchsorted(all_q[order], touched)
+                    take = order[starts[:, None] + np.arange(k)]
+                    near[b + touched], ids_of[b + touched] = all_d[take], all_i[take]
+        qi, place = np.nonzero(near < np.inf)
+        if len(qi):
+            yield pd.DataFrame({"_q": qi, "_query": np.asarray(q_ids)[qi], id_col: ids_of[qi, place], "distance": near[qi, place]})
     return run
 
 
 def knn_l2(index: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id",
            vec_col: str = "embedding", query_id_col: str = "query_id", query_vec_col: str = "query_vec",
-           max_queries: int = MAX_QUERIES_PER_PASS) -> DataFrame:
+           query_bytes: int = QUERY_BYTES) -> DataFrame:
     """K1: for each query the k nearest index rows: (query_id, id, distance, score = 1/(1+d), rank).
 
-    Rows whose vector length differs from the queries' dimension are ignored.
-    Ties are broken by id.
+    Rows whose vector length differs from the queries' dimension, and rows at no finite
+    distance, are ignored. Ties are broken by id. Queries may share an id; one without a vector has no hits.
     """
     spark = index.sparkSession
-    n_q = queries.count()
+    wanted = queries.select(F.col(query_id_col).cast("long").alias("q"), F.col(query_vec_col).cast("array<double>").alias("v")).where("v is not null")
+    total = wanted.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    parts = -(-total // query_bytes)
     results = []
-    for start in range(0, n_q, max_queries):
-        chunk_df = (queries.orderBy(query_id_col).offset(start).limit(max_queries)
-                    if n_q > max_queries else queries)
-        chunk = chunk_df.select(query_id_col, query_vec_col).collect()   # bounded by max_queries
-        if not chunk:
+    for part in range(parts):
+        mine = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("q", "v"), F.lit(parts)) == part)
+        got = mine.toArrow()                                   # bounded by query_bytes
+        if not got.num_rows:
             continue
-        q_ids = [r[0] for r in chunk]
-        q_mat = np.array([np.asarray(r[1], dtype=np.float64) for r in chunk])
-        dim = q_mat.shape[1]
-        local = index.select(id_col, vec_col).mapInPandas(
-            _local_topk(q_ids, q_mat, k, id_col, vec_col, dim),
-            f"_q long, {id_col} long, distance double")
-        # queries are told apart by their place in the pass: two may have one id
+        q_mat = np.array([np.asarray(v, dtype=np.float64) for v in got.column("v").to_pylist()])
+        local = index.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInPandas(
+            _local_topk(got.column("q").to_numpy(), q_mat, k, id_col, vec_col),
+            f"_q long, _query long, {id_col} long, distance double")
+        # queries are told apart by their place in the part: two may have one id
         w = Window.partitionBy("_q").orderBy(F.asc("distance"), F.asc(id_col))
         # each query's window holds at most (#partitions x k) candidates
         top = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        names = F.element_at(F.array(*[F.lit(int(q)) for q in q_ids]), (F.col("_q") + 1).cast("int"))
-        results.append(top.select(names.cast("long").alias("query_id"), id_col, "distance", "rank"))
+        results.append(top.select(F.col("_query").alias("query_id"), id_col, "distance", "rank"))
     if not results:
-        return spark.createDataFrame([], f"query_id long, {id_col} long, distance double, score double, rank int")
+        return spark.createDataFrame([], f"{query_id_col} long, {id_col} long, distance double, score double, rank int")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

@@ -87,71 +87,93 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).when(x < 0, neg)
 
 
-def yeo_johnson_lambda_col(x: Column, lam: Column) -> Column:
-    """Yeo-Johnson with lambda given as a column (for evaluating a grid in one job)."""
-    x = x.cast("double")
-    pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
-    neg = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(-x + 1, 2 - lam) - 1) / (2 - lam))
-    return F.when(x >= 0, pos).when(x < 0, neg)
+#: Lambdas tried in one pass, of each column.
+TRIED = 9
+#: Lambdas beyond this are not tried: powers overflow there.
+FARTHEST = 64.0
 
 
-def fit_yeo_johnson_lambda(df: DataFrame, c: str, lo: float = -2.0, hi: float = 2.0,
-                           step: float = 0.1, refinements: int = 2) -> float | None:
-    """Maximum-likelihood lambda:
+def _tried(first: int, last: int) -> list[int]:
+    """At most TRIED grid places from ``first`` to ``last``, both included, evenly spread."""
+    n = min(TRIED, last - first + 1)
+    return sorted({first + (last - first) * i // max(n - 1, 1) for i in range(n)})
+
+
+def fit_yeo_johnson_lambdas(df: DataFrame, columns: list[str], lo: float = -2.0, hi: float = 2.0,
+                            step: float = 0.1, refinements: int = 2) -> dict[str, float | None]:
+    """Maximum-likelihood lambda of every column, on the grid of ``step`` / 10 ** ``refinements``:
     llf(lam) = -n/2 * log(var_pop(yj(x, lam))) + (lam - 1) * sum(sign(x) * log1p(|x|)).
 
-    A grid on [lo, hi] is evaluated in ONE job (each row is paired with every
-    grid point and the variances are aggregated per point, map-side), then
-    ``refinements`` finer grids (step / 10 each) around the best point. While the best
-    point is the edge of the first grid, the grid moves on (to +-64 at most, where powers overflow): the
-    cost is (1 + refinements) scans, and one for each move.
+    A bracketed search of all columns together: each pass is one aggregate without a
+    shuffle of rows, holding the variances at a few lambdas of every column's bracket; the
+    best one's neighbours are the next bracket. While the best lies on the edge of [lo, hi],
+    the bracket moves outwards. The number of passes depends on the width of the grid,
+    not on the number of columns. A column without values or spread has None.
     """
-    x = col(c).cast("double")
-    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    stat = base.agg(F.count("x").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s")).collect()[0]
-    n, ssum = stat["n"], stat["s"]
-    if not n:
-        return None
-    best, done = None, 0
-    while done <= refinements:
-        n_pts = int(round((hi - lo) / step)) + 1
-        lams = [round(lo + i * step, 10) for i in range(n_pts)]
-        grid = base.select("x", F.explode(F.array(*[F.lit(v) for v in lams])).alias("lam"))
-        rows = grid.groupBy("lam").agg(F.var_pop(yeo_johnson_lambda_col(F.col("x"), F.col("lam"))).alias("v")).collect()
-        var = {round(r["lam"], 10): r["v"] for r in rows}
-        best_ll, best = -math.inf, None
-        for lam in lams:
-            v = var.get(lam)
-            if v is None or v <= 0 or not np.isfinite(v):
-                continue
-            ll = -n / 2.0 * math.log(v) + (lam - 1) * ssum
-            if ll > best_ll + 1e-12:
-                best_ll, best = ll, lam
-        if best is None:
-            return None
-        if done == 0 and abs(best) < 64 and best in (lams[0], lams[-1]) and n_pts > 1:
-            # the optimum may lie further out: look there before refining
-            span = hi - lo
-            lo, hi = (best - span, best + step) if best == lams[0] else (best - step, best + span)
-            continue
-        lo, hi, step, done = best - step, best + step, step / 10.0, done + 1
-    return best
+    if not columns:
+        return {}
+    fine = step / 10 ** refinements
+    place = lambda v: int(round(v / fine))
+    lam = lambda i: round(i * fine, 10)
+    span = place(hi) - place(lo)
+    bracket = {c: (place(lo), place(hi)) for c in columns}
+    moving = dict.fromkeys(columns, span > 0)
+    seen: dict[str, dict[int, float]] = {c: {} for c in columns}
+    size: dict[str, tuple[int, float]] = {}
+    base = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).persist()
+    found: dict[str, float | None] = {}
+    try:
+        while len(found) < len(columns):
+            asked = {(c, g): f"v{i}_{k}" for i, c in enumerate(columns) if c not in found
+                     for k, g in enumerate(_tried(*bracket[c])) if g not in seen[c]}
+            x = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
+            stats = [] if size else [e for i, c in enumerate(columns) for e in (
+                F.count(x[c]).alias(f"n{i}"), F.sum(F.signum(x[c]) * F.log1p(F.abs(x[c]))).alias(f"s{i}"))]
+            wanted = [*stats, *[F.var_pop(yeo_johnson(x[c], lam(g))).alias(name) for (c, g), name in asked.items()]]
+            row = base.agg(*wanted).first() if wanted else {}
+            size = size or {c: (row[f"n{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+            for (c, g), name in asked.items():
+                n, total = size[c]
+                v = row[name]
+                usable = n and v is not None and v > 0 and np.isfinite(v)
+                seen[c][g] = -n / 2.0 * math.log(v) + (lam(g) - 1) * total if usable else -math.inf
+            for c in columns:
+                if c in found:
+                    continue
+                first, last = bracket[c]
+                here = _tried(first, last)
+                best = here[0]
+                for g in here[1:]:
+                    if seen[c][g] > seen[c][best] + 1e-12:
+                        best = g
+                if seen[c][best] == -math.inf:
+                    found[c] = None
+                elif moving[c] and best in (first, last) and abs(lam(best)) < FARTHEST:
+                    # the optimum may lie further out
+                    bracket[c] = (best - span, best + 1) if best == first else (best - 1, best + span)
+                elif here == list(range(first, last + 1)):
+                    found[c] = lam(best)
+                else:
+                    i = here.index(best)
+                    moving[c] = False
+                    bracket[c] = (here[max(i - 1, 0)], here[min(i + 1, len(here) - 1)])
+    finally:
+        base.unpersist()
+    return found
+
+
+def fit_yeo_johnson_lambda(df: DataFrame, c: str, lo: float = -2.0, hi: float = 2.0,
+                           step: float = 0.1, refinements: int = 2) -> float | None:
+    """``fit_yeo_johnson_lambdas`` of one column."""
+    return fit_yeo_johnson_lambdas(df, [c], lo, hi, step, refinements)[c]
 
 
 class YeoJohnson(Operator):
     name, family = "yeo_johnson_transform_column", "transform"
 
     def fit(self, df, columns, refinements: int = 2, **params):
-        state = {}
-        for c in columns:
-            if c not in df.columns:
-                continue
-            if not is_numeric(df, c):
-                state[c] = {"skip": "not numeric"}
-                continue
-            lam = fit_yeo_johnson_lambda(df, c, refinements=refinements)
-            state[c] = {"skip": "fit failed"} if lam is None else {"lambda": lam}
-        return state
+        lams = fit_yeo_johnson_lambdas(df, [c for c in columns if c in df.columns and is_numeric(df, c)], refinements=refinements)
+        return _numeric_state(df, columns, lambda c: {"skip": "fit failed"} if lams[c] is None else {"lambda": lams[c]})
 
     def transform(self, df, state):
         return replace_columns(df, {c: yeo_johnson(col(c), st["lambda"]) for c, st in state.items()})
