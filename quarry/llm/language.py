@@ -5,6 +5,7 @@ separator), over the whole text. Linear support vector machines, one for each
 pair of classes, vote: first the machines between families, then those between the
 languages of the chosen family. Each pair's machine is trained in a task of its own, on a
 bounded sample of labelled texts (``PER_LANGUAGE`` different ones a language, at most; the text's hash draws them).
+Tasks are sent the non-zero cells of the vectors and never hold a pair's vectors whole.
 
 Defined results: null text or text without a letter: ``und`` with score 0, also where
 nothing could be learned; a single learned language wins with score 1; ties in votes go to
@@ -14,7 +15,7 @@ the larger sum of margins, then to the first language code; repeated rows are ju
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -57,6 +58,8 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
+# a vector's cell, counted down from the last, so that of two vectors the one whose next cell comes earlier sorts later
+_CELL = np.dtype([("cell", ">u2"), ("value", "<f4")])
 
 
 def family(lang: str) -> str:
@@ -78,20 +81,60 @@ def features(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarra
     return rows / np.where(lengths == 0, 1, lengths)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, float, float]:
+def packed(row: np.ndarray) -> bytes:
+    """The cells of a row that are not zero, with their values. The bytes sort as those of the whole row do."""
+    cells = np.flatnonzero(row)
+    out = np.empty(len(cells), _CELL)
+    out["cell"], out["value"] = 0xFFFF - cells, row[cells]
+    return out.tobytes()
+
+
+class Rows:
+    """Rows made of :func:`packed`, with a last cell of 1 for the bias. Only their non-zero cells are held; blocks
+    of them and single rows are spread out when they are asked for."""
+
+    def __init__(self, vectors: Iterable[bytes], dimensions: int = DIMENSIONS):
+        vectors = list(vectors)
+        cells = np.frombuffer(b"".join(vectors), _CELL)
+        self.cells, self.values = (0xFFFF - cells["cell"]).astype(np.uint16), cells["value"].astype(np.float32)
+        self.ends = np.cumsum([0, *[len(v) // _CELL.itemsize for v in vectors]])
+        self.width = dimensions + 1
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row ``i``'s cells and their values, without the bias."""
+        return self.cells[self.ends[i]:self.ends[i + 1]], self.values[self.ends[i]:self.ends[i + 1]]
+
+    def blocks(self, size: int = 64) -> Iterator[np.ndarray]:
+        for begin in range(0, len(self), size):
+            block = np.zeros((min(size, len(self) - begin), self.width))
+            block[:, -1] = 1
+            for k, row in enumerate(block):
+                cells, values = self.part(begin + k)
+                row[cells] = values
+            yield block
+
+
+def train_svm(x: Rows, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, float, float]:
     """Linear SVM (y is -1 or 1) by dual coordinate descent: weights with the bias last, and
     slope and shift of the sigmoid that turns margins into probabilities."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    norms, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
+    norms, alpha, w = np.concatenate([(b * b).sum(axis=1) for b in x.blocks()]), np.zeros(len(x)), np.zeros(x.width)
     limit = cost * len(y) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum())  # both classes weigh the same
     order = np.random.default_rng(seed)
+    row = np.zeros(x.width)
+    row[-1] = 1
     for _ in range(rounds):
         for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norms[i], 0.0), limit[i])
+            cells, values = x.part(i)
+            row[cells] = values
+            new = min(max(alpha[i] - (y[i] * (row @ w) - 1) / norms[i], 0.0), limit[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
-    margin = x @ w
+            row[cells] = 0
+    margin = np.concatenate([b @ w for b in x.blocks()])
     above, below = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (above + 1) / (above + 2), 1 / (below + 2))
     slope, shift = 1.0, 0.0
@@ -107,6 +150,19 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30
     return w, float(max(slope, 1e-3)), float(shift)
 
 
+def fit_pair(frame: pd.DataFrame) -> pd.DataFrame:
+    """The machine of one pair of classes, from its rows (pair, side, vector). The sample is bounded for each language, a family
+    has the rows of all of its languages: a task holds their non-zero cells and one block of whole rows."""
+    frame = frame.sort_values(["side", "vector"])  # the same order in every run
+    y = frame["side"].to_numpy()
+    if len(set(y)) < 2:  # one side has no sampled row: the other always wins
+        w, slope, shift = np.zeros(DIMENSIONS + 1), 1.0, 0.0
+        w[-1] = y[0]
+    else:
+        w, slope, shift = train_svm(Rows(frame["vector"]), y)
+    return pd.DataFrame({"pair": frame["pair"].iloc[:1], "weights": [w.tolist()], "slope": [slope], "shift": [shift]})
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """The machines, from rows with a non-null language: {level: {(a, b): (weights, slope, shift)}} and the languages."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -137,28 +193,17 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
             for begin, stop in sliced(texts):
                 made = features(texts[begin:stop])
                 out = []
-                for code, row in zip(codes[begin:stop], made):
+                for code, row in zip(codes[begin:stop], map(packed, made)):
                     for k, (level, a, b) in enumerate(pairs):
                         mine = family(code) if level == "family" else code
                         if mine in (a, b):
-                            out.append((k, 1 if mine == b else -1, row.astype("<f4").tobytes()))
+                            out.append((k, 1 if mine == b else -1, row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))] if out else
                     [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["pair", "side", "vector"])
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["side", "vector"])  # the same order in every run
-        x = np.stack([np.frombuffer(v, "<f4") for v in frame["vector"]])
-        y = frame["side"].to_numpy()
-        if len(set(y)) < 2:  # one side has no sampled row: the other always wins
-            w, slope, shift = np.zeros(x.shape[1] + 1), 1.0, 0.0
-            w[-1] = y[0]
-        else:
-            w, slope, shift = train_svm(x, y)
-        return pd.DataFrame({"pair": frame["pair"].iloc[:1], "weights": [w.tolist()], "slope": [slope], "shift": [shift]})
-
     fitted = sample.mapInArrow(vectors, "pair long, side long, vector binary").groupBy("pair").applyInPandas(
-        fit, "pair long, weights array<double>, slope double, shift double")
+        fit_pair, "pair long, weights array<double>, slope double, shift double")
     for r in fitted.collect():  # a row of DIMENSIONS numbers for each pair of classes
         model["pairs"][list(pairs)[r["pair"]]] = (np.array(r["weights"]), r["slope"], r["shift"])
     return model
