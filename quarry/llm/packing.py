@@ -32,6 +32,8 @@ WINDOW = 2048
 END_ID = 1
 #: Open windows that one task holds at most: 4 * WINDOW bytes each.
 MAX_OPEN = 4096
+#: A task hands its rows on whenever it holds so many of them, or so many bytes of ids.
+HELD_ROWS, HELD_BYTES = 2000, 1 << 20
 
 Piece = tuple  # (document, start, ids as little-endian uint32 bytes)
 
@@ -145,25 +147,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
         encode, end = encoder(tokenizer).encode, struct.pack("<I", end_id)
         packer, at = SumOfSquaresPacker(window, max_open), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
+        held = 0
 
         def place(sequences):
-            nonlocal at
+            nonlocal at, held
             for pieces in sequences:
                 offset = 0
                 for (key, tokens), start, ids in pieces:
                     rows.append((key, start, len(ids) // 4, bytes(ids) if keep_ids else zlib.crc32(ids), tokens, at, offset))
                     offset += len(ids) // 4
+                    held += len(ids) if keep_ids else 0
                 at += 1
-
-        for batch in batches:
-            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(whole) + end
-                place(packer.add(((key, len(ids) // 4), 0, ids)))
-                if len(rows) >= 2000:
+                if len(rows) >= HELD_ROWS or held >= HELD_BYTES:
                     yield _batch(rows, keep_ids)
                     rows.clear()
+                    held = 0
+
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                some = batch.slice(begin, 256)
+                for key, whole in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    ids = encode(whole) + end
+                    yield from place(packer.add(((key, len(ids) // 4), 0, ids)))
         encoder(tokenizer).forget()
-        place(packer.finish())
+        yield from place(packer.finish())
         if rows:
             yield _batch(rows, keep_ids)
 
